@@ -85,3 +85,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {BAS
   (NOT {BASE_FAILED} AND {rules_sql()}) AS kept
 FROM m
 """
+
+ORACLES["op8_decontaminate"] = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents
+), iw AS (
+  SELECT row_number() OVER () AS q, item_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM benchmark
+), ig AS (
+  SELECT DISTINCT q, item_id, least(5, len(w)) AS k, unnest([array_to_string(w[i : i + least(5, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(5, len(w)) + 2)]) AS g
+  FROM iw WHERE len(w) > 0
+), n AS (SELECT q, count(*) AS n_shingles FROM ig GROUP BY q),
+ks AS (SELECT DISTINCT k FROM ig),
+dg AS (
+  SELECT DISTINCT r, doc_id, k, unnest([array_to_string(w[i : i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS g
+  FROM dw, ks WHERE len(w) >= k
+), hit AS (
+  SELECT r, doc_id, q, item_id, count(*) AS n_shared FROM dg JOIN ig USING (k, g) GROUP BY ALL
+)
+SELECT doc_id, item_id, CAST(n_shingles AS BIGINT) AS n_shingles, CAST(n_shared AS BIGINT) AS n_shared, n_shared / n_shingles AS containment
+FROM hit JOIN n USING (q) WHERE n_shared >= 0.8::DOUBLE * n_shingles
+"""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citeloom.llm import chat, quality
-from citeloom.llm.common import table
+from citeloom.llm import chat, decontaminate, mixing, quality, sst
+from citeloom.llm.common import shared_folder, table
 from citeloom.llm.oracles import ORACLES
 
 #: A conversation whose texts hold the template's own control strings.
@@ -16,7 +18,12 @@ CONTROL = "\\### Assistant: </turn> ok"
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], turns.schema)
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL).alias("text"),
+    )
     return chat.chat_digest(turns.unionByName(extra))
 
 
@@ -24,9 +31,30 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return placed.select("doc_id", "source", "slot", "position", "in_mix")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def byte_encoder() -> sst.Encoder:
+    return sst.encoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
+def op9_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sst.write_shards(table(spark, sf_dir, "documents"), shared_folder(spark, "sst"), byte_encoder)
+    return sst.read_shards(manifest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op4_quality_rules": op4_quality_rules,
+    "op5_source_mix": op5_source_mix,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_sst_shards": op9_sst_shards,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
