@@ -29,7 +29,7 @@ PERIOD = 10_000
 TEMPERATURE = 0.7
 #: The schedule of a period is sent to all executors: at most this many sources and slots.
 MOST_SOURCES = 100_000
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 500
 
 
 def quantized(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:

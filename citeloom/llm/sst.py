@@ -20,6 +20,7 @@ import bisect
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,45 +45,88 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 class Encoder:
     """Texts to ids with a public byte-level vocabulary file, plus an end id.
 
-    A space between two characters that are no white space always begins a new piece, so the text is
-    cut there and the ids of pieces seen before come from a table of bounded size. A text with other
-    runs of white space at a cut is encoded as a whole.
+    A space or a line break between two characters that are no white space always separates pieces,
+    so the text is cut there, and the ids of pieces seen before come from a table of bounded size.
+    Pieces not seen yet are encoded together, one a line, and told apart by the id of the line
+    break. A text with other runs of white space at a cut is encoded as a whole.
     """
 
-    most = 150_000
+    most = 800_000
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
+        self.line = self._ids("\n")
         self.known: dict[str, bytes | None] = {}
+        self.marks: dict[str, bytes] = {m: self._ids(m) for m in ".,;:!?"}
+        # The library's own letter for each byte, told from its pre-tokenizer.
+        low = "".join(map(chr, range(0x20, 0x250)))
+        shown = "".join(x for x, _ in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(low))
+        self.letters = {b: c for b, c in zip(low.encode(), shown, strict=True)}
+        self.tokenize = self.model.model.tokenize
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """The ids of Latin letters, perhaps after one space: the pre-tokenizer leaves them whole."""
+        return array(self.code, [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _lines(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; no word holds white space but a leading space."""
+        if not words:
+            return []
+        line = np.frombuffer(self.line, self.kind)
+        ids = np.array(self.model.encode("\n".join(words), add_special_tokens=False).ids, self.kind)
+        cuts = np.flatnonzero(ids == line[0]) if len(line) == 1 else []
+        if len(cuts) != len(words) - 1:
+            return [self._ids(w) for w in words]
+        width, data = self.kind.itemsize, ids.tobytes()
+        edges = [-1, *cuts.tolist(), len(ids)]
+        return [data[(a + 1) * width : b * width] for a, b in zip(edges, edges[1:], strict=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        fit = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        for p, x in zip(fit, self.model.encode_batch([" " + p for p in fit], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(x.ids, self.kind).tobytes()
-        for p in pieces.difference(fit):
-            self.known[p] = None
+        """A piece is what stands after a space, or a line break and what stands after it."""
+        known, marks = self.known, self.marks
+        others: list[tuple[str, str, bytes, bytes]] = []
+        for p in pieces:
+            head = tail = b""
+            core, mark = p, p[-1:]
+            if mark in marks and p[-2:-1].isalpha():
+                core, tail = p[:-1], marks[mark]
+            if core[:1] == "\n":
+                core, head = core[1:], self.line
+            if core.isalpha() and max(core) < "\u0250":
+                known[p] = head + self._letters(core if head else " " + core) + tail
+            elif core.split() == [core]:
+                others.append((p, core if head else " " + core, head, tail))
+            else:
+                known[p] = None
+        for (p, _, head, tail), ids in zip(others, self._lines([x[1] for x in others]), strict=True):
+            known[p] = head + ids + tail
 
     def encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
-            wanted = set(rest)
-            new = wanted.difference(self.known)
-            if new:
+        first, *rest = text.replace("\n", " \n").split(" ")
+        if first.split() == [first]:
+            try:
+                got = list(map(self.known.__getitem__, rest))
+            except KeyError:
+                wanted = set(rest)
+                new = wanted.difference(self.known)
                 if len(self.known) + len(new) > self.most:
                     self.known.clear()
                     new = wanted
                 self._learn(new)
-            got = [self.known[p] for p in rest]
+                got = list(map(self.known.__getitem__, rest))
             if None not in got:
-                head = self.model.encode(first, add_special_tokens=False).ids
-                return np.array(head, self.kind).tobytes() + b"".join(got) + self.end
-        ids = self.model.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.kind).tobytes() + self.end
+                return self._ids(first) + b"".join(got) + self.end
+        return self._ids(text) + self.end
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
