@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import chat, decontaminate, lm, mixing, quality, sst, toxicity
+from citeloom.llm import chat, decontaminate, jaccard, lm, mixing, quality, sst, toxicity
 from citeloom.llm.common import shared_folder, table
 from citeloom.llm.oracles import ORACLES
 
@@ -45,6 +45,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "source", "slot", "position", "in_mix")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links", "group_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_source_mix": op5_source_mix,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
     "op9_sst_shards": op9_sst_shards,
 }
