@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: What separates words: the six ASCII white-space characters (the same set ``bytes.split()`` uses).
 SPACES = " \t\n\x0b\f\r"
+#: Spark's own switch: an execution's shuffle files go when it ends; a stored step never needs them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 
@@ -48,7 +50,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark, label)
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was) if was is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import chat, decontaminate, jaccard, lm, mixing, quality, sst, toxicity
+from citeloom.llm import chat, decontaminate, jaccard, lm, mixing, quality, repeats, sst, toxicity
 from citeloom.llm.common import shared_folder, table
 from citeloom.llm.oracles import ORACLES
 
@@ -62,6 +62,10 @@ def op9_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.read_shards(manifest)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.find_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_lm_score": op2_lm_score,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
     "op9_sst_shards": op9_sst_shards,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
