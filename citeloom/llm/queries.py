@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import chat, decontaminate, jaccard, lm, mixing, quality, repeats, sst, toxicity
+from citeloom.llm import chat, decontaminate, jaccard, lm, mixing, pii, quality, repeats, sst, toxicity
 from citeloom.llm.common import shared_folder, table
 from citeloom.llm.oracles import ORACLES
 
@@ -49,6 +49,14 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links", "group_id")
 
 
+#: A deployment passes its own key; this one makes the query repeatable.
+QUERY_KEY = b"citeloom query key"
+
+
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), QUERY_KEY)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_source_mix": op5_source_mix,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_pii_pseudonyms": op7_pii_pseudonyms,
     "op8_decontaminate": op8_decontaminate,
     "op9_sst_shards": op9_sst_shards,
     "op10_suffix_dedup": op10_suffix_dedup,
