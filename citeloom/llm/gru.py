@@ -18,8 +18,9 @@ import numpy as np
 HIDDEN = 16
 HEAD = 1024
 SIZE = 32  # head words in a class
-TAILS = 64
-LANES, STEPS = 128, 32
+TAILS = 32
+LANES, STEPS = 128, 16
+LONGEST = 1024  # tokens of a part of a long document in training
 F32 = np.float32
 
 
@@ -180,52 +181,50 @@ class Adam:
             p[k] -= F32(rate) * self.m[k] / (np.sqrt(self.v[k]) + F32(1e-8))
 
 
-def lanes_of(docs: list[np.ndarray], lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
+def lanes_of(docs: list[np.ndarray], lanes: int = LANES, most: int = 1 << 62) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents (codes, each with its end) packed into lanes, long ones first: steps x lanes of codes
-    (-1: nothing) and of document numbers."""
-    lanes = max(1, min(lanes, len(docs)))
+    (-1: nothing), of document numbers, and of whether the state begins anew. Documents over ``most``
+    tokens are taken in parts, each with a state of its own."""
+    parts = [(d, a, min(len(x), a + most)) for d, x in enumerate(docs) for a in range(0, len(x), most)]
+    lanes = max(1, min(lanes, len(parts)))
     heap, rows = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
-    for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
+    for part in sorted(parts, key=lambda x: x[1] - x[2]):
         size, i = heap[0]
-        rows[i].append(d)
-        heapq.heapreplace(heap, (size + len(docs[d]), i))
+        rows[i].append(part)
+        heapq.heapreplace(heap, (size + part[2] - part[1], i))
     steps = max(size for size, _ in heap)
-    codes, owner = np.full((steps, lanes), -1, np.int32), np.zeros((steps, lanes), np.int32)
+    codes, owner, fresh = np.full((steps, lanes), -1, np.int32), np.zeros((steps, lanes), np.int32), np.zeros((steps, lanes), bool)
     for i, row in enumerate(rows):
         at = 0
-        for d in row:
-            codes[at : at + len(docs[d]), i] = docs[d]
-            owner[at : at + len(docs[d]), i] = d
-            at += len(docs[d])
-    return codes, owner
+        for d, a, b in row:
+            codes[at : at + b - a, i], owner[at : at + b - a, i], fresh[at, i] = docs[d][a:b], d, True
+            at += b - a
+    return codes, owner, fresh
 
 
 def windows(codes: np.ndarray, steps: int = STEPS) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(steps, codes, where a document begins) of each window; lanes that have ended are left out at the end."""
+    """(steps, lanes still running, their codes) of each window; a lane that has ended never runs again."""
+    lanes = np.arange(codes.shape[1])
     for at in range(0, len(codes), steps):
-        part = codes[at : at + steps]
-        fresh = np.empty(part.shape, bool)
-        fresh[1:] = part[:-1] <= 0
-        fresh[0] = codes[at - 1] <= 0 if at else True
-        yield slice(at, at + len(part)), part, fresh
+        lanes = lanes[codes[at, lanes] >= 0]
+        yield slice(at, at + steps), lanes, codes[at : at + steps, lanes]
 
 
-def learn(p: dict, v: Vocabulary, docs: list[np.ndarray], rate: float = 0.01, lanes: int = 64, opt: Adam | None = None) -> Adam:
+def learn(p: dict, v: Vocabulary, docs: list[np.ndarray], rate: float = 0.01, lanes: int = LANES, opt: Adam | None = None) -> Adam:
     """One pass of truncated backpropagation over the documents; the state is carried across windows."""
     opt = opt or Adam(p, rate)
-    codes, _ = lanes_of(docs, lanes)
+    codes, _, fresh = lanes_of(docs, lanes, LONGEST)
     h = np.zeros((codes.shape[1], p["u"].shape[0]), F32)
-    for _, part, fresh in windows(codes):
+    for at, running, part in windows(codes):
         live = part >= 0
-        if not live.any():
-            break
         inputs = np.maximum(part, 0)
-        states, h, kept = forward(p, h, inputs, fresh, True)
+        begin = fresh[at, running]
+        states, h[running], kept = forward(p, h[running], inputs, begin, True)
         cls, word = v.split(part[live])
         _, g, dh = outputs(p, states[live], cls, word, True)
         dout = np.zeros_like(states)
         dout[live] = dh
-        backward(p, g, states, kept, inputs, fresh, dout)
+        backward(p, g, states, kept, inputs, begin, dout)
         opt.step(p, g, 1.0 / live.sum())
     return opt
 
@@ -235,15 +234,11 @@ def log_likelihood(p: dict, v: Vocabulary, docs: list[np.ndarray]) -> np.ndarray
     total = np.zeros(len(docs))
     if not docs:
         return total
-    codes, owner = lanes_of(docs)
+    codes, owner, fresh = lanes_of(docs)
     h = np.zeros((codes.shape[1], p["u"].shape[0]), F32)
-    lanes = np.arange(codes.shape[1])
-    for at, part, fresh in windows(codes):
-        alive = (part[:, lanes] >= 0).any(0)  # lanes only end, they don't begin again
-        lanes, h = lanes[alive], h[alive]
-        part, fresh = part[:, lanes], fresh[:, lanes]
+    for at, running, part in windows(codes, 4 * STEPS):
         live = part >= 0
-        states, h, _ = forward(p, h, np.maximum(part, 0), fresh, False)
+        states, h[running], _ = forward(p, h[running], np.maximum(part, 0), fresh[at, running], False)
         cls, word = v.split(part[live])
-        total += np.bincount(owner[at][:, lanes][live], outputs(p, states[live], cls, word, False), len(docs))
+        total += np.bincount(owner[at, running][live], outputs(p, states[live], cls, word, False), len(docs))
     return total

@@ -29,7 +29,7 @@ from citeloom.llm.common import stored, text_of
 #: A block's text bytes: what a scoring task holds at once.
 BLOCK_BYTES = 12 << 20
 #: Of a block's training documents one in so many takes part in backpropagation (counts take all).
-TRAIN_STRIDE = 2
+TRAIN_STRIDE = 4
 
 
 def tokens(text: str) -> list[bytes]:
@@ -152,7 +152,7 @@ def _unflat(like: dict, flat: np.ndarray) -> dict:
     return out
 
 
-def train(blocks: DataFrame, v: gru.Vocabulary, stride: int = TRAIN_STRIDE, rate: float = 0.01) -> dict:
+def train(blocks: DataFrame, v: gru.Vocabulary, stride: int = TRAIN_STRIDE, rate: float = 0.02) -> dict:
     """Networks trained on the blocks from one start, averaged by tokens."""
     spark = blocks.sparkSession
     sent = spark.sparkContext.broadcast(v)  # HEAD words
@@ -194,18 +194,21 @@ def score(blocks: DataFrame, words: DataFrame, v: gru.Vocabulary, n_all: int, n_
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         v, p = sent.value
-        counts = dict(zip(right.column("word").to_pylist(), right.column("c").to_pylist(), strict=True))
+        known = right.column("word").to_pylist()
         total = n_all + 0.5 * (n_distinct + 1)
-        index = {w: i for i, w in enumerate(counts)}
-        c = np.fromiter(counts.values(), np.float64, len(counts))
+        index = dict(zip(known, range(len(known)), strict=True))
+        c = right.column("c").to_numpy().astype(np.float64)
         base_of = np.log10((c + 0.5) / total)
-        code_of = np.fromiter((v.code(w) for w in counts), np.int32, len(counts))
+        code_of = np.array([1 + len(v.head) + gru.tail_class(w) for w in known], np.int32)
+        for i, w in enumerate(v.head):
+            if w in index:
+                code_of[index[w]] = 1 + i
         tail = code_of > len(v.head)
         mass = v.tail_mass[np.where(tail, code_of - len(v.head) - 1, 0)]
         tail_of = np.where(tail, np.log((c + 0.5) / mass), 0.0)
         end_base = np.log10((v.ends + 0.5) / total)
         n = left.num_rows
-        size, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        size, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
         base, inside = np.zeros(n), np.zeros(n)
         total_log = np.zeros(n)
         docs, at, room = [], [], 0
@@ -219,7 +222,7 @@ def score(blocks: DataFrame, words: DataFrame, v: gru.Vocabulary, n_all: int, n_
         for i, text in enumerate(left.column("text")):
             own = np.fromiter(map(index.__getitem__, tokens(text.as_py())), np.int64, -1)
             size[i] = len(own) + 1
-            known[i] = int((c[own] > 0).sum()) + (v.ends > 0)
+            seen[i] = int(np.count_nonzero(c[own])) + (v.ends > 0)
             base[i], inside[i] = base_of[own].sum() + end_base, tail_of[own].sum()
             docs.append(np.append(code_of[own], 0).astype(np.int32))
             at.append(i)
@@ -230,7 +233,7 @@ def score(blocks: DataFrame, words: DataFrame, v: gru.Vocabulary, n_all: int, n_
         whole = (total_log + inside) / np.log(10)
         return pa.table(
             {
-                "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": size, "n_known": known,
+                "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": size, "n_known": seen,
                 "train_tokens": np.full(n, n_all, np.int64), "base_score": base, "score": whole,
             }
         )
