@@ -2,31 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import stored
 
 
-class Forest:
-    """Union-find over a task's own rows."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        """Whether this joined two trees."""
-        i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
+def tree_edges(linked: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join trees, of a matrix of links between rows ``left`` and ``right``.
+
+    ``label`` has each row's tree and is kept up to date: over all calls there is one edge less than
+    rows in every tree.
+    """
+    out = []
+    for k in np.flatnonzero(linked.any(1)):
+        i, near = int(left[k]), right[linked[k]]
+        trees, first = np.unique(label[near], return_index=True)
+        for tree, at in zip(trees.tolist(), first.tolist(), strict=True):
+            if tree != label[i]:
+                out.append((i, int(near[at])))
+                label[label == tree] = label[i]
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import stored, text_of
-from citeloom.llm.components import Forest, components
+from citeloom.llm.components import components, tree_edges
 from citeloom.llm.shingles import chunked, flat_shingles, flat_words, mixed
 
 THRESHOLD = 0.8
 RECALL = 0.9995
-DEEP = (2.0, 1.25)  # picks expected at the levels below the first
-SMALL = 512
+DEEP = (3.0, 2.0)  # picks expected at the levels below the first
+SMALL = 4096
 BLOCK = 256
 BINS = 32
 SLACK = 0.35  # how far a sketch's estimate may fall below the threshold; over five standard deviations
@@ -185,17 +185,17 @@ def _candidate_edges(threshold: float, keys: int):
         for key, table in _groups(batches, keys):
             node, size, sk = table.column("node").to_numpy(), table.column("size").to_numpy(), _sketches(table)
             node, first = np.unique(node, return_index=True)
-            size, sk, forest = size[first], sk[first], Forest(len(node))
+            size, sk, label = size[first], sk[first], np.arange(len(node))
             left = right = np.arange(len(node))
             if keys == 3 and key[1] != key[2]:
                 block = table.column("block").to_numpy()[first]
                 left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
             for at in range(0, len(left), 256):
                 part = left[at : at + 256]
-                for i, j in zip(*np.nonzero(alike(sk[part], sk[right], size[part], size[right], threshold)), strict=True):
-                    if part[i] != right[j] and forest.join(int(part[i]), int(right[j])):
-                        a.append(node[part[i]])
-                        b.append(node[right[j]])
+                near = alike(sk[part], sk[right], size[part], size[right], threshold)
+                for i, j in tree_edges(near, part, right, label):
+                    a.append(node[i])
+                    b.append(node[j])
             if len(a) > 50_000:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=EDGE)
                 a, b = [], []
@@ -231,7 +231,7 @@ def candidates(classes: DataFrame, threshold: float, runs: int) -> DataFrame:
             deep = large.join(classes.select("node", "deep"), "node").select("path", "run", "node", "size", "sketch", "deep")
             rows = deep.mapInArrow(_deeper(level, runs), ROW)
         else:
-            dealt = _block_pairs(large.drop("run"), "n", SMALL, "path").repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi")
+            dealt = _block_pairs(large.drop("run"), "n", SMALL // 2, "path").repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi")
             found.append(stored(dealt.mapInArrow(_candidate_edges(threshold, 3), "a long, b long"), "join-edges"))
     out = found[0]
     for x in found[1:]:
@@ -284,10 +284,7 @@ def _links(threshold: float):
             n[left] += linked.sum(1)
             if key[1] != key[2]:
                 n[right] += linked.sum(0)
-            forest, edges = Forest(len(node)), []
-            for i, j in zip(*np.nonzero(linked), strict=True):
-                if forest.join(int(left[i]), int(right[j])):
-                    edges.append((node[left[i]], node[right[j]]))
+            edges = [(node[i], node[j]) for i, j in tree_edges(linked, left, right, np.arange(len(node)))]
             some = np.flatnonzero(n)
             yield pa.record_batch(
                 [
