@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.common import stored, text_of
 from citeloom.llm.components import components, tree_edges
-from citeloom.llm.shingles import chunked, flat_shingles, flat_words, mixed
+from citeloom.llm.shingles import chunked, distinct, flat_shingles, flat_words, mixed
 
 THRESHOLD = 0.8
 RECALL = 0.9995
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
             for _, texts in chunked(batch.column(2).to_pylist()):
                 shingles, begins = flat_shingles(*flat_words(texts))
                 for a, b in zip(begins, begins[1:], strict=False):
-                    s = np.unique(shingles[a:b])
+                    s = distinct(shingles[a:b])
                     if not len(s):
                         out.append((0, b"", [], b""))
                         continue
@@ -304,7 +304,7 @@ def _sets(batches):
         sets = []
         for _, texts in chunked(batch.column(3).to_pylist()):
             shingles, begins = flat_shingles(*flat_words(texts))
-            sets += [np.unique(shingles[a:b]).tobytes() for a, b in zip(begins, begins[1:], strict=False)]
+            sets += [distinct(shingles[a:b]).tobytes() for a, b in zip(begins, begins[1:], strict=False)]
         yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], names=["label", "n", "node", "set"])
 
 

@@ -4,6 +4,7 @@ The goal is the order of all suffixes only as far as their first ``LENGTH`` byte
 prefixes are equal, and in which document each is first. So the difference-cover recursion is run to
 that depth and no further.
 
+0. Copies. A text equal to one with a smaller id goes whole; only the others are looked at.
 1. Sample. Positions whose residue modulo ``PERIOD`` is in a difference cover: any two positions have
    a shift below the period at which both are sampled. Sampled tuples of ``LENGTH - PERIOD + 1`` bytes
    are sorted and named; two equal prefixes share a name at such a shift.
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import stored, text_of
+from citeloom.llm.shingles import distinct
 
 LENGTH = 50
-PERIOD = 31
-#: A perfect difference set modulo 31; fixed values.
-COVER = (1, 5, 11, 24, 25, 27)
+PERIOD = 13
+#: A perfect difference set modulo 13; fixed values.
+COVER = (0, 1, 3, 9)
 TUPLE = LENGTH - PERIOD + 1
 BLOCK_BYTES = 4 << 20
 BUCKET_NAMES = 2 << 20
@@ -63,6 +65,13 @@ def named(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
+def _begins(ranked: np.ndarray) -> np.ndarray:
+    """Whether each of sorted values differs from the one before it."""
+    new = np.ones(len(ranked), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    return new
+
+
 def pack(sorted_values: np.ndarray) -> bytes:
     """Sorted 64-bit values as compressed differences, the bytes of one place together."""
     gaps = np.diff(sorted_values, prepend=np.uint64(0))
@@ -80,11 +89,21 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
 
 
+def held(names: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which names the sorted array ``among`` has; looked up in sorted order, which is kind to the cache."""
+    out = np.zeros(len(names), bool)
+    if len(among) and len(names):
+        order = np.argsort(names)
+        ranked = names[order]
+        out[order] = among[np.minimum(np.searchsorted(among, ranked), len(among) - 1)] == ranked
+    return out
+
+
 class Texts:
     """A block's texts in one buffer, ordered by id."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.ChunkedArray | pa.Array):
-        binary = texts.cast(pa.binary())
+    def __init__(self, table: pa.Table, side: pa.Table):
+        ids, binary = table.column("doc_id").to_numpy(), table.column("text").cast(pa.binary())
         order = np.argsort(ids, kind="stable")
         parts = binary.take(pa.array(order)).to_pylist()
         self.order, self.ids = order, ids[order]
@@ -93,11 +112,12 @@ class Texts:
         self.data = np.frombuffer(b"".join([*parts, b"\0" * 8]), np.uint8)
         self.n = int(self.starts[-1])
         self.doc = np.repeat(np.arange(len(parts), dtype=np.int32), self.sizes)
+        self.copy = np.isin(self.ids, side.filter(pc.equal(side.column("kind"), COPIES)).column("id").to_numpy())
         self.left = (np.repeat(self.starts[1:], self.sizes) - np.arange(self.n)).astype(np.int32)  # bytes to the text's end
 
     def sampled(self) -> np.ndarray:
         inside = (np.arange(self.n) - np.repeat(self.starts[:-1], self.sizes)) % PERIOD
-        return np.flatnonzero(_IN_COVER[inside] & (self.left >= TUPLE))
+        return np.flatnonzero(_IN_COVER[inside] & (self.left >= TUPLE) & ~self.copy[self.doc])
 
     def sample_names(self, at: np.ndarray, bits: int) -> np.ndarray:
         return named(self.data, at, TUPLE) >> np.uint64(64 - bits)
@@ -106,12 +126,11 @@ class Texts:
         """Positions whose prefix may repeat: a shared name is sampled within a period."""
         at = self.sampled()
         names = self.sample_names(at, bits)
-        place = np.minimum(np.searchsorted(shared, names), max(0, len(shared) - 1))
-        hit = at[shared[place] == names] if len(shared) else at[:0]
+        hit = at[held(names, shared)]
         seen = np.zeros(self.n + PERIOD + 1, np.int32)
         seen[hit + 1] = 1
         np.cumsum(seen, out=seen)
-        return np.flatnonzero((seen[PERIOD : self.n + PERIOD] > seen[: self.n]) & (self.left >= LENGTH))
+        return np.flatnonzero((seen[PERIOD : self.n + PERIOD] > seen[: self.n]) & (self.left >= LENGTH) & ~self.copy[self.doc])
 
 
 # -- Spark ---------------------------------------------------------------------------------------
@@ -139,6 +158,9 @@ def blocked(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
 
 
 RUN = "block long, bucket long, twice boolean, names binary"
+RUN_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("twice", pa.bool_()), ("names", pa.binary())])
+#: What comes to a block beside its texts: names shared, names that are older, ids of copies.
+SHARED, OLDER, COPIES = 0, 1, 2
 
 
 def _runs(block: int, names: np.ndarray, twice: bool, shift: int):
@@ -157,34 +179,19 @@ def _runs(block: int, names: np.ndarray, twice: bool, shift: int):
 def _sample(bits: int, shift: int):
     """Runs of each block's sampled names; ``twice`` has those that two of its documents have."""
 
-    def go(batches):
-        held: list[pa.RecordBatch] = []
-
-        def flush():
-            table = pa.Table.from_batches(held)
-            texts = Texts(table.column("doc_id").to_numpy(), table.column("text"))
-            at = texts.sampled()
-            names, doc = texts.sample_names(at, bits), texts.doc[at]
-            order = np.argsort(names, kind="stable")
-            names, doc = names[order], doc[order]
-            first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
-            last = np.append(first[1:], len(names)) - 1
-            many = doc[first] != doc[last] if len(first) else np.zeros(0, bool)
-            block = table.column("block")[0].as_py()
-            yield from _runs(block, names[first][~many], False, shift)
-            yield from _runs(block, names[first][many], True, shift)
-
-        for batch in batches:
-            numbers = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b > a:
-                    if held and held[0].column(0)[0].as_py() != numbers[a]:
-                        yield from flush()
-                        held = []
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield from flush()
+    def go(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = Texts(left, right)
+        at = texts.sampled()
+        names, doc = texts.sample_names(at, bits), texts.doc[at]
+        order = np.argsort(names)
+        names, doc = names[order], doc[order]
+        first = np.flatnonzero(_begins(names))
+        many = np.zeros(0, bool)
+        if len(first):
+            many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        block = left.column("block")[0].as_py()
+        rows = [*_runs(block, names[first][~many], False, shift), *_runs(block, names[first][many], True, shift)]
+        return pa.Table.from_batches(rows, schema=RUN_SCHEMA)
 
     return go
 
@@ -197,12 +204,15 @@ def _merge(pick):
         parts = [unpack(blob) for _, _, blob in rows]
         names = np.concatenate(parts)
         owner = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         names, owner = names[order], owner[order]
         block = np.array([r[0] for r in rows], np.int64)[owner]
         keep = pick(names, block, np.array([r[1] for r in rows])[owner])
         names, block = names[keep], block[keep]
-        out = [(int(b), pack(np.unique(names[block == b]))) for b in np.unique(block)]
+        order = np.lexsort((names, block))
+        names, block = names[order], block[order]
+        cuts = np.append(np.flatnonzero(_begins(block)), len(block))
+        out = [(int(block[a]), pack(distinct(names[a:b]))) for a, b in zip(cuts, cuts[1:], strict=False)]
         if out:
             yield pa.record_batch(
                 [pa.array([b for b, _ in out], pa.int64()), pa.array([number] * len(out), pa.int64()), pa.array([False] * len(out)), pa.array([x for _, x in out], pa.binary())],
@@ -224,42 +234,29 @@ def _merge(pick):
     return go
 
 
-def _first_of(names: np.ndarray) -> np.ndarray:
-    """For sorted names, where the run of equal ones that each is in begins."""
-    new = np.append(True, names[1:] != names[:-1])
-    return np.maximum.accumulate(np.where(new, np.arange(len(names)), 0))
-
-
 def _pick_shared(names: np.ndarray, block: np.ndarray, twice: np.ndarray) -> np.ndarray:
     """Names of two blocks, or of two documents of a block."""
-    group = np.cumsum(np.append(True, names[1:] != names[:-1])) - 1
+    group = np.cumsum(_begins(names)) - 1
     return ((np.bincount(group) > 1) | (np.bincount(group, twice) > 0))[group]
 
 
 def _pick_older(names: np.ndarray, block: np.ndarray, twice: np.ndarray) -> np.ndarray:
     """Names that an earlier block has too."""
-    group = np.cumsum(np.append(True, names[1:] != names[:-1])) - 1
-    low = np.full(group[-1] + 1, LAST)
-    np.minimum.at(low, group, block)
-    return low[group] < block
+    group = np.cumsum(_begins(names)) - 1
+    return np.minimum.reduceat(block, np.flatnonzero(_begins(names)))[group] < block
 
 
-def _joined(runs: pa.Table) -> np.ndarray:
-    """The names of a block's runs, which come in any order of buckets, sorted."""
-    parts = [unpack(x) for x in runs.column("names").to_pylist()]
+def _joined(side: pa.Table, kind: int) -> np.ndarray:
+    """The names of one kind that came to a block, in runs of any order, sorted."""
+    parts = [unpack(x) for x in side.filter(pc.equal(side.column("kind"), kind)).column("names").to_pylist()]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def _texts(left: pa.Table) -> Texts:
-    return Texts(left.column("doc_id").to_numpy(), left.column("text"))
-
-
 def _prefixes(bits: int, shift: int):
     def go(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, block = _texts(left), left.column("block")[0].as_py() if left.num_rows else 0
-        names = np.unique(named(texts.data, texts.suspects(_joined(right), bits), LENGTH))
-        rows = list(_runs(block, names, False, shift))
-        return pa.Table.from_batches(rows, schema=pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("twice", pa.bool_()), ("names", pa.binary())]))
+        texts = Texts(left, right)
+        names = distinct(named(texts.data, texts.suspects(_joined(right, SHARED), bits), LENGTH))
+        return pa.Table.from_batches(list(_runs(left.column("block")[0].as_py(), names, False, shift)), schema=RUN_SCHEMA)
 
     return go
 
@@ -268,22 +265,20 @@ def _cut(bits: int):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def go(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = _texts(left)
-        kind = np.array(right.column("older").to_pylist(), bool)
-        shared, older = (_joined(right.filter(pa.array(k))) for k in (~kind, kind))
+        texts = Texts(left, right)
+        shared, older = _joined(right, SHARED), _joined(right, OLDER)
         at = texts.suspects(shared, bits)
         names = named(texts.data, at, LENGTH)
-        order = np.argsort(names, kind="stable")  # positions, and so documents, in order inside a name
-        ranked = names[order]
-        first = _first_of(ranked) if len(ranked) else np.zeros(0, np.int64)
-        before = np.empty(len(at), bool)
-        before[order] = texts.ids[texts.doc[at[order][first]]] < texts.ids[texts.doc[at[order]]]
-        if len(older):
-            before |= older[np.minimum(np.searchsorted(older, names), len(older) - 1)] == names
+        before = held(names, older)
+        order = np.argsort(names)
+        first = np.flatnonzero(_begins(names[order]))
+        if len(first):  # a name's first position in the block; documents stand in the order of their ids
+            lowest = np.repeat(np.minimum.reduceat(at[order], first), np.diff(np.append(first, len(at))))
+            before[order] |= texts.ids[texts.doc[lowest]] < texts.ids[texts.doc[at[order]]]
         edge = np.zeros(texts.n + 1, np.int32)
-        np.add.at(edge, at[before], 1)
-        np.add.at(edge, at[before] + LENGTH, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        edge[at[before]] += 1  # positions are distinct
+        edge[at[before] + LENGTH] -= 1
+        gone = (np.cumsum(edge[:-1]) > 0) | (texts.copy & (texts.sizes >= LENGTH))[texts.doc]
         spans, kept = [], []
         for a, b in zip(texts.starts, texts.starts[1:], strict=False):
             g = gone[a:b]
@@ -304,17 +299,23 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(1, ceil(total * len(COVER) / PERIOD / BUCKET_NAMES))
     spread = ceil(log2(buckets))  # buckets are the top bits of a name
 
-    runs = blocks.mapInArrow(_sample(bits, bits - spread), RUN)
-    dealt = runs.repartition("bucket").sortWithinPartitions("bucket", "block")
-    shared = stored(dealt.mapInArrow(_merge(_pick_shared), RUN), "repeats-shared")
-
-    prefixes = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(shared.select("block", "names").groupBy("block")).applyInArrow(_prefixes(bits, 64 - spread), RUN)
-    dealt = prefixes.repartition("bucket").sortWithinPartitions("bucket", "block")
-    older = stored(dealt.mapInArrow(_merge(_pick_older), RUN), "repeats-older")
-
-    both = shared.select("block", "names", F.lit(False).alias("older")).union(older.select("block", "names", F.lit(True).alias("older")))
+    keyed = blocks.select("block", "doc_id", F.md5("text").alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = keyed.join(firsts, "key").where("doc_id > first").select("block", F.lit(COPIES).alias("kind"), F.lit(None).cast("binary").alias("names"), F.col("doc_id").alias("id"))
+    side = stored(copies, "repeats-copies")
+    texts = blocks.groupBy("block")
+
+    def merged(runs: DataFrame, pick, kind: int, label: str) -> DataFrame:
+        dealt = runs.repartition("bucket").sortWithinPartitions("bucket", "block")
+        out = dealt.mapInArrow(_merge(pick), RUN).select("block", F.lit(kind).alias("kind"), "names", F.lit(None).cast("long").alias("id"))
+        return stored(out, label)
+
+    runs = texts.cogroup(side.groupBy("block")).applyInArrow(_sample(bits, bits - spread), RUN)
+    side = side.union(merged(runs, _pick_shared, SHARED, "repeats-shared"))
+    prefixes = texts.cogroup(side.groupBy("block")).applyInArrow(_prefixes(bits, 64 - spread), RUN)
+    side = side.union(merged(prefixes, _pick_older, OLDER, "repeats-older"))
     out = "doc_id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary"
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cut(bits), out)
+    return texts.cogroup(side.groupBy("block")).applyInArrow(_cut(bits), out)
 
 
 def digest(repeats: DataFrame) -> DataFrame:
