@@ -2,4 +2,6 @@
 
 from citeloom.queries.registry import ORACLES, QUERIES
 
+from citeloom.queries import aggregates, joins, temporal, windows  # noqa: E402,F401  (register)
+
 __all__ = ["ORACLES", "QUERIES"]
