@@ -24,6 +24,7 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from math import ceil, log2
 
 import numpy as np
@@ -100,18 +101,16 @@ def held(names: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 class Texts:
-    """A block's texts in one buffer, ordered by id."""
-
-    def __init__(self, table: pa.Table, side: pa.Table):
-        ids, binary = table.column("doc_id").to_numpy(), table.column("text").cast(pa.binary())
-        order = np.argsort(ids, kind="stable")
-        parts = binary.take(pa.array(order)).to_pylist()
-        self.order, self.ids = order, ids[order]
-        self.sizes = np.array([len(p) for p in parts], np.int64)
+    """A block's texts in one buffer, ordered by id, and which of them are copies of earlier ones."""
+
+    def __init__(self, row: pa.Table, side: pa.Table):
+        self.block, self.ids, self.no_id, self.sizes = (row.column(c)[0].as_py() for c in ("block", "ids", "no_id", "sizes"))
+        self.ids, self.no_id, self.sizes = np.frombuffer(self.ids, np.int64), np.frombuffer(self.no_id, bool), np.frombuffer(self.sizes, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.data = np.frombuffer(b"".join([*parts, b"\0" * 8]), np.uint8)
         self.n = int(self.starts[-1])
-        self.doc = np.repeat(np.arange(len(parts), dtype=np.int32), self.sizes)
+        data = pa.decompress(row.column("data")[0].as_py(), decompressed_size=self.n + 8, codec=_CODEC, asbytes=True)
+        self.data = np.frombuffer(data, np.uint8)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
         self.copy = np.isin(self.ids, side.filter(pc.equal(side.column("kind"), COPIES)).column("id").to_numpy())
         self.left = (np.repeat(self.starts[1:], self.sizes) - np.arange(self.n)).astype(np.int32)  # bytes to the text's end
 
@@ -136,25 +135,48 @@ class Texts:
 # -- Spark ---------------------------------------------------------------------------------------
 
 
+BLOCK = "block long, ids binary, no_id binary, sizes binary, keys binary, n_bytes long, data binary"
+
+
 def blocked(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
-    """block, doc_id, text; stored. Blocks are consecutive ranges of doc_id."""
+    """One row a block: ids, sizes and digests of its texts as arrays, the texts themselves compressed
+    together; stored. Blocks are consecutive ranges of doc_id; rows of one id stay together."""
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc_id"), docs["doc_id"].isNull().alias("no_id"), text_of(docs).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
-    def number(batches):
-        block, size, last = TaskContext.get().partitionId() << 32, 0, None
+    def pack_rows(batches):
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def packed():
+            ids, no_id, texts = zip(*held, strict=True)
+            keys = b"".join(hashlib.md5(t, usedforsecurity=False).digest() for t in texts)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            data = pa.compress(b"".join([*texts, b"\0" * 8]), codec=_CODEC, asbytes=True)
+            row = (block, np.array(ids, np.int64).tobytes(), np.array(no_id, bool).tobytes(), sizes.tobytes(), keys, int(sizes.sum()), data)
+            kinds = (pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.binary())
+            return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in BLOCK.split(", ")])
+
         for batch in batches:
-            ids, sizes = batch.column(0).to_numpy(), pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
-            out = np.empty(len(ids), np.int64)
-            for i, (doc, n) in enumerate(zip(ids.tolist(), sizes.tolist(), strict=True)):
-                if size and size + n > most and doc != last:  # rows of one id stay together
-                    block, size = block + 1, 0
-                size += n
-                last = doc
-                out[i] = block
-            yield pa.record_batch([pa.array(out), *batch.columns], names=["block", "doc_id", "no_id", "text"])
+            for doc, no_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = text.as_py().encode("utf-8", "surrogatepass")
+                if held and size + len(text) > most and doc != held[-1][0]:
+                    yield packed()
+                    block, held, size = block + 1, [], 0
+                held.append((doc, no_id, text))
+                size += len(text)
+        if held:
+            yield packed()
+
+    return stored(dealt.mapInArrow(pack_rows, BLOCK), "repeats-blocks")
+
 
-    return stored(dealt.mapInArrow(number, "block long, doc_id long, no_id boolean, text string"), "repeats-blocks")
+def _keys(batches):
+    """block, doc_id, key of every text of the blocks."""
+    for batch in batches:
+        for block, ids, keys in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            ids = np.frombuffer(ids, np.int64)
+            digests = [keys[i : i + 16] for i in range(0, len(keys), 16)]
+            yield pa.record_batch([pa.array(np.full(len(ids), block)), pa.array(ids), pa.array(digests, pa.binary())], names=["block", "doc_id", "key"])
 
 
 RUN = "block long, bucket long, twice boolean, names binary"
@@ -189,8 +211,7 @@ def _sample(bits: int, shift: int):
         many = np.zeros(0, bool)
         if len(first):
             many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        block = left.column("block")[0].as_py()
-        rows = [*_runs(block, names[first][~many], False, shift), *_runs(block, names[first][many], True, shift)]
+        rows = [*_runs(texts.block, names[first][~many], False, shift), *_runs(texts.block, names[first][many], True, shift)]
         return pa.Table.from_batches(rows, schema=RUN_SCHEMA)
 
     return go
@@ -256,7 +277,7 @@ def _prefixes(bits: int, shift: int):
     def go(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = Texts(left, right)
         names = distinct(named(texts.data, texts.suspects(_joined(right, SHARED), bits), LENGTH))
-        return pa.Table.from_batches(list(_runs(left.column("block")[0].as_py(), names, False, shift)), schema=RUN_SCHEMA)
+        return pa.Table.from_batches(list(_runs(texts.block, names, False, shift)), schema=RUN_SCHEMA)
 
     return go
 
@@ -285,7 +306,7 @@ def _cut(bits: int):
             change = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
             spans.append([{"start": s, "end": e} for s, e in change.reshape(-1, 2).tolist()])
             kept.append(texts.data[a:b][~g].tobytes())
-        ids = np.where(np.array(left.column("no_id").to_pylist(), bool)[texts.order], None, texts.ids) if left.num_rows else []
+        ids = np.where(texts.no_id, None, texts.ids)
         return pa.table({"doc_id": pa.array(list(ids), pa.int64()), "n_bytes": pa.array(texts.sizes), "spans": pa.array(spans, pa.list_(span)), "kept": pa.array(kept, pa.binary())})
 
     return go
@@ -294,16 +315,16 @@ def _cut(bits: int):
 def find_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of removed runs), kept (the other bytes) of every row."""
     blocks = blocked(docs)
-    total = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0] + 2
+    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).cast("long")).first()[0] + 2
     bits = min(64, ceil(log2(total)) + 8)
     buckets = max(1, ceil(total * len(COVER) / PERIOD / BUCKET_NAMES))
     spread = ceil(log2(buckets))  # buckets are the top bits of a name
 
-    keyed = blocks.select("block", "doc_id", F.md5("text").alias("key"))
+    keyed = blocks.select("block", "ids", "keys").mapInArrow(_keys, "block long, doc_id long, key binary")
     firsts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = keyed.join(firsts, "key").where("doc_id > first").select("block", F.lit(COPIES).alias("kind"), F.lit(None).cast("binary").alias("names"), F.col("doc_id").alias("id"))
     side = stored(copies, "repeats-copies")
-    texts = blocks.groupBy("block")
+    texts = blocks.select("block", "ids", "no_id", "sizes", "data").groupBy("block")
 
     def merged(runs: DataFrame, pick, kind: int, label: str) -> DataFrame:
         dealt = runs.repartition("bucket").sortWithinPartitions("bucket", "block")
