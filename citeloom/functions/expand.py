@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import DASH, book_number, column_endpoint, group, line_end, number, section_endpoint
+from citeloom.functions.text import DASH, book_number, column_endpoint, group, let, line_end, number, section_endpoint
 
 CAPS = {"stephanus": 40, "bekker": 20, "homer": 30, "pindar": 20, "nt": 30}
 SECTIONS = "abcde"
@@ -24,33 +24,43 @@ def _listed(lo: Column, hi: Column, cap: int, unit) -> Column:
 def stephanus(cell: Column, cap: int = CAPS["stephanus"]) -> Column:
     """620a-622c to its thirteen sections: a page and section are one number, five to a page."""
     first, last = _ends(cell)
-    a, b = section_endpoint(first), section_endpoint(last)
-    start = a["page"] * 5 + F.ascii(a["section"]) - 97
-    end = F.coalesce(b["page"], a["page"]) * 5 + F.ascii(F.coalesce(b["section"], a["section"])) - 97
     unit = lambda k: F.concat(F.floor(k / 5).cast("string"), F.substr(F.lit(SECTIONS), k % 5 + 1, F.lit(1)))
-    ok = a["page"].isNotNull() & a["section"].isNotNull()
-    return F.when(~cell.rlike(DASH), F.array(cell)).when(ok, _listed(start, end, cap, unit))
+
+    def body(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        start = a["page"] * 5 + F.ascii(a["section"]) - 97
+        end = F.coalesce(b["page"], a["page"]) * 5 + F.ascii(F.coalesce(b["section"], a["section"])) - 97
+        return let(F.struct(start.alias("lo"), end.alias("hi")), lambda k: _listed(k["lo"], k["hi"], cap, unit))
+
+    ends = F.struct(section_endpoint(first).alias("a"), section_endpoint(last).alias("b"))
+    ok = cell.rlike(r"^\s*\d{2,4}\s*[a-eA-E]")
+    return F.when(~cell.rlike(DASH), F.array(cell)).when(ok, let(ends, body))
 
 
 def bekker(cell: Column, cap: int = CAPS["bekker"]) -> Column:
     """A range to its 15-line bands, three to a column; a single cell keeps its line."""
     first, last = _ends(cell)
-    a, b = column_endpoint(first), column_endpoint(last)
-    page, col = F.coalesce(b["page"], a["page"]), F.coalesce(b["col"], a["col"])
-    place = lambda p, c, band: p * 6 + (F.ascii(c) - 97) * 3 + F.least(band, F.lit(2))
-    band_a, band_b = F.floor(a["line"] / 15).cast("int"), F.floor(b["line"] / 15).cast("int")
     label = lambda p, c, band: F.concat(p.cast("string"), c, F.when(band == 0, "").otherwise((band * 15).cast("string")))
+    unit = lambda k: label(F.floor(k / 6), F.when(k % 6 < 3, "a").otherwise("b"), k % 3)
+    place = lambda at: at["page"] * 6 + (F.ascii(at["col"]) - 97) * 3 + F.least(at["band"], F.lit(2))
+    at = lambda page, col, line: F.struct(page.alias("page"), col.alias("col"), F.floor(line / 15).cast("int").alias("band"))
 
-    def unit(k: Column) -> Column:
-        return label(F.floor(k / 6), F.when(k % 6 < 3, "a").otherwise("b"), k % 3)
+    def body(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        spot = F.struct(at(a["page"], a["col"], a["line"]).alias("a"), at(F.coalesce(b["page"], a["page"]), F.coalesce(b["col"], a["col"]), b["line"]).alias("b"))
+        return let(spot, units)
 
-    start = place(a["page"], a["col"], band_a)
-    listed = _listed(start, place(page, col, band_b), cap, unit)
-    # A line beyond the third band opens its column's last unit under its own band.
-    own = F.concat(F.array(label(a["page"], a["col"], band_a)), F.slice(listed, F.lit(2), F.size(listed)))
-    ordered = F.struct(a["page"], a["col"], band_a) <= F.struct(page, col, band_b)
-    ok = a["page"].isNotNull() & a["col"].isNotNull() & ordered
-    return F.when(~cell.rlike(DASH), F.array(cell)).when(ok, F.when(listed.isNotNull(), F.when(band_a > 2, own).otherwise(listed)))
+    def units(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        # A line beyond the third band opens its column's last unit under its own band.
+        own = lambda rows: F.concat(F.array(label(a["page"], a["col"], a["band"])), F.slice(rows, F.lit(2), F.size(rows)))
+        ends = F.struct(place(a).alias("lo"), place(b).alias("hi"))
+        listed = let(ends, lambda k: _listed(k["lo"], k["hi"], cap, unit))
+        return F.when(a <= b, F.when(a["band"] > 2, let(listed, own)).otherwise(listed))
+
+    ends = F.struct(column_endpoint(first).alias("a"), column_endpoint(last).alias("b"))
+    ok = cell.rlike(r"^\s*\d{3,4}\s*[abAB]")
+    return F.when(~cell.rlike(DASH), F.array(cell)).when(ok, let(ends, body))
 
 
 _EPIC = r"(?i)^\s*(Iliad|Odyssey|Il|Od)\.?\s*(\d{1,2}|[ivxlcdm]{1,7})[.,\s]\s*(\d{1,3})(?:\s*[-–—]\s*(\d{1,3}))?"
@@ -58,15 +68,22 @@ _ODE = r"(?i)^\s*(Olympian|Pythian|Nemean|Isthmian|Ol|Pyth|Nem|Isth)\.?\s*(\d{1,
 
 
 def _lines(cell: Column, pattern: str, cue: Column, most_book: int, cap: int, lengths: Column | None) -> Column:
-    book, start = book_number(group(cell, pattern, 2)), number(cell, pattern, 3)
-    end = F.coalesce(line_end(start, group(cell, pattern, 4)), start)
-    ok = book.between(1, most_book) & (start >= 1)
-    if lengths is not None:
-        longest = F.get(lengths, book - 1)
-        ok = ok & (longest.isNull() | ((start <= longest) & (end <= longest)))
-    unit = lambda n: F.concat(cue, F.lit(". "), book.cast("string"), F.lit("."), n.cast("string"))
-    parsed = group(cell, pattern, 1).isNotNull() & book.isNotNull()
-    return F.when(~parsed, F.array(cell)).when(ok, _listed(start, end, cap, unit))
+    start = number(cell, pattern, 3)
+    ref = F.struct(cue.alias("cue"), book_number(group(cell, pattern, 2)).alias("book"), start.alias("start"), group(cell, pattern, 4).alias("tail"))
+
+    def body(r: Column) -> Column:
+        unit = lambda n: F.concat(r["cue"], F.lit(". "), r["book"].cast("string"), F.lit("."), n.cast("string"))
+
+        def lines(end: Column) -> Column:
+            ok = r["book"].between(1, most_book) & (r["start"] >= 1)
+            if lengths is not None:
+                longest = F.get(lengths, r["book"] - 1)
+                ok = ok & (longest.isNull() | ((r["start"] <= longest) & (end <= longest)))
+            return F.when(ok, _listed(r["start"], end, cap, unit))
+
+        return F.when(r["book"].isNull(), F.array(cell)).otherwise(let(F.coalesce(line_end(r["start"], r["tail"]), r["start"]), lines))
+
+    return F.when(cell.rlike(pattern), let(ref, body)).otherwise(F.array(cell))
 
 
 def homer(cell: Column, lengths: Column | None = None, cap: int = CAPS["homer"]) -> Column:
@@ -84,26 +101,32 @@ _VERSE = r"(\d{1,3}):(\d{1,3})(?:\s*[-–—]\s*(?:(\d{1,3}):)?(\d{1,3}))?"
 
 def nt(cell: Column, lengths: Column | None = None, cap: int = CAPS["nt"]) -> Column:
     """Chapter:verse cells; ``lengths`` has the verses of each chapter of the cell's book."""
+    part = lambda n: number(cell, _VERSE, n)
     cue = F.trim(F.regexp_extract(cell, r"^(.*?)\d{1,3}:\d{1,3}", 1))
-    ch, v = number(cell, _VERSE, 1), number(cell, _VERSE, 2)
-    to_ch, tail = number(cell, _VERSE, 3), group(cell, _VERSE, 4)
-    unit = lambda c, n: F.trim(F.concat(cue, F.lit(" "), c.cast("string"), F.lit(":"), n.cast("string")))
+    ref = F.struct(cue.alias("cue"), part(1).alias("ch"), part(2).alias("v"), part(3).alias("to"), group(cell, _VERSE, 4).alias("tail"))
     lengths = F.lit(None).cast("array<int>") if lengths is None else lengths
     known = lengths.isNotNull()
     size = lambda c: F.when(c >= 1, F.get(lengths, c - 1))
-    end = F.coalesce(line_end(v, tail), v)
-    inside = ~known | (F.coalesce(v <= size(ch), F.lit(False)) & F.coalesce(end <= size(ch), F.lit(False)))
-    same = F.when(inside, _listed(v, end, cap, lambda n: unit(ch, n)))
-    last = tail.try_cast("int")
-    good = known & (ch >= 1) & (to_ch <= F.size(lengths)) & (to_ch > ch) & (v <= size(ch)) & (last <= size(to_ch))
-
-    def chapter(c: Column) -> Column:
-        lo, hi = F.when(c == ch, v).otherwise(1), F.when(c == to_ch, last).otherwise(size(c))
-        return F.when(hi >= lo, F.transform(F.sequence(lo, hi), lambda n: unit(c, n))).otherwise(F.array().cast("array<string>"))
-
-    across = F.when(good, F.flatten(F.transform(F.sequence(ch, to_ch), chapter)))
-    across = F.when(F.size(across) <= cap, across)
-    return F.when(ch.isNull(), F.array(cell)).when(to_ch.isNull() | (to_ch == ch), same).otherwise(across)
+
+    def body(r: Column) -> Column:
+        ch, v, to = r["ch"], r["v"], r["to"]
+        unit = lambda c, n: F.trim(F.concat(r["cue"], F.lit(" "), c.cast("string"), F.lit(":"), n.cast("string")))
+
+        def same(end: Column) -> Column:
+            inside = ~known | (F.coalesce(v <= size(ch), F.lit(False)) & F.coalesce(end <= size(ch), F.lit(False)))
+            return F.when(inside, _listed(v, end, cap, lambda n: unit(ch, n)))
+
+        last = r["tail"].try_cast("int")
+        good = known & (ch >= 1) & (to <= F.size(lengths)) & (to > ch) & (v <= size(ch)) & (last <= size(to))
+
+        def chapter(c: Column) -> Column:
+            lo, hi = F.when(c == ch, v).otherwise(1), F.when(c == to, last).otherwise(size(c))
+            return F.when(hi >= lo, F.transform(F.sequence(lo, hi), lambda n: unit(c, n))).otherwise(F.array().cast("array<string>"))
+
+        across = let(F.when(good, F.flatten(F.transform(F.sequence(ch, to), chapter))), lambda rows: F.when(F.size(rows) <= cap, rows))
+        return F.when(to.isNull() | (to == ch), let(F.coalesce(line_end(v, r["tail"]), v), same)).otherwise(across)
+
+    return F.when(cell.rlike(_VERSE), let(ref, body)).otherwise(F.array(cell))
 
 
 def expand(cell: Column, system: Column, lengths: Column | None = None) -> Column:

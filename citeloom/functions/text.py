@@ -13,6 +13,11 @@ _ACCENTED = [c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normaliz
 _PLAIN = [unicodedata.normalize("NFKD", c)[0] for c in _ACCENTED]
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` as often as wanted (a transform over one element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def group(c: Column, pattern: str, n: int = 1) -> Column:
     """A regex group, null where it is empty or nothing matches."""
     return F.nullif(F.regexp_extract(c, pattern, n), F.lit(""))

@@ -42,7 +42,9 @@ def patterns() -> dict[str, str]:
 
 def found(page: Column, system: str, pattern: str) -> Column:
     """All matches of one pattern: (start, end, corpus, match)."""
-    whole = rf"(?s)(?U)(.*?)({pattern})".replace("(?i)", "") if "(?i)" not in pattern else rf"(?s)(?U)(?i)(.*?)({pattern.replace('(?i)', '')})"
+    # \G ties each gap to the match before it: without it a page that doesn't match is scanned from every start.
+    flags = "(?s)(?U)(?i)" if "(?i)" in pattern else "(?s)(?U)"
+    whole = rf"\G{flags}(.*?)({pattern.replace('(?i)', '')})"
     gaps, hits = F.regexp_extract_all(page, F.lit(whole), F.lit(1)), F.regexp_extract_all(page, F.lit(whole), F.lit(2))
     pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), h.alias("match")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,corpus:string,match:string>>").alias("out"))
