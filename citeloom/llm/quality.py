@@ -5,7 +5,7 @@ inside its row, so nothing is grouped and no key can be hot.
 
 Defined results: null text reads as empty and measures 0 everywhere; ratios with a zero denominator
 are 0; repeated rows are judged one by one; an empty table gives no rows; columns of the input are
-kept as they are and temporary names start with ``__q_``.
+kept as they are and no column is added to them.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class Rule:
     most: float | None = None
 
 
-#: Measures: see ``measures``. A document is kept if it meets every rule.
+#: Measures: see ``measured``. A document is kept if it meets every rule.
 RULES = (
     Rule("n_words", least=50),
     Rule("mean_word_chars", least=2.0, most=12.0),
@@ -91,65 +91,59 @@ def _without(text: Column, drop: str) -> Column:
     return F.translate(text, drop, "")
 
 
-def measures(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the measures appended, each named ``prefix`` + measure."""
-    body = text_of(docs, text)
-    base = docs.withColumns({"__q_text": body, "__q_words": F.filter(F.split(body, WORD_BREAK), lambda w: w != "")})
-    words, body = F.col("__q_words"), F.col("__q_text")
-    n = F.col("__q_n")
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    "mean_word_chars", "symbol_ratio", "stop_ratio", "dup_line_ratio", "repeat_ratio",
+)
 
+
+def measured(text: Column) -> Column:
+    """All measures of a text as one struct. Words and counts are bound, so a filter on the result
+    evaluates nothing twice."""
     lines = let(
-        F.filter(F.split(body, "\n"), lambda x: F.length(_without(x, SPACES)) > 0),
+        F.filter(F.split(text, "\n"), lambda x: F.length(_without(x, SPACES)) > 0),
         lambda x: F.struct(F.size(x).cast("long").alias("all"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")),
     )
-    counted = base.withColumns(
-        {
-            "__q_n": F.size(words).cast("long"),
-            "__q_chars": F.char_length(_without(body, SPACES)).cast("long"),
-            "__q_symbols": (F.char_length(body) - F.char_length(_without(body, SYMBOLS))).cast("long"),
-            "__q_stops": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
-            "__q_lines": lines,
-            "__q_repeat": let(words, _repeated_words).cast("long"),
-        }
-    )
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    named = {
-        "n_words": n,
-        "word_chars": F.col("__q_chars"),
-        "n_symbols": F.col("__q_symbols"),
-        "n_dup_lines": F.col("__q_lines.dup"),
-        "n_repeat_words": F.col("__q_repeat"),
-        "mean_word_chars": ratio(F.col("__q_chars"), n),
-        "symbol_ratio": ratio(F.col("__q_symbols"), n),
-        "stop_ratio": ratio(F.col("__q_stops"), n),
-        "dup_line_ratio": ratio(F.col("__q_lines.dup"), F.col("__q_lines.all")),
-        "repeat_ratio": ratio(F.col("__q_repeat"), n),
-    }
-    return counted.select(*[docs[c] for c in docs.columns], *[c.alias(prefix + k) for k, c in named.items()])
-
-
-def verdict(rules=RULES, prefix: str = "") -> Column:
+
+    def counts(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n"),
+            F.char_length(_without(text, SPACES)).cast("long").alias("chars"),
+            (F.char_length(text) - F.char_length(_without(text, SYMBOLS))).cast("long").alias("symbols"),
+            F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("stops"),
+            lines.alias("lines"),
+            _repeated_words(words).cast("long").alias("repeat"),
+        )
+
+    def named(c: Column) -> Column:
+        ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+        values = (
+            c["n"], c["chars"], c["symbols"], c["lines"]["dup"], c["repeat"],
+            ratio(c["chars"], c["n"]), ratio(c["symbols"], c["n"]), ratio(c["stops"], c["n"]), ratio(c["lines"]["dup"], c["lines"]["all"]), ratio(c["repeat"], c["n"]),
+        )
+        return F.struct(*(v.alias(k) for k, v in zip(MEASURES, values, strict=True)))
+
+    return let(let(F.filter(F.split(text, WORD_BREAK), lambda w: w != ""), counts), named)
+
+
+def verdict(m: Column, rules=RULES) -> Column:
     """The table as one boolean expression over the measures."""
-    tests = [F.col(prefix + r.measure) >= r.least for r in rules if r.least is not None]
-    tests += [F.col(prefix + r.measure) <= r.most for r in rules if r.most is not None]
+    tests = [m[r.measure] >= r.least for r in rules if r.least is not None]
+    tests += [m[r.measure] <= r.most for r in rules if r.most is not None]
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def base_failed(prefix: str = "") -> Column:
-    words, repeat = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
-    return (words < 50) | (100 * repeat > 50 * words)
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
 
 def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id with counts, base_failed and kept."""
-    rows = measures(docs.select("doc_id", "text"))
-    failed = base_failed()
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept")
-    )
+    m = F.col("m")
+    rows = docs.select("doc_id", measured(text_of(docs)).alias("m"))
+    return rows.select("doc_id", *(m[k].alias(k) for k in MEASURES[:5]), base_failed(m).alias("base_failed"), (~base_failed(m) & verdict(m, rules)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the same columns."""
-    rows = measures(docs, prefix="__q_m_")
-    return rows.where(~base_failed("__q_m_") & verdict(rules, "__q_m_")).select(*docs.columns)
+    return docs.where(let(measured(text_of(docs)), lambda m: ~base_failed(m) & verdict(m, rules)))
