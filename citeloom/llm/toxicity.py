@@ -53,7 +53,7 @@ def normal(token: str) -> tuple[str, bool]:
     if not any(c.isalpha() for c in token):
         return "", False
     word = INNER.sub("", STRIP.sub("", token).translate(LEET)).lower()
-    return word, word.isalpha() and sum(c.isalpha() for c in bare) * 2 >= len(bare)
+    return word, word.isalpha() and sum(c.isalpha() for c in bare) * 3 >= len(bare)
 
 
 def keys_of(word: str) -> list[str]:
