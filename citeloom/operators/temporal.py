@@ -50,14 +50,18 @@ def early_late(rows: DataFrame) -> DataFrame:
     return units.withColumns({"share_early": share("early"), "share_late": share("late")}).withColumn("delta", F.col("share_late") - F.col("share_early"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson over a group; null below two rows or without variance (corr() itself raises there)."""
+    return F.when(F.count("*") > 1, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def shape(shifts: DataFrame) -> DataFrame:
     """work, n_units, incidences, spearman (null below two units or without variance), tvd."""
     ranked = shifts.withColumns({"__a": average_rank("share_early", "work"), "__b": average_rank("share_late", "work")})
-    flat = (F.stddev_pop("__a") == 0) | (F.stddev_pop("__b") == 0) | (F.count("*") < 2)
     return ranked.groupBy("work").agg(
         F.count("*").alias("n_units"),
         F.sum(F.col("early") + F.col("late")).alias("incidences"),
-        F.when(~flat, F.corr("__a", "__b")).alias("spearman"),
+        correlation("__a", "__b").alias("spearman"),
         (0.5 * F.sum(F.abs("delta"))).alias("tvd"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
 from citeloom.operators import exclude, shapes
+from citeloom.operators.temporal import correlation
 from citeloom.plans.relations import CATALOGUE, catalogue, citations, table
 from citeloom.queries.registry import query
 
@@ -324,8 +325,7 @@ def f24(s, d):
 @query("f26_correlation", "WITH n AS (SELECT page, count(*) FILTER (flag = 'A') AS a, count(*) FILTER (flag = 'R') AS r FROM cit GROUP BY page) SELECT round(corr(a, r), 6) AS pearson FROM n")
 def f26(s, d):
     n = citations(s, d).groupBy("page").agg(F.count_if(c("flag") == "A").alias("a"), F.count_if(c("flag") == "R").alias("r"))
-    flat = (F.stddev_pop("a") == 0) | (F.stddev_pop("r") == 0) | (F.count("*") < 2)
-    return n.agg(F.round(F.when(~flat, F.corr("a", "r")), 6).alias("pearson"))
+    return n.agg(F.round(correlation("a", "r"), 6).alias("pearson"))
 
 
 @query("f27_moments", "SELECT work, round(avg(line), 6) AS mean, round(stddev_pop(line), 6) AS sd FROM cit GROUP BY work")

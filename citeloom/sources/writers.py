@@ -60,6 +60,7 @@ def fill(template: str, totals: dict[str, object]) -> str:
 def nested(rows: DataFrame, *keys: str, value: Column) -> DataFrame:
     """One row: rows as a JSON map of maps, by two keys."""
     outer, inner = keys
-    maps = rows.groupBy(outer).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(inner).cast("string"), value.alias("v"))))).alias("m"))
-    return maps.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(outer).cast("string"), "m"))))).alias("json"))
-
+    text = lambda c: F.col(c).cast("string").alias("k")
+    inside = rows.groupBy(outer).agg(F.sort_array(F.collect_list(F.struct(text(inner), value.alias("v")))).alias("e"))
+    whole = F.sort_array(F.collect_list(F.struct(text(outer), "e")))
+    return inside.agg(F.to_json(F.map_from_entries(F.transform(whole, lambda x: F.struct(x["k"], F.map_from_entries(x["e"]))))).alias("json"))
