@@ -274,7 +274,7 @@ def j12(s, d):
     openings = make([("W", "I", 100, "a", 5), ("W", "II", 120, "b", 0), ("W", "III", 140, "a", 0)], "work string, label string, page int, section string, line int")
     ends = make([("W", 159, "e", 9999)], "work string, page int, section string, line int")
     caps = make([], "work string, label string, page int, section string, line int")
-    rows = citations(s, d).select("ord", F.lit("W").alias("work"), F.concat(c("page").cast("string"), "section", c("line").cast("string")).alias("match"))
+    rows = citations(s, d).select("ord", F.concat(F.lit("W"), F.substring("work", 1, 0)).alias("work"), F.concat(c("page").cast("string"), "section", c("line").cast("string")).alias("match"))
     return facet.facet(rows.withColumn("book", F.lit(None).cast("string")), facet.intervals(openings, ends, caps)).select("ord", "book")
 
 
