@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import decade_slot
+from citeloom.functions.text import decade_slot, roman
 
 SLOTS = 14
 
@@ -35,3 +35,22 @@ def shape_code(verdict: Column, named: Column, wide: Column, testable: Column) -
 def bar_scale(floor: Column, unplaceable: Column) -> Column:
     """The longest bar of the view: floor and unplaceable together."""
     return F.max(floor + unplaceable).over(Window.partitionBy())
+
+
+#: Books that are named by letters, in the order of the alphabet; a small alpha is the second book.
+LETTERS = "ΑαΒΓΔΕΖΗΘΙΚΛΜΝ"
+
+
+def text_order(label: Column, pooled: Column | None = None) -> Column:
+    """The sort key of a unit label in the order of the text: (work or 0, book, page, section and line).
+
+    Labels are ``Il.1.5``-like (book and line), a Roman or Greek book letter, or a page with a section;
+    a pooled label is ``work:unit`` and sorts by its work first.
+    """
+    unit = F.when(label.contains(":"), F.element_at(F.split(label, ":"), -1)).otherwise(label)
+    shelf = F.when(label.contains(":"), F.get(F.split(label, ":"), F.lit(0))).otherwise("") if pooled is None else pooled
+    plain = F.rtrim(unit, F.lit("*"))
+    greek = F.instr(F.lit(LETTERS), plain)
+    numbers = F.transform(F.regexp_extract_all(unit, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+    book = F.when((F.char_length(plain) == 1) & (greek > 0), F.array(greek)).when(roman(plain).isNotNull(), F.array(roman(plain))).otherwise(numbers)
+    return F.struct(shelf.alias("shelf"), book.alias("numbers"), F.regexp_extract(unit, r"\d([a-e])", 1).alias("section"))

@@ -402,3 +402,40 @@ def v08(s, d):
 def v09(s, d):
     rows = citations(s, d).withColumn("resolved", c("flag") != "R")
     return aggregate.resolution(rows).where("rate >= 0.66 AND floor < 1610").select("work", "floor")
+
+
+@query("a38_gram_levels", "SELECT event_type AS level, count(*) AS records, count(*) FILTER (json_extract_string(props, '$.k')::INT >= 50) AS bearing FROM events GROUP BY event_type")
+def a38(s, d):
+    events = table(s, d, "events").select(c("event_id").alias("iid"), c("event_type").alias("level"), "props")
+    grams = readers.ngram_levels(events, "props").groupBy("iid").agg(F.bool_or(c("n") >= 50).alias("bearing"))
+    return events.join(grams, "iid", "left").groupBy("level").agg(F.count("*").alias("records"), F.count_if("bearing").alias("bearing"))
+
+
+@query("p21_doi_paths", "SELECT 'ids.main_doi' AS path, count(*) AS n FROM customer UNION ALL SELECT 'ref', count(*) FILTER (c_custkey % 3 = 0) FROM customer")
+def p21(s, d):
+    ref = F.when(c("c_custkey") % 3 == 0, F.concat(F.lit("10.1234/"), "c_name")).otherwise(c("c_name"))
+    rows = table(s, d, "customer").select(F.to_json(F.struct(F.struct(c("c_name").alias("main_doi")).alias("ids"), ref.alias("ref"), "c_mktsegment")).alias("j"))
+    return readers.doi_like(readers.key_walk(rows, "j"))
+
+
+@query("v05_group_coverage", "SELECT n_name AS journal FROM nation WHERE n_regionkey = 2 AND n_name NOT IN (SELECT journal FROM cit WHERE page = 101 AND flag = 'A')")
+def v05(s, d):
+    members = table(s, d, "nation").where("n_regionkey = 2").select(c("n_name").alias("journal"))
+    return members.join(citations(s, d).where("page = 101 AND flag = 'A'"), "journal", "left_anti")
+
+
+@query("s15_routed", "SELECT CASE WHEN flag = 'R' THEN 'queue' WHEN status = 'F' THEN 'excluded' ELSE 'resolved' END AS disposition, count(*) AS n FROM cit GROUP BY 1")
+def s15(s, d):
+    route = F.when(c("flag") == "R", "queue").when(c("status") == "F", "excluded").otherwise("resolved")
+    return citations(s, d).withColumn("disposition", route).groupBy("disposition").agg(F.count("*").alias("n"))
+
+
+@query("s21_audit", "SELECT work, count(*) FILTER (page >= 103) AS faceted, count(*) FILTER (page < 103) AS bare FROM cit GROUP BY work")
+def s21(s, d):
+    return citations(s, d).groupBy("work").agg(F.count_if(c("page") >= 103).alias("faceted"), F.count_if(c("page") < 103).alias("bare"))
+
+
+@query("s22_skip_existing", "SELECT work, journal FROM (SELECT DISTINCT work, journal FROM cit) WHERE (work, journal) NOT IN (SELECT work, journal FROM cit WHERE page = 104)")
+def s22(s, d):
+    rows = citations(s, d)
+    return rows.select("work", "journal").distinct().join(rows.where("page = 104").select("work", "journal").distinct(), ["work", "journal"], "left_anti")

@@ -57,3 +57,12 @@ def test_dispersion_finds_a_rise_and_fall(spark):
     parts = {r.unit: r.dispersion for r in temporal.dispersion(rows(spark, data)).collect()}
     assert parts["mid"] > 0.15 and set(parts) == {"mid", "rest"}
     assert temporal.dispersion(rows(spark, data[:10])).count() == 0
+
+
+def test_text_order(spark):
+    labels = ["II", "I", "VI*", "Α", "Β", "α", "100b", "100a", "99e", "2.10", "2.9", "1.30"]
+    df = spark.createDataFrame([(x, i // 3) for i, x in enumerate(labels)], "label string, g int")
+    got = [r.label for r in df.orderBy("g", shapes.text_order(F.col("label"))).collect()]
+    assert got == ["I", "II", "VI*", "Α", "α", "Β", "99e", "100a", "100b", "1.30", "2.9", "2.10"]
+    pooled = spark.createDataFrame([("B:2",), ("A:10",), ("A:9",)], "label string")
+    assert [r.label for r in pooled.orderBy(shapes.text_order(F.col("label"))).collect()] == ["A:9", "A:10", "B:2"]
