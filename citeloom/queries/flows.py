@@ -40,7 +40,7 @@ query("flagship_share_by_year", "WITH y AS (SELECT iid, min(CAST(year AS INT)) A
 # -- G: table-generating -------------------------------------------------------------------------
 
 
-@query("g01_find_all", "SELECT iid, row_number() OVER (PARTITION BY iid ORDER BY ord) - 1 AS page_index, 4 AS char_offset, page || section || line AS match FROM cit")
+@query("g01_find_all", "SELECT iid, row_number() OVER (PARTITION BY iid ORDER BY ord, page || section || line || '; so ' || work) - 1 AS page_index, 4 AS char_offset, page || section || line AS match FROM cit")
 def g01(s, d):
     return extract.extract(delivery(s, d)).select("iid", c("page_index").cast("long").alias("page_index"), "char_offset", "match")
 
@@ -59,7 +59,7 @@ def g03(s, d):
     return extract.extract(long.withColumn("iid", F.lit("one"))).agg(F.count("*").alias("n"))
 
 
-@query("g04_pages", "SELECT iid, CAST(row_number() OVER (PARTITION BY iid ORDER BY ord) - 1 AS INT) AS page_index, 'see ' || page || section || line || '; so ' || work AS page FROM cit")
+@query("g04_pages", "SELECT iid, CAST(row_number() OVER (PARTITION BY iid ORDER BY ord, page || section || line || '; so ' || work) - 1 AS INT) AS page_index, 'see ' || page || section || line || '; so ' || work AS page FROM cit")
 def g04(s, d):
     return delivery(s, d).select("iid", F.posexplode("full_text").alias("page_index", "page"))
 
