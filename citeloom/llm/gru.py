@@ -20,7 +20,6 @@ HEAD = 1024
 SIZE = 32  # head words in a class
 TAILS = 32
 LANES, STEPS = 128, 16
-LONGEST = 1024  # tokens of a part of a long document in training
 F32 = np.float32
 
 
@@ -169,11 +168,12 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
-    def step(self, p: dict, g: dict, scale: float) -> None:
+    def step(self, p: dict, g: dict, scale: float, share: float = 1.0) -> None:
+        """One update; ``share`` of the rate."""
         self.t += 1
         size = np.sqrt(sum(float((x * x).sum()) for x in g.values())) * scale
         scale *= min(1.0, 1.0 / max(size, 1e-9))
-        rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        rate = self.rate * share * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
             x = x * F32(scale)
             self.m[k] += F32(0.1) * (x - self.m[k])
@@ -181,24 +181,23 @@ class Adam:
             p[k] -= F32(rate) * self.m[k] / (np.sqrt(self.v[k]) + F32(1e-8))
 
 
-def lanes_of(docs: list[np.ndarray], lanes: int = LANES, most: int = 1 << 62) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lanes_of(docs: list[np.ndarray], lanes: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents (codes, each with its end) packed into lanes, long ones first: steps x lanes of codes
-    (-1: nothing), of document numbers, and of whether the state begins anew. Documents over ``most``
-    tokens are taken in parts, each with a state of its own."""
-    parts = [(d, a, min(len(x), a + most)) for d, x in enumerate(docs) for a in range(0, len(x), most)]
-    lanes = max(1, min(lanes, len(parts)))
+    (-1: nothing), of document numbers, and of whether the state begins anew."""
+    lanes = max(1, min(lanes, len(docs)))
     heap, rows = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
-    for part in sorted(parts, key=lambda x: x[1] - x[2]):
+    for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
         size, i = heap[0]
-        rows[i].append(part)
-        heapq.heapreplace(heap, (size + part[2] - part[1], i))
+        rows[i].append(d)
+        heapq.heapreplace(heap, (size + len(docs[d]), i))
     steps = max(size for size, _ in heap)
     codes, owner, fresh = np.full((steps, lanes), -1, np.int32), np.zeros((steps, lanes), np.int32), np.zeros((steps, lanes), bool)
     for i, row in enumerate(rows):
         at = 0
-        for d, a, b in row:
-            codes[at : at + b - a, i], owner[at : at + b - a, i], fresh[at, i] = docs[d][a:b], d, True
-            at += b - a
+        for d in row:
+            n = len(docs[d])
+            codes[at : at + n, i], owner[at : at + n, i], fresh[at, i] = docs[d], d, True
+            at += n
     return codes, owner, fresh
 
 
@@ -211,9 +210,11 @@ def windows(codes: np.ndarray, steps: int = STEPS) -> Iterator[tuple[slice, np.n
 
 
 def learn(p: dict, v: Vocabulary, docs: list[np.ndarray], rate: float = 0.01, lanes: int = LANES, opt: Adam | None = None) -> Adam:
-    """One pass of truncated backpropagation over the documents; the state is carried across windows."""
+    """One pass of truncated backpropagation over the documents; the state is carried across windows.
+
+    A window with few lanes left has few tokens, and its step is as much smaller."""
     opt = opt or Adam(p, rate)
-    codes, _, fresh = lanes_of(docs, lanes, LONGEST)
+    codes, _, fresh = lanes_of(docs, lanes)
     h = np.zeros((codes.shape[1], p["u"].shape[0]), F32)
     for at, running, part in windows(codes):
         live = part >= 0
@@ -225,7 +226,7 @@ def learn(p: dict, v: Vocabulary, docs: list[np.ndarray], rate: float = 0.01, la
         dout = np.zeros_like(states)
         dout[live] = dh
         backward(p, g, states, kept, inputs, begin, dout)
-        opt.step(p, g, 1.0 / live.sum())
+        opt.step(p, g, 1.0 / live.sum(), live.sum() / (STEPS * codes.shape[1]))
     return opt
 
 

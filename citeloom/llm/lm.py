@@ -28,8 +28,6 @@ from citeloom.llm.common import stored, text_of
 
 #: A block's text bytes: what a scoring task holds at once.
 BLOCK_BYTES = 12 << 20
-#: Of a block's training documents one in so many takes part in backpropagation (counts take all).
-TRAIN_STRIDE = 4
 
 
 def tokens(text: str) -> list[bytes]:
@@ -152,8 +150,8 @@ def _unflat(like: dict, flat: np.ndarray) -> dict:
     return out
 
 
-def train(blocks: DataFrame, v: gru.Vocabulary, stride: int = TRAIN_STRIDE, rate: float = 0.02) -> dict:
-    """Networks trained on the blocks from one start, averaged by tokens."""
+def train(blocks: DataFrame, v: gru.Vocabulary, rate: float = 0.02) -> dict:
+    """Networks trained on all training documents of the blocks from one start, averaged by tokens."""
     spark = blocks.sparkSession
     sent = spark.sparkContext.broadcast(v)  # HEAD words
     schema = "weight double, p array<float>"
@@ -165,7 +163,7 @@ def train(blocks: DataFrame, v: gru.Vocabulary, stride: int = TRAIN_STRIDE, rate
         v = sent.value
         codes, p, weight, opt = _Codes(v), gru.initial(v), 0, None
         for _, texts, held in _runs(batches):
-            docs = [_coded(codes, tokens(t)) for t, h in zip(texts, held.tolist(), strict=True) if not h][::stride]
+            docs = [_coded(codes, tokens(t)) for t, h in zip(texts, held.tolist(), strict=True) if not h]
             if docs:
                 opt = gru.learn(p, v, docs, rate, opt=opt)
                 weight += sum(map(len, docs))

@@ -168,6 +168,25 @@ def test_lm_scores(docs, corpus, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+def test_lm_trains_on_every_document(docs):
+    blocks = lm.blocked(docs.coalesce(1))
+    v, *_ = lm.vocabulary(lm.lexicon(blocks))
+    codes, want = lm._Codes(v), gru.initial(v)
+    texts = [r.text for r in blocks.collect() if not r.held_out]
+    gru.learn(want, v, [lm._coded(codes, lm.tokens(t)) for t in texts], 0.02)
+    got = lm.train(blocks, v)
+    assert blocks.select("block").distinct().count() == 1
+    assert all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+
+
+def test_training_keeps_the_state_of_a_long_document(monkeypatch):
+    v = gru.Vocabulary([b"a", b"b"], np.array([2.0, 1.0]), 1, np.full(gru.TAILS, 1.0))
+    begun, forward = [], gru.forward
+    monkeypatch.setattr(gru, "forward", lambda p, h, inputs, fresh, keep: begun.append(int(fresh.sum())) or forward(p, h, inputs, fresh, keep))
+    gru.learn(gru.initial(v), v, [np.append(np.tile([1, 2], 1500), 0).astype(np.int32)])
+    assert sum(begun) == 1
+
+
 # -- 3 toxicity ------------------------------------------------------------------------------------
 
 
