@@ -111,7 +111,8 @@ class Texts:
         data = pa.decompress(row.column("data")[0].as_py(), decompressed_size=self.n + 8, codec=_CODEC, asbytes=True)
         self.data = np.frombuffer(data, np.uint8)
         self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
-        self.copy = np.isin(self.ids, side.filter(pc.equal(side.column("kind"), COPIES)).column("id").to_numpy())
+        self.copy = np.zeros(len(self.ids), bool)
+        self.copy[side.filter(pc.equal(side.column("kind"), COPIES)).column("place").to_numpy()] = True
         self.left = (np.repeat(self.starts[1:], self.sizes) - np.arange(self.n)).astype(np.int32)  # bytes to the text's end
 
     def sampled(self) -> np.ndarray:
@@ -171,17 +172,17 @@ def blocked(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
 
 
 def _keys(batches):
-    """block, doc_id, key of every text of the blocks."""
+    """block, place in it, doc_id, key of every text of the blocks."""
     for batch in batches:
         for block, ids, keys in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             ids = np.frombuffer(ids, np.int64)
             digests = [keys[i : i + 16] for i in range(0, len(keys), 16)]
-            yield pa.record_batch([pa.array(np.full(len(ids), block)), pa.array(ids), pa.array(digests, pa.binary())], names=["block", "doc_id", "key"])
+            yield pa.record_batch([pa.array(np.full(len(ids), block)), pa.array(np.arange(len(ids))), pa.array(ids), pa.array(digests, pa.binary())], names=["block", "place", "doc_id", "key"])
 
 
 RUN = "block long, bucket long, twice boolean, names binary"
 RUN_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("twice", pa.bool_()), ("names", pa.binary())])
-#: What comes to a block beside its texts: names shared, names that are older, ids of copies.
+#: What comes to a block beside its texts: names shared, names that are older, places of copies.
 SHARED, OLDER, COPIES = 0, 1, 2
 
 
@@ -320,15 +321,15 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(1, ceil(total * len(COVER) / PERIOD / BUCKET_NAMES))
     spread = ceil(log2(buckets))  # buckets are the top bits of a name
 
-    keyed = blocks.select("block", "ids", "keys").mapInArrow(_keys, "block long, doc_id long, key binary")
+    keyed = blocks.select("block", "ids", "keys").mapInArrow(_keys, "block long, place long, doc_id long, key binary")
     firsts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = keyed.join(firsts, "key").where("doc_id > first").select("block", F.lit(COPIES).alias("kind"), F.lit(None).cast("binary").alias("names"), F.col("doc_id").alias("id"))
+    copies = keyed.join(firsts, "key").where("doc_id > first").select("block", F.lit(COPIES).alias("kind"), F.lit(None).cast("binary").alias("names"), "place")
     side = stored(copies, "repeats-copies")
     texts = blocks.select("block", "ids", "no_id", "sizes", "data").groupBy("block")
 
     def merged(runs: DataFrame, pick, kind: int, label: str) -> DataFrame:
         dealt = runs.repartition("bucket").sortWithinPartitions("bucket", "block")
-        out = dealt.mapInArrow(_merge(pick), RUN).select("block", F.lit(kind).alias("kind"), "names", F.lit(None).cast("long").alias("id"))
+        out = dealt.mapInArrow(_merge(pick), RUN).select("block", F.lit(kind).alias("kind"), "names", F.lit(None).cast("long").alias("place"))
         return stored(out, label)
 
     runs = texts.cogroup(side.groupBy("block")).applyInArrow(_sample(bits, bits - spread), RUN)

@@ -428,3 +428,14 @@ def test_repeats(docs, corpus, empty, block, monkeypatch):
         want[i, len(data), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()] += 1
     assert got == want and sum(k[2] for k in want) > 0
     assert repeats.find_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 22, 300])
+def test_copies_are_rows_not_ids(spark, block, monkeypatch):
+    monkeypatch.setattr(repeats.blocked, "__defaults__", (block,))
+    rng = random.Random(8)
+    old, other, third, fourth = (prose(rng, 30) for _ in range(4))
+    rows = [(1, old), (5, old), (5, other), (8, "x " + other), (None, old), (None, third), (None, fourth), (9, third)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, bytes(r.kept).decode()) for r in repeats.find_repeats(df).collect())
+    assert got == Counter([(1, old), (5, ""), (5, other), (8, "x "), (None, ""), (None, ""), (None, fourth), (9, third)])
