@@ -7,8 +7,10 @@ whole block ahead of or behind its share. Weights are whole numbers over a perio
 schedule repeats: the driver schedules one period, and Spark places every document by its rank.
 
 Ranks come from fine hash buckets: counts of (source, bucket) give the offsets and a window ranks
-within a bucket, so no task ever holds a source. Where a source runs out the mix ends (``in_mix``);
-what is left is placed behind, by the same schedule with empty slots.
+within a bucket, so no task ever holds a source. Up to where the first source runs out (``in_mix``)
+all target weights hold; from there the others go on by the same schedule, whose slots of sources that
+have run out stay empty, that is at their weights renormalised. The period grows with the smallest
+target weight, up to ``MOST_SLOTS``.
 
 Defined results: a null source is the source "" ; sources without a target weight get no slot and
 come with null slot and position and ``in_mix`` false; rows that repeat a doc_id are ranked in a
@@ -20,15 +22,18 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8
 PERIOD = 10_000
 TEMPERATURE = 0.7
-#: The schedule of a period is sent to all executors: at most this many sources and slots.
+#: The schedule of a period is sent to all executors: at most this many sources, and slots unless more are asked for.
 MOST_SOURCES = 100_000
+MOST_SLOTS = 1_000_000
 BUCKET_ROWS = 500
 
 
@@ -50,6 +55,12 @@ def quantized(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, i
     return slots
 
 
+def long_enough(weights: Mapping[str, float], period: int = PERIOD) -> int:
+    """The period in which the smallest weight has a whole slot; ``MOST_SLOTS`` at most, ``period`` at least."""
+    some = [w for w in weights.values() if w > 0]
+    return max(period, min(MOST_SLOTS, ceil(sum(some) / min(some)))) if some else period
+
+
 def schedule(slots: Mapping[str, int]) -> list[tuple[str, int]]:
     """For each slot of a period the source and which of its blocks, earliest deadline first."""
     period = sum(slots.values())
@@ -79,11 +90,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     spark = docs.sparkSession
     named = docs.withColumn("__mix_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
     counts = {r[0]: r[1] for r in named.groupBy("__mix_source").count().limit(MOST_SOURCES + 1).collect()}
-    slots = quantized(tempered(counts) if weights is None else {s: w for s, w in weights.items() if s in counts}, period)
+    weights = tempered(counts) if weights is None else {s: w for s, w in weights.items() if s in counts}
+    slots = quantized(weights, long_enough(weights, period))
     order = schedule(slots)
     period = len(order)
-    ends = [_slot_of(slots, order, s, -(-counts[s] // block_rows)) for s in slots]
-    end = min(ends, default=0)
+    after = {s: divmod(-(-counts[s] // block_rows), n) for s, n in slots.items()}  # round and block where a source has run out
+    end = min((after[s][0] * period + t for t, (s, j) in enumerate(order) if after[s][1] == j), default=0)
 
     buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
     keyed = named.withColumn("__mix_order", F.xxhash64(F.lit(11), "doc_id")).withColumn("__mix_bucket", F.pmod(F.col("__mix_order"), F.lit(buckets)))
@@ -99,8 +111,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     rank = F.col("__mix_offset") + F.col("__mix_rank")
     block = F.floor(rank / block_rows)
     blocked = ranked.withColumns({"__mix_rank": rank, "__mix_block": block}).withColumn("__mix_j", F.col("__mix_block") % F.col("__mix_slots"))
-    turns = spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(order)], "__mix_source string, __mix_j long, __mix_turn long")
-    placed = blocked.join(F.broadcast(turns), ["__mix_source", "__mix_j"], "left")  # at most max(PERIOD, MOST_SOURCES) rows
+    names, places = [s for s, _ in order], [j for _, j in order]
+    turns = pa.table({"__mix_source": pa.array(names, pa.string()), "__mix_j": pa.array(places, pa.int64()), "__mix_turn": pa.array(range(period), pa.int64())})
+    placed = blocked.join(F.broadcast(spark.createDataFrame(turns)), ["__mix_source", "__mix_j"], "left")  # at most MOST_SLOTS rows, or the asked period
     slot = F.floor(F.col("__mix_block") / F.col("__mix_slots")) * period + F.col("__mix_turn")
     return placed.select(
         *docs.columns,
@@ -110,15 +123,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     )
 
 
-def _slot_of(slots: Mapping[str, int], order: list[tuple[str, int]], source: str, block: int) -> int:
-    """The slot of a source's block."""
-    round_, j = divmod(block, slots[source])
-    return round_ * len(order) + next(t for t, x in enumerate(order) if x == (source, j))
-
-
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The rows up to where the first source runs out, in the order of the mix, with the same columns."""
+    """All rows of the sources with a target weight, in the order of the mix, with the same columns."""
     placed = mix(docs.withColumnsRenamed({c: f"__mixin_{c}" for c in docs.columns if c in ("slot", "position", "in_mix")}), weights, block_rows)
-    kept = placed.where("in_mix").repartitionByRange("position").sortWithinPartitions("position")
+    kept = placed.where(F.col("position").isNotNull()).repartitionByRange("position").sortWithinPartitions("position")
     clash = [f"__mixin_{c}" if c in ("slot", "position", "in_mix") else c for c in docs.columns]
     return kept.select(*[F.col(c).alias(d) for c, d in zip(clash, docs.columns, strict=True)])

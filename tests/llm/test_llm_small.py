@@ -263,6 +263,26 @@ def test_mix(spark, docs, empty):
     assert [r.slot for r in mixing.mix(df, {"other": 1.0}).collect()] == [None] * 400
 
 
+def test_small_source_does_not_end_the_mix(spark):
+    rows = [(i, "t", "en", "big" if i % 3 else "other") for i in range(3000)] + [(9000, "t", "en", None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert Counter(r.doc_id for r in mixing.mixed(df, block_rows=4).collect()) == Counter(r[0] for r in rows)
+    assert sorted(r.doc_id for r in mixing.mixed(df, {"big": 1.0, "other": 1.0}).collect()) == list(range(3000))
+    ordered = [r.source for r in mixing.mix(df, {"": 1.0, "big": 6.0, "other": 3.0}, block_rows=4, period=10).orderBy("position").collect()]
+    rest = [s for s in ordered if s is not None]
+    seen: Counter = Counter()
+    for n, s in enumerate(rest[:2900], 1):  # to near where both run out
+        seen[s] += 1
+        assert abs(seen["big"] - n * 2 / 3) <= 8
+
+
+def test_small_weights_are_kept():
+    weights = {"a": 0.6, "b": 0.39998, "c": 0.00002}
+    slots = mixing.quantized(weights, mixing.long_enough(weights))
+    assert slots["c"] / sum(slots.values()) == pytest.approx(0.00002, rel=0.01)
+    assert mixing.long_enough({"a": 1e-9, "b": 1.0}) == mixing.MOST_SLOTS and mixing.long_enough({}) == mixing.PERIOD
+
+
 # -- 6 Jaccard join --------------------------------------------------------------------------------
 
 
