@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.operators.windows import average_rank
+from citeloom.operators.windows import average_rank, q_values
 
 LEAST_ARTICLES = 15
 
@@ -107,6 +107,12 @@ def permutation_null(rows: DataFrame, n_perm: int = 200, block: int = 25, seed:
     return parts.groupBy("work", "unit").agg(F.first("delta").alias("delta"), ((F.sum("hits") + 1) / (F.sum("n") + 1)).alias("p"), F.sum("n").alias("n_perm"))
 
 
+def permutation_q(rows: DataFrame, n_perm: int = 200, least: int = LEAST_ARTICLES) -> DataFrame:
+    """permutation_null's columns with q, of the units with ``least`` distinct articles; q is over these alone."""
+    tested = rows.groupBy("work", "unit").agg(F.countDistinct("iid").alias("__n")).where(F.col("__n") >= least).select("work", "unit")
+    return q_values(permutation_null(rows, n_perm).join(tested, ["work", "unit"], "left_semi"), ["work"], "p", "unit")
+
+
 def dispersion(rows: DataFrame, periods: int = 3) -> DataFrame:
     """work, unit, dispersion: mean over pairs of periods of half the absolute share difference.
 

@@ -45,13 +45,12 @@ def x03(s, d):
 
 @query("x04_permutation_null")
 def x04(s, d):
-    return temporal.permutation_null(units(s, d).where("work < 'Brand#14'"), 40, 20).select("work", "unit", F.round("delta", 8).alias("delta"), F.round("p", 8).alias("p"))
+    return temporal.permutation_null(units(s, d)).select("work", "unit", F.round("delta", 8).alias("delta"), F.round("p", 8).alias("p"))
 
 
 @query("x05_q_values")
 def x05(s, d):
-    null = temporal.permutation_null(units(s, d).where("work < 'Brand#12'"), 40, 20)
-    return win.q_values(null, ["work"], "p", "unit").select("work", "unit", F.round("q", 8).alias("q"))
+    return temporal.permutation_q(units(s, d)).select("work", "unit", F.round("q", 8).alias("q"))
 
 
 @query("x06_z", "WITH n AS (SELECT work, page, count(*) AS n FROM cit GROUP BY ALL) SELECT work, round((max(n) - avg(n)) / nullif(stddev_pop(n), 0), 6) AS z, round(avg(n), 6) AS mean FROM n GROUP BY work")

@@ -45,6 +45,49 @@ def test_null_is_uniform_and_repeatable(spark):
     assert a["x", "rise"] < 0.02 and a["x", "fall"] < 0.02
 
 
+def test_q_values_of_gated_units_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    data = [("w", f"u{min(int(rng.integers(12)), 4)}", int(rng.integers(90)), int(1990 + rng.integers(10))) for _ in range(150)]
+    data += [("w", f"few{k}", k, 1990 + 9 * (k % 2)) for k in range(14)] + [("x", "one", k, 1990 + k) for k in range(15)]
+    want = {}
+    for work in ("w", "x"):
+        own = sorted((u, i, y) for w, u, i, y in data if w == work)
+        years = sorted(y for *_, y in own)
+        split = years[len(years) // 2]
+        own = sorted((u, i, y >= split) for u, i, y in own)
+        late = np.array([x for *_, x in own])
+        names = sorted({u for u, *_ in own})
+
+        def deltas(late, own=own, names=names):
+            sets = {side: {(u, i) for (u, i, _), x in zip(own, late, strict=True) if x == side} for side in (True, False)}
+            share = lambda u, side: sum(v == u for v, _ in sets[side]) / max(1, len(sets[side]))
+            return np.array([share(u, True) - share(u, False) for u in names])
+
+        hits, seen = np.zeros(len(names)), deltas(late)
+        for block in range(8):
+            r = np.random.default_rng([0, block, sum(work.encode())])
+            for _ in range(25):
+                hits += np.abs(deltas(r.permutation(late))) >= np.abs(seen)
+        p = {u: (h + 1) / 201 for u, h in zip(names, hits, strict=True) if len({i for v, i, _ in own if v == u}) >= 15}
+        for u in p:
+            want[work, u] = (p[u], min(1, *(p[v] * len(p) / sum(x <= p[v] for x in p.values()) for v in p if p[v] >= p[u]), 1))
+    got = {(r.work, r.unit): (r.p, r.q) for r in temporal.permutation_q(rows(spark, data)).collect()}
+    assert set(got) == set(want) and ("x", "one") in got and not any(u.startswith("few") for _, u in got)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_permutation_queries_take_all_works(spark):
+    from citeloom.queries import QUERIES
+    from citeloom.queries.temporal import units
+
+    sf = "/root/testdata/sf0.001"
+    works = {r.work for r in units(spark, sf).select("work").distinct().collect()}
+    p = QUERIES["x04_permutation_null"](spark, sf).collect()
+    assert {r.work for r in p} == works and all(abs(r.p * 201 - round(r.p * 201)) < 1e-4 for r in p)
+    gated = {(r.work, r.unit) for r in units(spark, sf).groupBy("work", "unit").agg(F.countDistinct("iid").alias("n")).where("n >= 15").collect()}
+    assert {(r.work, r.unit) for r in QUERIES["x05_q_values"](spark, sf).collect()} == gated
+
+
 def test_verdicts(spark):
     z = spark.createDataFrame([(3.0,), (1.5,), (1.4,), (float("nan"),), (None,)], "z double")
     assert [r.v for r in z.select(temporal.verdict(F.col("z")).alias("v")).collect()] == ["REAL", "marginal", "stable", "stable", "stable"]
