@@ -46,6 +46,11 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def partitions(spark: SparkSession, wanted: int) -> int:
+    """How many partitions to deal ``wanted`` parts of work to: the session's own number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, 50_000))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

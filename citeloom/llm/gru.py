@@ -19,7 +19,8 @@ HIDDEN = 16
 HEAD = 1024
 SIZE = 32  # head words in a class
 TAILS = 32
-LANES, STEPS = 128, 16
+LANES, STEPS = 256, 16
+LONGER = 16  # how many times as long a window may be when few lanes are left
 F32 = np.float32
 
 
@@ -74,92 +75,118 @@ def initial(v: Vocabulary, hidden: int = HIDDEN, seed: int = 3) -> dict[str, np.
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def forward(p: dict, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, keep: bool):
     """Run a window (steps x lanes) from state ``h``. Returns the states before each input, the last
-    state and, for backpropagation, what each step computed."""
+    state and, for backpropagation, the gates (update and reset), the new values and their recurrent part."""
     steps, lanes = inputs.shape
     n = h.shape[1]
-    states = np.empty((steps, lanes, n), F32)
-    kept = []
-    gathered = p["x"][inputs]
+    x, u = p["x"], p["u"]
+    gates, new = np.ascontiguousarray(x[:, : 2 * n])[inputs], np.ascontiguousarray(x[:, 2 * n :])[inputs]
+    of_gates, of_new = np.ascontiguousarray(u[:, : 2 * n]), np.ascontiguousarray(u[:, 2 * n :])
+    states = np.empty((steps, lanes, n), h.dtype)
+    back = np.empty_like(states) if keep else None
+    begins = fresh.any(1)
     for t in range(steps):
-        h = np.where(fresh[t][:, None], F32(0), h)
+        if begins[t]:
+            h = np.where(fresh[t][:, None], h.dtype.type(0), h)
         states[t] = h
-        hu = h @ p["u"]
-        zr = gathered[t, :, : 2 * n] + hu[:, : 2 * n]
+        zr, v = gates[t], new[t]
+        zr += h @ of_gates
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :n], zr[:, n:]
-        new = np.tanh(gathered[t, :, 2 * n :] + r * hu[:, 2 * n :])
+        part = h @ of_new
         if keep:
-            kept.append((z, r, new, hu[:, 2 * n :]))
-        h = new + z * (h - new)
-    return states, h, kept
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+            back[t] = part
+        part *= zr[:, n:]
+        v += part
+        np.tanh(v, out=v)
+        h = h - v
+        h *= zr[:, :n]
+        h += v
+    return states, h, (gates, new, back)
+
+
+def _softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each row's target, and all probabilities (in the place of ``logits``)."""
+    np.clip(logits, -60, 60, out=logits)  # far beyond what biases of counts reach, and safe to raise
+    at = np.arange(len(target)), target
+    score = logits[at]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    score -= np.log(total)
+    logits *= (1 / total)[:, None]
+    return score, logits
 
 
 def outputs(p: dict, states: np.ndarray, cls: np.ndarray, word: np.ndarray, grad: bool):
-    """Log probability (natural) of each target; with ``grad`` also the gradients of its negative."""
-    logp = log_softmax(states @ p["a"] + p["ab"])
-    rows = np.arange(len(cls))
-    score = logp[rows, cls]
+    """Log probability (natural) of each target; with ``grad`` also the gradients of its negative.
+
+    Rows with a head word are put in the order of their classes, so that each class is one product."""
+    score, d = _softmax(states @ p["a"] + p["ab"], cls)
     g: dict[str, np.ndarray] = {}
+    dh = None
     if grad:
-        d = np.exp(logp)
-        d[rows, cls] -= 1
-        g["a"], g["ab"], dh = states.T @ d, d.sum(0), d @ p["a"].T
+        d[np.arange(len(cls)), cls] -= 1
+        g["a"], g["ab"], dh = states.T @ d, np.ones(len(d), d.dtype) @ d, d @ p["a"].T
         g["w"], g["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
     at = np.flatnonzero(word >= 0)
-    order = at[np.argsort(word[at] // SIZE, kind="stable")]
-    group = word[order] // SIZE
-    cuts = np.flatnonzero(np.diff(group)) + 1
-    for part in np.split(order, cuts) if len(order) else []:
-        k = word[part[0]] // SIZE
-        own = slice(k * SIZE, (k + 1) * SIZE)
-        s = states[part]
-        inner = log_softmax(s @ p["w"][own].T + p["wb"][own])
-        j = word[part] - k * SIZE
-        mine = np.arange(len(part))
-        score[part] += inner[mine, j]
+    if len(at):
+        at = at[np.argsort((word[at] // SIZE).astype(np.uint16), kind="stable")]
+        group = word[at] // SIZE
+        begin = np.append(True, group[1:] != group[:-1])
+        cuts = [*np.flatnonzero(begin).tolist(), len(at)]
+        own, s = group[begin].tolist(), states[at]
+        w = p["w"].reshape(-1, SIZE, states.shape[1])
+        inner = p["wb"].reshape(-1, SIZE)[group]
+        for k, a, b in zip(own, cuts, cuts[1:], strict=False):
+            inner[a:b] += s[a:b] @ w[k].T
+        j = word[at] - group * SIZE
+        more, d = _softmax(inner, j)
+        score[at] += more
         if grad:
-            d = np.exp(inner)
-            d[mine, j] -= 1
-            g["w"][own], g["wb"][own] = d.T @ s, d.sum(0)
-            dh[part] += d @ p["w"][own]
+            d[np.arange(len(at)), j] -= 1
+            gw, below = g["w"].reshape(w.shape), np.empty_like(s)
+            for k, a, b in zip(own, cuts, cuts[1:], strict=False):
+                np.matmul(d[a:b].T, s[a:b], out=gw[k])
+                np.matmul(d[a:b], w[k], out=below[a:b])
+            g["wb"].reshape(-1, SIZE)[own] = np.add.reduceat(d, cuts[:-1], axis=0)
+            dh[at] += below
     return (score, g, dh) if grad else score
 
 
 def backward(p: dict, g: dict, states, kept, inputs, fresh, dout) -> None:
     """Backpropagation through the window's steps; the state it began with is taken as given."""
     steps, lanes, n = states.shape
-    dx = np.empty((steps, lanes, 3 * n), F32)
-    du = np.zeros_like(p["u"])
-    carry = np.zeros((lanes, n), F32)
+    gates, new, back = kept
+    z, r = gates[..., :n], gates[..., n:]
+    slope = np.empty((steps, 4, lanes, n), states.dtype)  # of update, reset, recurrent part and new value by the state after
+    np.multiply(1 - z, 1 - new * new, out=slope[:, 3])
+    np.multiply(slope[:, 3], r, out=slope[:, 2])
+    np.multiply(slope[:, 2] * (1 - r), back, out=slope[:, 1])
+    np.multiply((states - new) * z, 1 - z, out=slope[:, 0])
+    parts = [np.ascontiguousarray(p["u"][:, k * n : (k + 1) * n].T) for k in range(3)]
+    carry = np.zeros((lanes, n), states.dtype)
+    begins = fresh.any(1)
     for t in range(steps - 1, -1, -1):
-        h = states[t]
-        z, r, new, hun = kept[t]
-        dn = carry * (1 - z) * (1 - new * new)
-        dz = carry * (h - new) * z * (1 - z)
-        dr = dn * hun * r * (1 - r)
-        dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dn
-        dhu = np.concatenate([dz, dr, dn * r], 1)
-        du += h.T @ dhu
-        carry = np.where(fresh[t][:, None], F32(0), carry * z + dhu @ p["u"].T + dout[t])
-    flat, rows = inputs.ravel(), dx.reshape(-1, 3 * n)
-    order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(flat[order]) > 0))
-    g["u"], g["x"] = du, np.zeros_like(p["x"])
-    g["x"][flat[order][first]] = np.add.reduceat(rows[order], first)
+        d = slope[t]
+        d *= carry
+        carry = carry * z[t]
+        for k in range(3):
+            carry += d[k] @ parts[k]
+        carry += dout[t]
+        if begins[t]:
+            carry[fresh[t]] = 0
+    flat, h = inputs.ravel(), states.reshape(-1, n)
+    by_gate = [slope[:, k].reshape(-1, n) for k in range(4)]
+    g["u"] = np.concatenate([h.T @ by_gate[k] for k in range(3)], 1)
+    rows = np.concatenate([by_gate[0], by_gate[1], by_gate[3]], 1)
+    order = np.argsort(flat.astype(np.uint16), kind="stable")  # a radix sort; HEAD + TAILS codes
+    ranked = flat[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    g["x"] = np.zeros_like(p["x"])
+    g["x"][ranked[first]] = np.add.reduceat(rows[order], first)
 
 
 class Adam:
@@ -202,11 +229,16 @@ def lanes_of(docs: list[np.ndarray], lanes: int = LANES) -> tuple[np.ndarray, np
 
 
 def windows(codes: np.ndarray, steps: int = STEPS) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(steps, lanes still running, their codes) of each window; a lane that has ended never runs again."""
-    lanes = np.arange(codes.shape[1])
-    for at in range(0, len(codes), steps):
+    """(steps, lanes still running, their codes) of each window; a lane that has ended never runs again.
+
+    Where few lanes are left (the ends of very long documents) a window has more steps, so that it
+    still has enough tokens to be worth its fixed cost."""
+    at, lanes = 0, np.arange(codes.shape[1])
+    while at < len(codes):
         lanes = lanes[codes[at, lanes] >= 0]
-        yield slice(at, at + steps), lanes, codes[at : at + steps, lanes]
+        to = at + steps * max(1, min(LONGER, codes.shape[1] // len(lanes)))
+        yield slice(at, to), lanes, codes[at:to, lanes]
+        at = to
 
 
 def learn(p: dict, v: Vocabulary, docs: list[np.ndarray], rate: float = 0.01, lanes: int = LANES, opt: Adam | None = None) -> Adam:
@@ -226,7 +258,7 @@ def learn(p: dict, v: Vocabulary, docs: list[np.ndarray], rate: float = 0.01, la
         dout = np.zeros_like(states)
         dout[live] = dh
         backward(p, g, states, kept, inputs, begin, dout)
-        opt.step(p, g, 1.0 / live.sum(), live.sum() / (STEPS * codes.shape[1]))
+        opt.step(p, g, 1.0 / live.sum(), min(1.0, live.sum() / (STEPS * codes.shape[1])))
     return opt
 
 

@@ -1,141 +1,233 @@
 """Language-model scoring of whole documents on Spark.
 
-Corpus counts: every training word is counted; the counts come back to each block of documents as
-the table of just the block's own words, so nothing that grows with the vocabulary is broadcast.
-Model: the gated recurrent network of ``gru``. Every block trains a copy of the same initial network
-on its own training documents and the copies are averaged, weighted by tokens, in two streaming
-steps. Scoring carries the state through each document from its first token to its end.
+Texts are tokenised once: a block of documents is one row with its distinct words and, for every
+token, the number of its word in them. Corpus counts: every training word is counted; buckets of words
+sum what the blocks have, and each block gets back the sums of just its own words, so nothing that
+grows with the vocabulary is broadcast and a word in every block is one entry a block.
+Model: the gated recurrent network of ``gru``, trained on every training document in ``ROUNDS`` rounds.
+In a round each task trains a copy of the same network on the whole documents of its blocks of that
+round, and the copies are averaged by tokens into the network that the next round starts from. So the
+network depends on how the table is split, and within a round more data means more copies, not a longer
+training. Scoring carries the state through each document from its first token to its end.
 
 Defined results: null text is empty (its end token only); rows that repeat a doc_id count and are
 scored one by one; a null doc_id is a training row (its remainder isn't 1); without training rows
-every word is unseen; an empty table gives no rows; further columns are ignored.
+every word is unseen; an empty table gives no rows; further columns are ignored. One text must fit
+in a task's memory.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm import gru
-from citeloom.llm.common import stored, text_of
+from citeloom.llm.common import partitions, stored, text_of
 
-#: A block's text bytes: what a scoring task holds at once.
-BLOCK_BYTES = 12 << 20
+#: A block's text bytes, and the distinct words of a bucket: what a task holds at once.
+BLOCK_BYTES = 24 << 20
+BUCKET_WORDS = 1 << 20
+ROUNDS = 3
+RATE = 0.02
+_CODEC = "zstd"
 
 
-def tokens(text: str) -> list[bytes]:
+def tokens(text: bytes) -> list[bytes]:
     """Words, A-Z in lower case; the end token is not in the list."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+    return text.lower().split()
+
+
+def _pack(values: np.ndarray | bytes) -> bytes:
+    raw = values if isinstance(values, bytes) else values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def _raw(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec=_CODEC, asbytes=True)
+
+
+def _array(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(_raw(blob), kind)
+
+
+def _words(blob: bytes) -> list[bytes]:
+    """Words joined by line breaks, which no word has."""
+    raw = _raw(blob)
+    return raw.split(b"\n") if raw else []
+
+
+# -- blocks --------------------------------------------------------------------------------------
+
+BLOCK = "block long, doc_ids binary, no_id binary, held binary, sizes binary, words binary, counts binary, tails binary, tokens binary, n_words long, ends long"
+_KINDS = (pa.int64(), *[pa.binary()] * 8, pa.int64(), pa.int64())
+
+
+class _Numbers(dict):
+    """A number for each distinct word, in the order of their coming."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class _Block:
+    def __init__(self, number: int):
+        self.number, self.size = number, 0
+        self.numbers, self.rows, self.tokens = _Numbers(), [], []
+
+    def add(self, doc_id: int | None, held: bool, text: bytes) -> None:
+        words = tokens(text)
+        self.tokens.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.rows.append((doc_id, held, len(words)))
+        self.size += len(text)
+
+    def packed(self) -> pa.RecordBatch:
+        """Words in the order of their hashes, so that those of a bucket are together."""
+        words = list(self.numbers)
+        order = np.argsort(np.fromiter(map(zlib.crc32, words), np.uint32, len(words)), kind="stable")
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
+        words = [words[i] for i in order.tolist()]
+        ids, held, sizes = zip(*self.rows, strict=True)
+        flat = place[np.concatenate(self.tokens)]
+        held = np.array(held, bool)
+        counts = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(words)).astype(np.int64)
+        tails = np.fromiter(map(gru.tail_class, words), np.uint8, len(words))
+        row = (
+            self.number, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids]).tobytes(), held.tobytes(),
+            np.array(sizes, np.int64).tobytes(), _pack(b"\n".join(words)), _pack(counts), _pack(tails), _pack(flat), len(words), int((~held).sum()),
+        )
+        return pa.record_batch([pa.array([v], t) for v, t in zip(row, _KINDS, strict=True)], names=[c.split()[0] for c in BLOCK.split(", ")])
 
 
 def blocked(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
-    """block, doc_id, held_out, text; stored, so that every later pass sees the same blocks."""
+    """One row a block (BLOCK): its documents with their sizes, words with their counts in training
+    documents and tail classes, and the tokens as numbers of words; stored, so that every pass sees the same."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held.alias("held_out"), text_of(docs).alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held.alias("held_out"), text_of(docs).cast("binary").alias("text"))
 
-    def number(batches):
-        block, size = TaskContext.get().partitionId() << 32, 0
+    def pack(batches):
+        block = _Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            sizes = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)) + size
-            number = sizes // most
-            size = int(sizes[-1]) if len(sizes) else size
-            yield pa.record_batch([pa.array(number + block, pa.int64()), *batch.columns], names=["block", "doc_id", "held_out", "text"])
+            for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = text.as_py()
+                if block.rows and block.size + len(text) > most:
+                    yield block.packed()
+                    block = _Block(block.number + 1)
+                block.add(doc_id, held, text)
+        if block.rows:
+            yield block.packed()
+
+    return stored(rows.mapInArrow(pack, BLOCK), "lm-blocks")
+
+
+# -- corpus counts -------------------------------------------------------------------------------
 
-    return stored(rows.mapInArrow(number, "block long, doc_id long, held_out boolean, text string"), "lm-blocks")
+SUMS = "block long, bucket long, counts binary, top array<struct<word: binary, c: bigint>>, mass array<double>, v long, c long"
+_SUMS = pa.schema(
+    [
+        ("block", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("top", pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64())]))),
+        ("mass", pa.list_(pa.float64())), ("v", pa.int64()), ("c", pa.int64()),
+    ]
+)
 
 
-def _runs(batches) -> Iterator[tuple[int, list, np.ndarray]]:
-    """(block, texts, held_out) of consecutive rows of a block."""
-    block, texts, held = None, [], []
+def _deal(shift: int):
+    """(block, words, counts) of a block to a row for each bucket of its words."""
+
+    def go(batches):
+        for batch in batches:
+            for block, words, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words, counts = _words(words), _array(counts, np.int64)
+                bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) >> shift
+                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(words)] if words else []
+                rows = [(block, int(bucket[a]), _pack(b"\n".join(words[a:b])), _pack(counts[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+                for some in range(0, len(rows), 64):
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[some : some + 64], strict=True), _KINDS[:1] * 2 + _KINDS[1:3], strict=True)], names=["block", "bucket", "words", "counts"])
+
+    return go
+
+
+def _sum(batches):
+    """For each bucket: rows with the corpus counts of each block's words, and one of the bucket's own."""
+
+    def bucket(number: int, rows: list[tuple[int, bytes, bytes]]):
+        total: dict[bytes, int] = {}
+        for _, words, counts in rows:
+            for w, n in zip(_words(words), _array(counts, np.int64).tolist(), strict=True):
+                total[w] = total.get(w, 0) + n
+        for block, words, _ in rows:
+            words = _words(words)
+            yield {"block": block, "bucket": number, "counts": _pack(np.fromiter(map(total.__getitem__, words), np.int64, len(words)))}
+        known = [(w, n) for w, n in total.items() if n]
+        mass = np.bincount([gru.tail_class(w) for w, _ in known], [n + 0.5 for _, n in known], gru.TAILS) if known else np.zeros(gru.TAILS)
+        top = sorted(known, key=lambda x: (-x[1], x[0]))[: gru.HEAD]
+        yield {"bucket": number, "top": [{"word": w, "c": n} for w, n in top], "mass": mass.tolist(), "v": len(known), "c": sum(n for _, n in known)}
+
+    def sent(rows):
+        return pa.RecordBatch.from_pylist(list(rows), schema=_SUMS)
+
+    now, held = None, []
     for batch in batches:
-        numbers = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b == a:
-                continue
-            if block is not None and numbers[a] != block:
-                yield block, texts, np.array(held, bool)
-                texts, held = [], []
-            block = numbers[a]
-            texts += batch.column(2).slice(a, b - a).to_pylist()
-            held += batch.column(1).slice(a, b - a).to_pylist()
-    if block is not None:
-        yield int(block), texts, np.array(held, bool)
+        for block, number, words, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if now is not None and number != now:
+                yield sent(bucket(now, held))
+                held = []
+            now = number
+            held.append((block, words, counts))
+    if held:
+        yield sent(bucket(now, held))
 
 
 def lexicon(blocks: DataFrame) -> DataFrame:
-    """block, word, c, first: the words of each block with their counts in the whole training corpus.
-
-    ``first`` marks one row of each word. The empty word is the end token.
-    """
-
-    def count(batches):
-        for block, texts, held in _runs(batches):
-            seen, also = Counter(), set()
-            for text, h in zip(texts, held.tolist(), strict=True):
-                if h:
-                    also.update(tokens(text))
-                else:
-                    seen.update(tokens(text))
-            seen[b""] += int((~held).sum())
-            words = [*seen, *also.difference(seen)]
-            n = np.zeros(len(words), np.int64)
-            n[: len(seen)] = list(seen.values())
-            for a in range(0, len(words), 50_000):
-                part = words[a : a + 50_000]
-                yield pa.record_batch([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.binary()), pa.array(n[a : a + 50_000])], names=["block", "word", "n"])
-
-    rows = blocks.select("block", "held_out", "text").mapInArrow(count, "block long, word binary, n long")
-    word = Window.partitionBy("word")
-    return stored(
-        rows.select(
-            "block", "word", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("block")) == 1).alias("first")
-        ),
-        "lm-lexicon",
-    )
-
-
-def vocabulary(words: DataFrame) -> tuple[gru.Vocabulary, int, int]:
-    """The network's vocabulary, all training tokens (N) and distinct ones (V)."""
-    known = words.where(F.col("first") & (F.col("c") > 0))
-    top = known.where(F.col("word") != F.lit(b"")).orderBy(F.desc("c"), "word").limit(gru.HEAD).select("word", "c").collect()
-    mass = F.crc32(F.substring("word", -2, 2)) % gru.TAILS
-    classes = known.where(F.col("word") != F.lit(b"")).groupBy(mass.alias("k")).agg(F.sum(F.col("c") + 0.5).alias("m"), F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    ends = known.where(F.col("word") == F.lit(b"")).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    tail = np.full(gru.TAILS, 0.5)
-    for r in classes:
-        tail[r.k] += r.m
+    """Corpus counts (SUMS): for each block and bucket those of the block's words, in the block's order; and
+    for each bucket (block null) its most frequent words, the mass of each tail class, words and tokens."""
+    entries = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    buckets = 1 << max(0, ceil(log2(max(1, entries) / BUCKET_WORDS)))
+    dealt = blocks.select("block", "words", "counts").mapInArrow(_deal(32 - int(log2(buckets))), "block long, bucket long, words binary, counts binary")
+    rows = dealt.repartition(partitions(blocks.sparkSession, buckets // 8), "bucket").sortWithinPartitions("bucket", "block")
+    return stored(rows.mapInArrow(_sum, SUMS), "lm-lexicon")
+
+
+def vocabulary(blocks: DataFrame, sums: DataFrame) -> tuple[gru.Vocabulary, int, int]:
+    """The network's vocabulary, all training tokens (N) and distinct ones (V), ends included."""
+    own = sums.where("block is null")
+    top = own.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("c"), "word").limit(gru.HEAD).collect()
+    whole = own.agg(F.sum("v"), F.sum("c"), *(F.sum(F.get("mass", F.lit(k))) for k in range(gru.TAILS))).first()
+    ends = blocks.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
+    tail = np.array([x or 0.0 for x in whole[2:]]) + 0.5
     for r in top:
         tail[gru.tail_class(bytes(r.word))] -= r.c + 0.5
     v = gru.Vocabulary([bytes(r.word) for r in top], np.array([r.c for r in top], float), ends, np.maximum(tail, 0.5))
-    return v, sum(r.c for r in classes) + ends, sum(r.v for r in classes) + (ends > 0)
+    return v, (whole[1] or 0) + ends, (whole[0] or 0) + (ends > 0)
 
 
-class _Codes(dict):
-    most = 300_000
+# -- the network ---------------------------------------------------------------------------------
 
-    def __init__(self, v: gru.Vocabulary):
-        super().__init__()
-        self.v = v
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        code = self[word] = self.v.code(word)
-        return code
+def _codes(v: gru.Vocabulary, words: list[bytes], tails: np.ndarray) -> np.ndarray:
+    """The network's code of each of a block's words."""
+    code = 1 + len(v.head) + tails.astype(np.int32)
+    number = dict(zip(words, range(len(words)), strict=True))
+    for i, w in enumerate(v.head):
+        if (at := number.get(w)) is not None:
+            code[at] = 1 + i
+    return code
 
 
-def _coded(codes: _Codes, words: list[bytes]) -> np.ndarray:
-    out = np.zeros(len(words) + 1, np.int32)
-    out[:-1] = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
-    return out
+def _documents(code: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The codes of each document's tokens, with an end (0) after each."""
+    n = len(sizes)
+    out = np.zeros(len(flat) + n, np.int32)
+    out[np.arange(len(flat)) + np.repeat(np.arange(n), sizes)] = code[flat]
+    return np.split(out, np.cumsum(sizes[:-1] + 1)) if n else []
 
 
 def _flat(p: dict) -> np.ndarray:
@@ -150,26 +242,15 @@ def _unflat(like: dict, flat: np.ndarray) -> dict:
     return out
 
 
-def train(blocks: DataFrame, v: gru.Vocabulary, rate: float = 0.02) -> dict:
-    """Networks trained on all training documents of the blocks from one start, averaged by tokens."""
+def train(blocks: DataFrame, v: gru.Vocabulary, rate: float = RATE, rounds: int = ROUNDS) -> dict:
+    """The network trained on every training document of the blocks, each block in one of the rounds."""
     spark = blocks.sparkSession
-    sent = spark.sparkContext.broadcast(v)  # HEAD words
     schema = "weight double, p array<float>"
+    p = gru.initial(v)
 
     def emit(weight: float, flat: np.ndarray):
         return pa.record_batch([pa.array([weight]), pa.array([flat.astype(np.float32)], pa.list_(pa.float32()))], names=["weight", "p"])
 
-    def local(batches):
-        v = sent.value
-        codes, p, weight, opt = _Codes(v), gru.initial(v), 0, None
-        for _, texts, held in _runs(batches):
-            docs = [_coded(codes, tokens(t)) for t, h in zip(texts, held.tolist(), strict=True) if not h]
-            if docs:
-                opt = gru.learn(p, v, docs, rate, opt=opt)
-                weight += sum(map(len, docs))
-        if weight:
-            yield emit(float(weight), _flat(p))
-
     def average(batches):
         total, weight = None, 0.0
         for batch in batches:
@@ -179,71 +260,72 @@ def train(blocks: DataFrame, v: gru.Vocabulary, rate: float = 0.02) -> dict:
         if weight:
             yield emit(weight, total / weight)
 
-    parts = blocks.select("block", "held_out", "text").mapInArrow(local, schema)
-    some = max(1, round(parts.rdd.getNumPartitions() ** 0.5))
-    done = parts.repartition(some).mapInArrow(average, schema).coalesce(1).mapInArrow(average, schema).collect()  # one row
-    start = gru.initial(v)
-    return _unflat(start, np.array(done[0].p)) if done else start
-
-
-def score(blocks: DataFrame, words: DataFrame, v: gru.Vocabulary, n_all: int, n_distinct: int, p: dict) -> DataFrame:
+    for now in range(rounds):
+        sent = spark.sparkContext.broadcast((v, p))  # HEAD words and their weights
+
+        def local(batches, sent=sent):
+            v, p = sent.value
+            p, weight, opt = {k: x.copy() for k, x in p.items()}, 0, None
+            for batch in batches:
+                for held, sizes, words, tails, flat in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                    held, sizes = np.frombuffer(held, bool), np.frombuffer(sizes, np.int64)
+                    docs = _documents(_codes(v, _words(words), _array(tails, np.uint8)), _array(flat, np.int32), sizes)
+                    docs = [d for d, h in zip(docs, held.tolist(), strict=True) if not h]
+                    if docs:
+                        opt = gru.learn(p, v, docs, rate, opt=opt)
+                        weight += sum(map(len, docs))
+            if weight:
+                yield emit(float(weight), _flat(p))
+
+        mine = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == now)
+        parts = mine.select("held", "sizes", "words", "tails", "tokens").mapInArrow(local, schema)
+        some = max(1, round(parts.rdd.getNumPartitions() ** 0.5))
+        done = parts.repartition(some).mapInArrow(average, schema).coalesce(1).mapInArrow(average, schema).collect()  # one row
+        p = _unflat(p, np.array(done[0].p)) if done else p
+    return p
+
+
+def score(blocks: DataFrame, sums: DataFrame, v: gru.Vocabulary, n_all: int, n_distinct: int, p: dict) -> DataFrame:
     spark = blocks.sparkSession
     sent = spark.sparkContext.broadcast((v, p))  # HEAD words and their weights
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         v, p = sent.value
-        known = right.column("word").to_pylist()
+        row = {k: left.column(k)[0].as_py() for k in ("doc_ids", "no_id", "held", "sizes", "words", "tails", "tokens")}
+        sizes, flat, tails = np.frombuffer(row["sizes"], np.int64), _array(row["tokens"], np.int32), _array(row["tails"], np.uint8)
+        c = np.concatenate([np.zeros(0, np.int64), *(_array(x, np.int64) for x in right.sort_by("bucket").column("counts").to_pylist())])
+        code = _codes(v, _words(row["words"]), tails)
         total = n_all + 0.5 * (n_distinct + 1)
-        index = dict(zip(known, range(len(known)), strict=True))
-        c = right.column("c").to_numpy().astype(np.float64)
         base_of = np.log10((c + 0.5) / total)
-        code_of = np.array([1 + len(v.head) + gru.tail_class(w) for w in known], np.int32)
-        for i, w in enumerate(v.head):
-            if w in index:
-                code_of[index[w]] = 1 + i
-        tail = code_of > len(v.head)
-        mass = v.tail_mass[np.where(tail, code_of - len(v.head) - 1, 0)]
-        tail_of = np.where(tail, np.log((c + 0.5) / mass), 0.0)
-        end_base = np.log10((v.ends + 0.5) / total)
-        n = left.num_rows
-        size, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        base, inside = np.zeros(n), np.zeros(n)
-        total_log = np.zeros(n)
-        docs, at, room = [], [], 0
-
-        def flush():
-            nonlocal docs, at, room
-            if docs:
-                total_log[at] = gru.log_likelihood(p, v, docs)
-            docs, at, room = [], [], 0
-
-        for i, text in enumerate(left.column("text")):
-            own = np.fromiter(map(index.__getitem__, tokens(text.as_py())), np.int64, -1)
-            size[i] = len(own) + 1
-            seen[i] = int(np.count_nonzero(c[own])) + (v.ends > 0)
-            base[i], inside[i] = base_of[own].sum() + end_base, tail_of[own].sum()
-            docs.append(np.append(code_of[own], 0).astype(np.int32))
-            at.append(i)
-            room += len(own)
-            if room >= 2_500_000:
-                flush()
-        flush()
-        whole = (total_log + inside) / np.log(10)
+        tail_of = np.where(code > len(v.head), np.log((c + 0.5) / v.tail_mass[tails]), 0.0)
+        n = len(sizes)
+        doc = np.repeat(np.arange(n), sizes)
+        summed = lambda of: np.bincount(doc, of[flat], n)
+        docs, at, whole = _documents(code, flat, sizes), 0, np.zeros(n)
+        for to in [*(np.flatnonzero(np.diff(np.cumsum(sizes) // 2_500_000)) + 1).tolist(), n]:
+            whole[at:to], at = gru.log_likelihood(p, v, docs[at:to]), to
         return pa.table(
             {
-                "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": size, "n_known": seen,
-                "train_tokens": np.full(n, n_all, np.int64), "base_score": base, "score": whole,
+                "doc_id": pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["no_id"], bool)),
+                "held_out": np.frombuffer(row["held"], bool),
+                "n_tokens": sizes + 1,
+                "n_known": summed((c > 0).astype(float)).astype(np.int64) + (v.ends > 0),
+                "train_tokens": np.full(n, n_all, np.int64),
+                "base_score": summed(base_of) + np.log10((v.ends + 0.5) / total),
+                "score": (whole + summed(tail_of)) / np.log(10),
             }
-        )
+        )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(words.select("block", "word", "c").groupBy("block")).applyInArrow(run, schema)
+    parts = partitions(spark, blocks.count() // 4)
+    rows = blocks.select("block", "doc_ids", "no_id", "held", "sizes", "words", "tails", "tokens").repartition(parts, "block")
+    counts = sums.where("block is not null").select("block", "bucket", "counts").repartition(parts, "block")
+    return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     blocks = blocked(docs)
-    words = lexicon(blocks)
-    v, n_all, n_distinct = vocabulary(words)
-    return score(blocks, words, v, n_all, n_distinct, train(blocks, v))
-
+    sums = lexicon(blocks)
+    v, n_all, n_distinct = vocabulary(blocks, sums)
+    return score(blocks, sums, v, n_all, n_distinct, train(blocks, v))

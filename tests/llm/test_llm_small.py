@@ -168,15 +168,60 @@ def test_lm_scores(docs, corpus, empty):
     assert lm.score_documents(empty).count() == 0
 
 
-def test_lm_trains_on_every_document(docs):
+def test_lm_trains_on_every_document(docs, corpus):
     blocks = lm.blocked(docs.coalesce(1))
-    v, *_ = lm.vocabulary(lm.lexicon(blocks))
-    codes, want = lm._Codes(v), gru.initial(v)
-    texts = [r.text for r in blocks.collect() if not r.held_out]
-    gru.learn(want, v, [lm._coded(codes, lm.tokens(t)) for t in texts], 0.02)
+    v, *_ = lm.vocabulary(blocks, lm.lexicon(blocks))
+    assert blocks.count() == 1
+    ordered = [((r.doc_id, r.text or "")) for r in docs.coalesce(1).collect()]
+    texts = [t for i, t in ordered if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    coded = [np.array([*map(v.code, lm.tokens(t.encode())), 0], np.int32) for t in texts]
+    want = gru.initial(v)
+    gru.learn(want, v, coded, lm.RATE)
     got = lm.train(blocks, v)
-    assert blocks.select("block").distinct().count() == 1
-    assert all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+    assert sum(map(len, coded)) < 1e5 and all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+
+
+def test_lm_score_by_hand(docs, corpus, monkeypatch):
+    """Many blocks and buckets: every score from the network's own arithmetic, a document at a time."""
+    monkeypatch.setattr(lm.blocked, "__defaults__", (3000,))
+    monkeypatch.setattr(lm, "BUCKET_WORDS", 100)
+    blocks = lm.blocked(docs)
+    sums = lm.lexicon(blocks)
+    v, n, distinct = lm.vocabulary(blocks, sums)
+    assert blocks.count() > 5 and sums.where("block is null").count() > 3
+    counts: Counter = Counter()
+    for i, t, *_ in corpus:
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update((t or "").lower().encode().split() + [b""])
+    assert (n, distinct, v.ends) == (sum(counts.values()), len(counts), counts[b""])
+    assert [counts[w] for w in v.head] == sorted((c for w, c in counts.items() if w), reverse=True)[: gru.HEAD]
+    p = lm.train(blocks, v)
+    assert any(np.abs(p[k] - x).max() > 1e-3 for k, x in gru.initial(v).items())
+    got = Counter((r.doc_id, r.n_tokens, round(r.score, 3)) for r in lm.score(blocks, sums, v, n, distinct, p).collect())
+    want: Counter = Counter()
+    for i, t, *_ in corpus:
+        words = (t or "").lower().encode().split()
+        codes = np.array([*map(v.code, words), 0], np.int32)
+        inside = sum(np.log((counts[w] + 0.5) / v.tail_mass[gru.tail_class(w)]) for w in words if w not in v.ids)
+        want[i, len(codes), round((gru.log_likelihood(p, v, [codes])[0] + inside) / np.log(10), 3)] += 1
+    assert sum((got - want).values()) <= 2  # a sum in another order may round to the neighbour
+
+
+def test_lm_beats_the_base_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = lm.score_documents(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.count("*")).first()
+    assert held[2] > 100 and held[0] > held[1]
+
+
+def test_lm_edges(spark):
+    """A text of 60,000 words, clashing columns, other types; nothing to learn from."""
+    rng = random.Random(5)
+    rows = [(1, prose(rng, 60_000), 1.5), (2, "A a \x85 É", 2.5), (2, "A a \x85 É", 2.5)]
+    got = {r.n_tokens: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id int, text string, score double")).collect()}
+    assert set(got) == {60_001, 5} and all(np.isfinite(r.score) for r in got.values())
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]
+    only = lm.score_documents(spark.createDataFrame([(i, "never learned") for i in held], "doc_id long, text string")).collect()
+    assert [(r.n_known, r.train_tokens, r.held_out) for r in only] == [(0, 0, True)] * len(held) and all(np.isfinite(r.score) for r in only)
 
 
 def test_training_keeps_the_state_of_a_long_document(monkeypatch):
