@@ -75,14 +75,19 @@ def initial(v: Vocabulary, hidden: int = HIDDEN, seed: int = 3) -> dict[str, np.
     }
 
 
+def _by_gate(m: np.ndarray, n: int) -> np.ndarray:
+    """Columns of update, reset and new value as three matrices."""
+    return np.ascontiguousarray(m.reshape(-1, 3, n).transpose(1, 0, 2))
+
+
 def forward(p: dict, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, keep: bool):
     """Run a window (steps x lanes) from state ``h``. Returns the states before each input, the last
-    state and, for backpropagation, the gates (update and reset), the new values and their recurrent part."""
+    state and, for backpropagation, update, reset and new value of each step and its recurrent part."""
     steps, lanes = inputs.shape
     n = h.shape[1]
-    x, u = p["x"], p["u"]
-    gates, new = np.ascontiguousarray(x[:, : 2 * n])[inputs], np.ascontiguousarray(x[:, 2 * n :])[inputs]
-    of_gates, of_new = np.ascontiguousarray(u[:, : 2 * n]), np.ascontiguousarray(u[:, 2 * n :])
+    gates, u = np.empty((3, steps, lanes, n), h.dtype), _by_gate(p["u"], n)
+    for k, x in enumerate(_by_gate(p["x"], n)):
+        np.take(x, inputs, axis=0, out=gates[k], mode="clip")
     states = np.empty((steps, lanes, n), h.dtype)
     back = np.empty_like(states) if keep else None
     begins = fresh.any(1)
@@ -90,103 +95,115 @@ def forward(p: dict, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, keep:
         if begins[t]:
             h = np.where(fresh[t][:, None], h.dtype.type(0), h)
         states[t] = h
-        zr, v = gates[t], new[t]
-        zr += h @ of_gates
+        zr, v = gates[:2, t], gates[2, t]
+        zr[0] += h @ u[0]
+        zr[1] += h @ u[1]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        part = h @ of_new
+        part = h @ u[2]
         if keep:
             back[t] = part
-        part *= zr[:, n:]
+        part *= zr[1]
         v += part
         np.tanh(v, out=v)
         h = h - v
-        h *= zr[:, :n]
+        h *= zr[0]
         h += v
-    return states, h, (gates, new, back)
+    return states, h, (gates, back)
 
 
-def _softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each row's target, and all probabilities (in the place of ``logits``)."""
-    np.clip(logits, -60, 60, out=logits)  # far beyond what biases of counts reach, and safe to raise
-    at = np.arange(len(target)), target
-    score = logits[at]
+def _softmax(logits: np.ndarray, target: np.ndarray, safe: bool, grad: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each row's target and, with ``grad``, the gradient of its negative, in place of ``logits``."""
+    if not safe:
+        np.clip(logits, -60, 60, out=logits)
+    at = np.arange(0, logits.size, logits.shape[1]) + target
+    flat = logits.reshape(-1)
+    score = flat[at]
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], logits.dtype)
     score -= np.log(total)
-    logits *= (1 / total)[:, None]
+    if grad:
+        logits *= np.reciprocal(total)[:, None]
+        flat[at] -= 1
     return score, logits
 
 
 def outputs(p: dict, states: np.ndarray, cls: np.ndarray, word: np.ndarray, grad: bool):
     """Log probability (natural) of each target; with ``grad`` also the gradients of its negative.
 
-    Rows with a head word are put in the order of their classes, so that each class is one product."""
-    score, d = _softmax(states @ p["a"] + p["ab"], cls)
+    A state gets a 1 at its end, so that biases are a row of the weights. Rows with a head word are put
+    in the order of their classes, so that each class is one product."""
+    n = states.shape[1]
+    of_class, of_word = np.concatenate([p["a"], p["ab"][None]]), np.concatenate([p["w"], p["wb"][:, None]], 1)
+    one = np.ones((len(states), n + 1), states.dtype)
+    one[:, :n] = states
+    # States are within -1 and 1: logits this small can be raised as they are.
+    safe = max(np.abs(of_class).sum(0).max(), np.abs(of_word).sum(1).max(initial=0)) < 80
+    score, d = _softmax(one @ of_class, cls, safe, grad)
     g: dict[str, np.ndarray] = {}
     dh = None
     if grad:
-        d[np.arange(len(cls)), cls] -= 1
-        g["a"], g["ab"], dh = states.T @ d, np.ones(len(d), d.dtype) @ d, d @ p["a"].T
-        g["w"], g["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
+        ga = one.T @ d
+        g["a"], g["ab"], dh = ga[:n], ga[n], d @ p["a"].T
+        gw = np.zeros_like(of_word)
     at = np.flatnonzero(word >= 0)
     if len(at):
         at = at[np.argsort((word[at] // SIZE).astype(np.uint16), kind="stable")]
         group = word[at] // SIZE
         begin = np.append(True, group[1:] != group[:-1])
         cuts = [*np.flatnonzero(begin).tolist(), len(at)]
-        own, s = group[begin].tolist(), states[at]
-        w = p["w"].reshape(-1, SIZE, states.shape[1])
-        inner = p["wb"].reshape(-1, SIZE)[group]
-        for k, a, b in zip(own, cuts, cuts[1:], strict=False):
-            inner[a:b] += s[a:b] @ w[k].T
-        j = word[at] - group * SIZE
-        more, d = _softmax(inner, j)
+        spans = list(zip(group[begin].tolist(), cuts, cuts[1:], strict=False))
+        s, by_class = one[at], of_word.reshape(-1, SIZE, n + 1)
+        inner = np.empty((len(at), SIZE), s.dtype)
+        for k, a, b in spans:
+            np.matmul(s[a:b], by_class[k].T, out=inner[a:b])
+        more, d = _softmax(inner, word[at] - group * SIZE, safe, grad)
         score[at] += more
         if grad:
-            d[np.arange(len(at)), j] -= 1
-            gw, below = g["w"].reshape(w.shape), np.empty_like(s)
-            for k, a, b in zip(own, cuts, cuts[1:], strict=False):
-                np.matmul(d[a:b].T, s[a:b], out=gw[k])
+            into, w, below = gw.reshape(by_class.shape), p["w"].reshape(-1, SIZE, n), np.empty((len(at), n), s.dtype)
+            for k, a, b in spans:
+                np.matmul(d[a:b].T, s[a:b], out=into[k])
                 np.matmul(d[a:b], w[k], out=below[a:b])
-            g["wb"].reshape(-1, SIZE)[own] = np.add.reduceat(d, cuts[:-1], axis=0)
             dh[at] += below
+    if grad:
+        g["w"], g["wb"] = gw[:, :n], gw[:, n]
     return (score, g, dh) if grad else score
 
 
 def backward(p: dict, g: dict, states, kept, inputs, fresh, dout) -> None:
     """Backpropagation through the window's steps; the state it began with is taken as given."""
     steps, lanes, n = states.shape
-    gates, new, back = kept
-    z, r = gates[..., :n], gates[..., n:]
-    slope = np.empty((steps, 4, lanes, n), states.dtype)  # of update, reset, recurrent part and new value by the state after
-    np.multiply(1 - z, 1 - new * new, out=slope[:, 3])
-    np.multiply(slope[:, 3], r, out=slope[:, 2])
-    np.multiply(slope[:, 2] * (1 - r), back, out=slope[:, 1])
-    np.multiply((states - new) * z, 1 - z, out=slope[:, 0])
-    parts = [np.ascontiguousarray(p["u"][:, k * n : (k + 1) * n].T) for k in range(3)]
+    (z, r, new), back = kept
+    slope = np.empty((4, *states.shape), states.dtype)  # of update, reset, recurrent part and new value by the state after
+    keep = 1 - z
+    np.multiply(keep, 1 - new * new, out=slope[3])
+    np.multiply(slope[3], r, out=slope[2])
+    np.multiply(slope[2], back, out=slope[1])
+    slope[1] *= 1 - r
+    np.subtract(states, new, out=slope[0])
+    slope[0] *= z
+    slope[0] *= keep
+    parts = np.ascontiguousarray(_by_gate(p["u"], n).transpose(0, 2, 1))
     carry = np.zeros((lanes, n), states.dtype)
     begins = fresh.any(1)
     for t in range(steps - 1, -1, -1):
-        d = slope[t]
+        d = slope[:, t]
         d *= carry
-        carry = carry * z[t]
+        carry *= z[t]
         for k in range(3):
             carry += d[k] @ parts[k]
         carry += dout[t]
         if begins[t]:
             carry[fresh[t]] = 0
-    flat, h = inputs.ravel(), states.reshape(-1, n)
-    by_gate = [slope[:, k].reshape(-1, n) for k in range(4)]
+    flat, by_gate, h = inputs.ravel(), slope.reshape(4, -1, n), states.reshape(-1, n)
     g["u"] = np.concatenate([h.T @ by_gate[k] for k in range(3)], 1)
-    rows = np.concatenate([by_gate[0], by_gate[1], by_gate[3]], 1)
     order = np.argsort(flat.astype(np.uint16), kind="stable")  # a radix sort; HEAD + TAILS codes
     ranked = flat[order]
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     g["x"] = np.zeros_like(p["x"])
-    g["x"][ranked[first]] = np.add.reduceat(rows[order], first)
+    g["x"][ranked[first]] = np.concatenate([np.add.reduceat(by_gate[k][order], first) for k in (0, 1, 3)], 1)
 
 
 class Adam:
