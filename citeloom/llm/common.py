@@ -6,7 +6,9 @@ Nothing outside ``citeloom.llm`` imports this package.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +37,14 @@ def let(value: Column, body) -> Column:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Where the session names none, one machine alone (a local master, as in tests) gets a temporary
+    folder; on a cluster that is an error. The folder goes when the session's JVM ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="citeloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -51,21 +55,53 @@ def partitions(spark: SparkSession, wanted: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, 50_000))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark, label)
-    was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+_lock, _inside, _before = threading.Lock(), 0, None
+
+
+@contextmanager
+def _own_shuffles_end(spark: SparkSession):
+    """Executions that begin inside drop their shuffle files when they end. The switch is the session's:
+    it is on while any step is being written and set back after the last; for another query that begins
+    meanwhile it means no more than that its own shuffle files go as soon as it has ended."""
+    global _inside, _before
+    with _lock:
+        if not _inside:
+            _before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _inside += 1
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        spark.conf.set(CLEANUP, was) if was is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+        with _lock:
+            _inside -= 1
+            if not _inside:
+                spark.conf.set(CLEANUP, _before) if _before is not None else spark.conf.unset(CLEANUP)
+
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, Hadoop's, wherever it lives."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Hadoop's file system, wherever it lives."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``dropped`` deletes the step once nothing reads it any more; what is left goes when the JVM ends.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, label)
+    with _own_shuffles_end(spark):
+        df.write.parquet(path)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*steps: DataFrame) -> None:
+    """Delete stored steps. Nothing may read them later: not a DataFrame that is still to run either."""
+    for step in steps:
+        place, system = _place(step.sparkSession, step._stored_at)
+        system.delete(place, True)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import stored
+from citeloom.llm.common import dropped, stored
 
 
 def tree_edges(linked: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
@@ -38,6 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = low.select(F.col("node").alias("low"), F.col("low").alias("far"))
         after = stored(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("label"), "was"), "cc-labels")
         moved = after.where("label <> was").limit(1).count()
-        labels = after.select("node", "label")
+        dropped(low, labels)
+        labels = after
         if not moved:
-            return labels
+            dropped(both)
+            return labels.select("node", "label")

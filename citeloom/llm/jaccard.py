@@ -3,39 +3,39 @@
 Identical texts form a class; only one of them is joined. A class's set is its five-word shingles.
 In each run a hash picks every shingle of a set x with probability 1 / (threshold * |x|); classes that
 picked the same shingle in a run share a bucket. Two sets at the threshold share one pick a run on
-average, so a run misses them with probability 1/e at most, and runs are repeated until the target
-recall. A bucket over ``SMALL`` classes is split by the shingles that its members pick with the run's
-next hash, and so on; what is still large at the last level is compared block by block against
-block. Inside buckets, sketches of one-permutation minima keep the pairs that can be alike; they
+average, so they share none with probability 1/e at most. A bucket over ``SMALL`` classes is split by
+the shingles that its members pick with the run's next hash, and so on; what is still large at the
+last level is compared block by block against block. Runs are repeated until a pair that meets in
+hot buckets on every level is found with the target recall. Inside buckets, sketches of one-permutation minima keep the pairs that can be alike; they
 become forests of candidate edges, linear in the rows, never lists of all pairs.
 
-Every two classes of a candidate component are then compared exactly, in blocks; a block pair
-returns link counts and a spanning forest of its links. So links between different texts are counted
-in full while the rows stay linear.
+Every two classes of a candidate component that are alike in size are then compared exactly, in
+blocks of one size class each; a block pair returns link counts and a spanning forest of its links. So
+links between different texts are counted in full while the rows stay linear.
 
 Defined results: null text reads as empty; a text with one to four words is one shingle of all its
 words; texts without words have no links, equal ones still form a class; rows that repeat a doc_id
-are documents of their own; class and group ids are the smallest doc_id, null only if no member has
-one; an empty table gives no rows; further columns are ignored.
+are documents of their own, and one id may have several texts; class and group ids are the smallest
+doc_id, null only if no member has one; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, exp, log, prod
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import stored, text_of
+from citeloom.llm.common import dropped, stored, text_of
 from citeloom.llm.components import components, tree_edges
 from citeloom.llm.shingles import chunked, distinct, flat_shingles, flat_words, mixed
 
 THRESHOLD = 0.8
 RECALL = 0.9995
-DEEP = (3.0, 2.0)  # picks expected at the levels below the first
+DEEP = (6.0, 5.0)  # picks expected at the levels below the first
 SMALL = 4096
 BLOCK = 256
 BINS = 32
@@ -44,9 +44,11 @@ SLACK = 0.35  # how far a sketch's estimate may fall below the threshold; over f
 _ODD = (np.random.default_rng(6).integers(1, 2**62, 256, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def runs_for(recall: float = RECALL) -> int:
-    """Runs after which a pair at the threshold was missed with probability 1 - recall at most."""
-    return ceil(-log(1 - recall))
+def runs_for(recall: float = RECALL, threshold: float = THRESHOLD) -> int:
+    """Runs after which a pair at the threshold was missed with probability 1 - recall at most, even if
+    all buckets that it shares are split on every level. Of c picks expected, it shares c * threshold."""
+    found = (1 - exp(-1)) * prod(1 - exp(-c * threshold) for c in DEEP)
+    return ceil(log(1 - recall) / log(1 - found))
 
 
 def picked(s: np.ndarray, which: int, expected: float) -> np.ndarray:
@@ -215,13 +217,16 @@ def _block_pairs(rows: DataFrame, count: str, size: int, by: str) -> DataFrame:
     return rows.select(by, lo.alias("lo"), hi.alias("hi"), "block", *[c for c in rows.columns if c not in (by, "block", "blocks", "other", count)])
 
 
-def candidates(classes: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """Edges (a, b) between classes that can be alike: forests of each bucket's pairs."""
+def candidates(classes: DataFrame, threshold: float, runs: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) between classes that can be alike: forests of each bucket's pairs. And the steps they are in."""
     rows = classes.where("size > 0").select("node", "size", "sketch", "picks").mapInArrow(_first_paths, ROW)
-    found = []
+    found, above = [], None
     for level in range(len(DEEP) + 1):
         counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         rows = stored(rows.join(counts, "path").select("path", "run", "node", "size", "sketch", "n"), "join-buckets")
+        if above is not None:
+            dropped(above)
+        above = rows
         small = rows.where(F.col("n") <= SMALL).repartition("path").sortWithinPartitions("path")
         found.append(stored(small.select("path", "node", "size", "sketch").mapInArrow(_candidate_edges(threshold, 1), "a long, b long"), "join-edges"))
         large = rows.where(F.col("n") > SMALL)
@@ -233,10 +238,11 @@ def candidates(classes: DataFrame, threshold: float, runs: int) -> DataFrame:
         else:
             dealt = _block_pairs(large.drop("run"), "n", SMALL // 2, "path").repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi")
             found.append(stored(dealt.mapInArrow(_candidate_edges(threshold, 3), "a long, b long"), "join-edges"))
+    dropped(above)
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
-    return out.distinct()
+    return out.distinct(), found
 
 
 def _shared(sets: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -299,50 +305,90 @@ def _links(threshold: float):
 
 
 def _sets(batches):
-    """label, n, node, set of rows (label, n, node, text)."""
+    """label, n, k, node, set of rows (label, n, k, node, text); rows of one text next to each other count once."""
+    last = None
     for batch in batches:
+        node = batch.column(3).to_pylist()
+        new = [a != b for a, b in zip([last, *node], node, strict=False)]
+        last = node[-1] if node else last
+        batch = batch.filter(pa.array(new, pa.bool_()))
         sets = []
-        for _, texts in chunked(batch.column(3).to_pylist()):
+        for _, texts in chunked(batch.column(4).to_pylist()):
             shingles, begins = flat_shingles(*flat_words(texts))
             sets += [distinct(shingles[a:b]).tobytes() for a, b in zip(begins, begins[1:], strict=False)]
-        yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], names=["label", "n", "node", "set"])
+        yield pa.record_batch([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["label", "n", "k", "node", "set"])
+
+
+def _size_class(size: Column, threshold: float) -> Column:
+    """Sets at the threshold are in the same class or in neighbouring ones (a little wider, for rounding)."""
+    return F.floor(F.log(size.cast("double")) / (1.000001 * log(1 / threshold))).cast("long")
+
+
+def _within(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Deal rows (label, n, k, node, set) for comparison: a small component is one group, in a large one
+    every two blocks of the same or neighbouring size classes are. members: label, n, k of all rows."""
+    small = rows.where(F.col("n") <= BLOCK).select("label", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("block"), "node", "set")
+    counts = members.where(F.col("n") > BLOCK).groupBy("label", "k").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    counts = counts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("k", "blocks"))).alias("blocks"))  # a few dozen classes at most
+    large = rows.where(F.col("n") > BLOCK).join(counts, "label")
+    code = lambda k, h: k * (1 << 32) + h
+    own = code(F.col("k"), F.pmod(F.xxhash64("node"), F.try_element_at("blocks", F.col("k"))))
+    none = F.array().cast("array<bigint>")
+
+    def blocks(step: int) -> Column:
+        k = F.col("k") + step
+        n = F.try_element_at("blocks", k)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda h: code(k, h))).otherwise(none)
+
+    large = large.withColumn("block", own).withColumn("other", F.explode(F.concat(blocks(-1), blocks(0), blocks(1))))
+    large = large.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "set")
+    return small.unionByName(large).repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, key, class_id, n_copies, n_links, group_id of every document.
+    """doc_id, key, class_id, n_copies, n_links, group_id, group_key of every document.
 
     class_id: the smallest id among equal texts, n_copies: how many have it; n_links: how many other
-    texts are at the threshold or above; group_id: the smallest id among all that links connect.
+    texts are at the threshold or above; group_id: the smallest id among all that links connect, and
+    group_key: the key of one class of the group that has it.
     """
-    runs = runs_for(recall)
+    runs = runs_for(recall, threshold)
     signed = signatures(docs, threshold, runs)
     first = F.min_by(F.struct("node", "size", "sketch", "picks", "deep"), F.struct("doc_id"))
     classes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), first.alias("s"))
     classes = stored(classes.select("key", "rep", "n_copies", "s.*"), "join-classes")
 
-    edges = candidates(classes, threshold, runs)
+    edges, steps = candidates(classes, threshold, runs)
     labels = components(edges)
+    dropped(*steps)
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    wanted = labels.join(sizes, "label").join(classes.select("node", "rep", "key"), "node")
+    wanted = labels.join(sizes, "label").join(classes.select("node", "rep", "key", _size_class(F.col("size"), threshold).alias("k")), "node")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    rows = texts.join(wanted, F.expr("doc_id <=> rep") & (F.unhex(F.md5("text")) == F.col("key"))).select("label", "n", "node", "text")
-    dealt = _block_pairs(rows.mapInArrow(_sets, "label long, n long, node long, set binary"), "n", BLOCK, "label")
-    links = stored(dealt.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi").mapInArrow(_links(threshold), "node long, other long, n long"), "join-links")
+    rows = texts.join(wanted, F.expr("doc_id <=> rep") & (F.unhex(F.md5("text")) == F.col("key"))).select("label", "n", "k", "node", "text")
+    dealt = _within(rows.mapInArrow(_sets, "label long, n long, k long, node long, set binary"), wanted.select("label", "n", "k"))
+    links = stored(dealt.mapInArrow(_links(threshold), "node long, other long, n long"), "join-links")
 
     degree = links.where("other is null").groupBy("node").agg(F.sum("n").alias("n_links"))
     groups = components(links.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    lowest = groups.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("group_id"))
-    per_node = groups.join(lowest, "label").select("node", "group_id")
+    lead = F.min_by(F.struct("rep", "key"), F.struct(F.col("rep").isNull(), "rep", "key")).alias("lead")
+    lowest = groups.join(classes.select("node", "rep", "key"), "node").groupBy("label").agg(lead)
+    per_node = groups.join(lowest, "label").select("node", "lead")
     full = classes.select("key", "node", F.col("rep").alias("class_id"), "n_copies").join(degree, "node", "left").join(per_node, "node", "left")
-    full = full.select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
-    return signed.select("doc_id", "key").join(stored(full, "join-full"), "key").select("doc_id", "key", "class_id", "n_copies", "n_links", "group_id")
+    lead = F.coalesce("lead", F.struct(F.col("class_id").alias("rep"), "key"))
+    full = full.select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), lead["rep"].alias("group_id"), lead["key"].alias("group_key"))
+    full = stored(full, "join-full")
+    dropped(classes, links)
+    return signed.select("doc_id", "key").join(full, "key").select("doc_id", "key", "class_id", "n_copies", "n_links", "group_id", "group_key")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each group (that of the smallest doc_id), with the same columns."""
+    """One row of each group, with the same columns: of the class that leads it, the row with the
+    smallest doc_id; among rows with that id and text, the first by all other columns."""
     found = join(docs, threshold)
-    kept = found.where(F.expr("doc_id <=> group_id")).select(F.col("doc_id").alias("__j_id"), F.col("key").alias("__j_key"), F.col("class_id").alias("__j_class"), F.col("group_id").alias("__j_group")).distinct()
+    lead = F.expr("doc_id <=> group_id") & (F.col("key") == F.col("group_key"))
+    kept = found.where(lead).select(F.col("doc_id").alias("__j_id"), F.col("key").alias("__j_key")).distinct()
     keyed = docs.withColumn("__j_hash", F.unhex(F.md5(text_of(docs))))
     rows = keyed.join(kept, F.expr("doc_id <=> __j_id") & (F.col("__j_hash") == F.col("__j_key")))
-    once = Window.partitionBy("doc_id", "__j_hash").orderBy(F.lit(1))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    once = Window.partitionBy("__j_key").orderBy(F.to_json(F.struct(*rest)) if rest else F.lit(1))
     return rows.withColumn("__j_n", F.row_number().over(once)).where("__j_n = 1").select(*[keyed[c] for c in docs.columns])
