@@ -4,7 +4,12 @@ Each kind has a pattern, a validator and a set of values it may take. A value is
 set; a keyed Feistel network permutes the set (walking on while a result falls outside) and the
 result is written in the value's own format. The permutation depends on the key and the kind alone,
 so equal values keep equal pseudonyms in every document, in whatever grouping they are written, and
-who has the key can undo it. Numbers that fail their check (Luhn, mod 97, calendar, octets) are left alone.
+who has the key can undo it (``restored``). No value is its own pseudonym. Numbers that fail their
+check (Luhn, mod 97, calendar, octets) are left alone.
+
+Letters and digits of any script are permuted among those of the same kind (category) in their row of
+128 code points. Of an e-mail address the part before the @ is replaced; the domain stays. A value none
+of whose characters can change is left alone and not counted.
 
 Defined results: null text stays null; empty text stays empty; a text without findings is returned
 as it is; where findings overlap the kind named first in ``KINDS`` wins; rows are treated one by
@@ -16,7 +21,9 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import isqrt
 
 import pyarrow as pa
@@ -59,6 +66,14 @@ class Feistel:
             if value < size:
                 return value
 
+    def away(self, kind: str, value: int, size: int) -> int:
+        """A permutation without fixed points: one step along the cycle that the keyed permutation makes."""
+        return self(kind, (self(kind, value, size) + 1) % size, size, back=True)
+
+    def home(self, kind: str, value: int, size: int) -> int:
+        """The inverse of ``away``."""
+        return self(kind, (self(kind, value, size) - 1) % size, size, back=True)
+
 
 def luhn_digit(payload: str) -> str:
     total = 0
@@ -72,15 +87,23 @@ def iban_check(country: str, body: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
 
 
+@lru_cache(maxsize=4096)
 def _alphabet(c: str) -> str:
-    return next((a for a in (LOWER, UPPER, DIGITS, LOWER_MORE, UPPER_MORE) if c in a), c)
+    """What may stand in the place of a character; only itself if it is no letter or digit."""
+    own = next((a for a in (LOWER, UPPER, DIGITS, LOWER_MORE, UPPER_MORE) if c in a), "")
+    if own or ord(c) < 0x100 or not c.isalnum():
+        return own or c
+    row = map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1))
+    return "".join(x for x in row if x.isalnum() and unicodedata.category(x) == unicodedata.category(c))
 
 
-def spelled(permute: Callable[[int, int], int], text: str, alphabets: list[str]) -> str:
-    """Permute a string whose every character may take the values of its own alphabet."""
+def spelled(permute: Callable[[int, int], int], text: str, alphabets: list[str]) -> str | None:
+    """Permute a string whose every character may take the values of its own alphabet; None if none can change."""
     value, size = 0, 1
     for c, a in zip(text, alphabets, strict=True):
         value, size = value * len(a) + a.index(c), size * len(a)
+    if size < 2:
+        return None
     value, out = permute(value, size), []
     for a in reversed(alphabets):
         value, d = divmod(value, len(a))
@@ -101,7 +124,8 @@ Permute = Callable[[str, int, int], int]
 
 def _email(m: re.Match, p: Permute) -> str | None:
     local = m[1]
-    return spelled(lambda v, n: p("email" + re.sub(r"[^\W_]", "", local), v, n), local, [_alphabet(c) for c in local]) + m[2]
+    new = spelled(lambda v, n: p("email" + re.sub(r"[^\W_]", "", local), v, n), local, [_alphabet(c) for c in local])
+    return new and new + m[2]
 
 
 def _secret(m: re.Match, p: Permute) -> str | None:
@@ -214,13 +238,18 @@ def replaced(text: str, found: list[tuple[int, int, str, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
+def restored(text: str, key: bytes) -> str:
+    """The text that ``pseudonymize`` was given, from its result and the key."""
+    return replaced(text, findings(text, Feistel(key).home))
+
+
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, a count for each kind (n_email and so on), n_replaced, and the text with pseudonyms."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"n_{n} long" for n in (*NAMES, "replaced")) + ", text string"
 
     def run(batches: Iterator[pa.RecordBatch]):
-        permute = Feistel(key)
+        permute = Feistel(key).away
         for batch in batches:
             texts, counts = [], {n: [] for n in NAMES}
             for text in batch.column(1).to_pylist():
