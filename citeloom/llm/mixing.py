@@ -13,14 +13,16 @@ have run out stay empty, that is at their weights renormalised. The period grows
 target weight, up to ``MOST_SLOTS``.
 
 Defined results: a null source is the source "" ; sources without a target weight get no slot and
-come with null slot and position and ``in_mix`` false; rows that repeat a doc_id are ranked in a
-fixed order; an empty table gives no rows; other columns are kept, temporary names start with
+come with null slot and position and ``in_mix`` false; more than ``MOST_SOURCES`` of them are an error;
+rows that repeat a doc_id (or have none) are ranked by a hash of all their columns, so that only rows
+equal in all of them meet in one task; an empty table gives no rows; other columns are kept, temporary names start with
 ``__mix_``.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Mapping
 from math import ceil
 
@@ -50,8 +52,13 @@ def quantized(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, i
     spare = period - sum(slots.values())
     for s in sorted(names, key=lambda s: (slots[s] - ideal[s], s))[: max(0, spare)]:
         slots[s] += 1
-    while sum(slots.values()) > period:  # the ones raised to one slot took too many
-        slots[max(slots, key=lambda s: (slots[s] - ideal[s] if slots[s] > 1 else -1e9, s))] -= 1
+    over = [(ideal[s] - slots[s], s) for s in names if slots[s] > 1]
+    heapq.heapify(over)
+    for _ in range(-spare):  # the ones raised to one slot took too many
+        short, s = heapq.heappop(over)
+        slots[s] -= 1
+        if slots[s] > 1:
+            heapq.heappush(over, (short + 1, s))
     return slots
 
 
@@ -89,8 +96,16 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     """``docs`` with slot, position and in_mix; ``position`` orders the mix."""
     spark = docs.sparkSession
     named = docs.withColumn("__mix_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    counts = {r[0]: r[1] for r in named.groupBy("__mix_source").count().limit(MOST_SOURCES + 1).collect()}
-    weights = tempered(counts) if weights is None else {s: w for s, w in weights.items() if s in counts}
+    if weights is None:
+        counts = {r[0]: r[1] for r in named.groupBy("__mix_source").count().limit(MOST_SOURCES + 1).collect()}
+        weights = tempered(counts)
+    else:
+        asked = sorted(s for s, w in weights.items() if w > 0)
+        if len(asked) > MOST_SOURCES:
+            raise ValueError(f"{len(asked)} target weights; the schedule takes {MOST_SOURCES}")
+        wanted = F.broadcast(spark.createDataFrame([(s,) for s in asked], "__mix_source string"))  # MOST_SOURCES rows at most
+        counts = {r[0]: r[1] for r in named.join(wanted, "__mix_source", "left_semi").groupBy("__mix_source").count().collect()}
+        weights = {s: weights[s] for s in counts}
     slots = quantized(weights, long_enough(weights, period))
     order = schedule(slots)
     period = len(order)
@@ -98,15 +113,15 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     end = min((after[s][0] * period + t for t, (s, j) in enumerate(order) if after[s][1] == j), default=0)
 
     buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
-    keyed = named.withColumn("__mix_order", F.xxhash64(F.lit(11), "doc_id")).withColumn("__mix_bucket", F.pmod(F.col("__mix_order"), F.lit(buckets)))
+    rest = [f"`{c}`" for c in docs.columns if c != "doc_id" and not re.search("map<|variant", docs.schema[c].dataType.simpleString())]
+    keyed = named.withColumn("__mix_order", F.xxhash64(F.lit(11), "doc_id", *rest)).withColumn("__mix_bucket", F.pmod(F.col("__mix_order"), F.lit(buckets)))
     sizes = keyed.groupBy("__mix_source", "__mix_bucket").count()
     before = Window.partitionBy("__mix_source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__mix_source", "__mix_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__mix_offset"))
     share = spark.createDataFrame(sorted(slots.items()), "__mix_source string, __mix_slots long")
     offsets = offsets.join(F.broadcast(share), "__mix_source", "left")  # at most MOST_SOURCES rows
 
-    rest = [c for c in docs.columns if c not in ("doc_id",)]
-    inside = Window.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_order", "doc_id", *[c for c in rest if docs.schema[c].dataType.simpleString() in ("string", "bigint", "int")])
+    inside = Window.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_order", "doc_id", *rest)
     ranked = keyed.withColumn("__mix_rank", F.row_number().over(inside) - 1).join(offsets, ["__mix_source", "__mix_bucket"])
     rank = F.col("__mix_offset") + F.col("__mix_rank")
     block = F.floor(rank / block_rows)
