@@ -1,15 +1,17 @@
 """Toxicity: boosted trees over dense text features, with isotonic calibration.
 
-Features: densities of a fixed lexicon and of words and word beginnings learned from the labelled
-training rows, how near a second person such a word stands, capitals, punctuation, obfuscation.
-The learned lexicon and the trees are fitted on at most ``SAMPLE_ROWS`` labelled rows, picked by a
-hash of the id; a training row's own label is left out of the lexicon that its features use. Every
-text is then scored whole, without shuffle.
+Features: densities of a lexicon of words and word beginnings, how near a second person such a word
+stands, capitals, punctuation, obfuscation. The lexicon is learned from the labelled training rows
+alone: nothing in it was chosen by hand. Lexicon and trees are fitted on at most ``SAMPLE_ROWS``
+labelled documents, picked by a hash of the id, with at most as many lexicon entries; a training row's
+own label is left out of the lexicon that its features use. Every text is then scored whole, without
+shuffle.
 
 Defined results: null and empty texts have zero features and get the score those have; rows with a
-null toxic label, or in the held-out fold, are never learned from; without training rows every score
-is the same; repeated rows are scored one by one; an empty table gives no rows; labels, language,
-source and id are never features.
+null toxic label, or in the held-out fold, are never learned from; an id with several labels is toxic
+if one of them says so, and of several texts with one id the first in order is learned from; without
+training rows every score is the same; repeated rows are scored one by one; an empty table gives no
+rows; labels, language, source and id are never features; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,23 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.boosting import Boosted, Isotonic, boost, isotonic, sigmoid
-from citeloom.llm.common import text_of
+from citeloom.llm.common import dropped, stored, text_of
 
 SAMPLE_ROWS = 20_000
-LEXICON_SIZE = 20_000
-STEMS = (4, 5, 6)
+#: Lengths of the word beginnings that the lexicon may hold beside whole words.
+STEMS = (4, 5, 6, 7, 8)  # the best of five choices by cross-validation within the training rows
 CHUNK = 1 << 20
 
-#: Insults, and second-person words of four languages.
-INSULTS = frozenset("idiot idiots moron morons loser losers scum trash clown stupid pathetic worthless disgusting garbage dumb".split())
+#: Second-person words of four languages.
 SECOND = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes".split())
 LEET = str.maketrans("013457@$!|", "oieastasil")
 STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 INNER = re.compile(r"[\W_]+")
 
-SEED, LEX, STEM, PERSON, CAPS, OBF, ALPHA = (1 << i for i in range(7))
+LEX, STEM, PERSON, CAPS, OBF, ALPHA = (1 << i for i in range(6))
 FEATURES = (
-    "log_tokens", "seed_density", "lexicon_density", "lexicon_hits", "lexicon_most", "stem_density", "stem_hits", "stem_most",
+    "log_tokens", "lexicon_density", "lexicon_hits", "lexicon_most", "stem_density", "stem_hits", "stem_most",
     "person_density", "near_person", "capitals", "marks", "obfuscated", "lexicon_or_stem_most",
 )
 
@@ -97,7 +98,7 @@ class Coder(dict):
         if len(self) >= self.most:
             self.clear()
         word, obfuscated = normal(token)
-        code = SEED * (word in INSULTS) | PERSON * (word in SECOND) | OBF * obfuscated
+        code = PERSON * (word in SECOND) | OBF * obfuscated
         code |= ALPHA * bool(word) | CAPS * (len(word) > 1 and token.upper() == token)
         if len(word) > 2:
             whole, *stems = (self.lexicon.weight(k, self.without) for k in keys_of(word))
@@ -126,11 +127,11 @@ def features(texts: list[str | None], coder: Coder) -> np.ndarray:
     person = np.concatenate([[0], np.cumsum(code & PERSON > 0)])
     at = np.arange(len(code))
     around = person[np.minimum(at + 6, starts[1:][doc])] - person[np.maximum(at - 5, starts[:-1][doc])] if len(code) else np.zeros(0)
-    hit = code & (SEED | LEX | STEM) > 0
+    hit = code & (LEX | STEM) > 0
     marks = np.array([(t or "").count("!") + (t or "").count("?") for t in texts], float)
     per = 100 / np.maximum(n, 1)
     rows = [
-        np.log1p(n), total(flag(SEED)) * per, total(flag(LEX)) * per, total(flag(LEX)), most(lex), total(flag(STEM)) * per, total(flag(STEM)), most(stem),
+        np.log1p(n), total(flag(LEX)) * per, total(flag(LEX)), most(lex), total(flag(STEM)) * per, total(flag(STEM)), most(stem),
         total(flag(PERSON)) * per, total((hit & (around > 0)).astype(float)) * per, total(flag(CAPS)) / np.maximum(1, total(flag(ALPHA))),
         marks * per, total(flag(OBF)) * per, np.maximum(most(lex), most(stem)),
     ]
@@ -166,11 +167,14 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows outside the held-out fold."""
+    """Fit on at most ``sample_rows`` labelled documents outside the held-out fold."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
-    sample = usable.select("doc_id", (F.col("toxic") > 0).cast("int").alias("__tox")).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", "__tox").limit(sample_rows)
+    usable = usable.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("__tox"))
+    sample = usable.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select("doc_id", text_of(docs).alias("__text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("__text", "__tox")  # at most SAMPLE_ROWS rows
+    found = texts.join(F.broadcast(sample), "doc_id")  # at most SAMPLE_ROWS ids
+    once = found.groupBy("doc_id").agg(F.min("__text").alias("__text"), F.first("__tox").alias("__tox"))
+    rows = stored(once.select("__text", "__tox"), "toxicity-sample")  # at most SAMPLE_ROWS rows
 
     def count(batches):
         for batch in batches:
@@ -190,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     counts = rows.mapInArrow(count, "key string, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     useful = counts.where((F.col("key") == "") | (F.col("toxic") >= 3) & (F.col("toxic") > F.col("other")))
-    top = useful.orderBy(F.col("key") != "", F.desc(F.col("toxic") / (F.col("other") + 1)), "key").limit(LEXICON_SIZE + 1).collect()
+    top = useful.orderBy(F.col("key") != "", F.desc(F.col("toxic") / (F.col("other") + 1)), "key").limit(sample_rows + 1).collect()
     totals = next(((r.toxic, r.other) for r in top if r.key == ""), (0, 0))
     lexicon = Lexicon(*totals, {r.key: (r.toxic, r.other) for r in top if r.key})
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -207,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                         yield pa.record_batch([pa.array([v] * len(pick), pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
     table = rows.mapInArrow(measure, "y int, x array<double>").toPandas()
+    dropped(rows)
     if not len(table):
         return Model(lexicon, Boosted(-3.0, 0.0, []), isotonic(np.zeros(1), np.zeros(1)))
     y, x = table["y"].to_numpy(float), np.stack(table["x"])
