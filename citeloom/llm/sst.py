@@ -30,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import stored, text_of
+from citeloom.llm.common import partitions, stored, text_of
 
 MAGIC = b"CLOOMSS1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 ENTRY = struct.Struct("<QII I")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: Characters and documents that a shard is meant to have: its writer holds the keys of all its documents.
+SHARD_CHARS, SHARD_DOCS = 256 << 20, 2 << 20
 
 
 # -- encoding ------------------------------------------------------------------------------------
@@ -287,11 +289,15 @@ MANIFEST = "shard int, path string, first_id long, last_id long, n_docs long, n_
 def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Encoder], shards: int | None = None) -> DataFrame:
     """Write ``docs`` as shards below ``folder`` (a URI all executors share); returns the manifest.
 
-    ``shards`` key ranges; by default as many as Spark's shuffle partitions, joined where small.
+    ``shards`` key ranges; by default as many as the size of the documents asks for, Spark's shuffle
+    partitions at least.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    if shards is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+        shards = partitions(docs.sparkSession, max(size[0] // SHARD_CHARS, size[1] // SHARD_DOCS))
     by = F.col("doc_id").asc_nulls_first()
-    dealt = rows.repartitionByRange(*([shards] if shards else []), by).sortWithinPartitions(by, "text")
+    dealt = rows.repartitionByRange(shards, by).sortWithinPartitions(by, "text")
 
     def write(batches):
         coder, n = make_encoder(), TaskContext.get().partitionId()
