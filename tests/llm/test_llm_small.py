@@ -105,6 +105,18 @@ def test_chat(spark):
     assert chat.chat_digest(df.limit(0)).count() == 0
 
 
+def test_chat_with_clashing_columns_and_long_texts(spark):
+    rng = random.Random(2)
+    rows = [(1, 0, "user", prose(rng, 50_000)), (1, 1, "assistant", ": ### </turn>" * 1000), (2, 0, "user", "a"), (2, 0, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clash = df
+    for c in ("formatted", "segments", "valid", "loss", "turns", "rows", "state", "n_turns"):
+        clash = clash.withColumn(c, F.lit("clash"))
+    assert sorted(map(tuple, chat.chat_digest(clash).collect())) == sorted(map(tuple, chat.chat_digest(df).collect()))
+    out = {r.conv_id: r for r in chat.format_chat(clash).withColumn("back", chat.parse_chat(F.col("formatted"))).collect()}
+    assert [t.text for t in out[1].back] == [rows[0][3], rows[1][3]] and out[1].valid
+
+
 # -- 2 language model ------------------------------------------------------------------------------
 
 
@@ -259,6 +271,34 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.normal("!!1d10t.") == ("idiot", True) and toxicity.normal("Clown,") == ("clown", False) and toxicity.normal("2024") == ("", False)
 
 
+def test_toxicity_of_repeated_rows(spark):
+    """An id with two texts and two labels is one training row; repeated rows get equal scores."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(300):
+        bad = i % 4 == 0
+        rows.append((i, prose(rng, 30) + (" you scoundrel" if bad else ""), "en", "s"))
+        labels += [(i, int(bad)), (i, 0)]
+    twice = spark.createDataFrame(rows + rows + [(i, "zz", "en", "s") for i in range(0, 300, 50)], SCHEMA)
+    once = spark.createDataFrame(rows, SCHEMA)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    a, b = toxicity.train(twice, lab), toxicity.train(once, lab)
+    assert (a.lexicon.toxic, a.lexicon.other) == (b.lexicon.toxic, b.lexicon.other) and a.lexicon.toxic + a.lexicon.other == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(300))
+    scores = Counter((r.doc_id, round(r.score, 9)) for r in toxicity.score(twice.where("text <> 'zz'"), a).collect())
+    assert len(scores) == 300 and set(scores.values()) == {2}
+    small = toxicity.train(once, lab, sample_rows=40)
+    assert small.lexicon.toxic + small.lexicon.other == 40 and len(small.lexicon.entries) <= 40
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Trained and judged on the tables: the held-out fold is read here for the first time."""
+    sf = "/root/testdata/sf0.1"
+    docs, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = toxicity.score(docs, toxicity.train(docs, lab)).where("held_out").join(lab, "doc_id").select("predicted", "toxic").collect()
+    hits = sum(r.predicted and r.toxic for r in held)
+    assert hits >= 0.8 * sum(r.toxic for r in held) and hits >= 0.8 * sum(r.predicted for r in held)
+
+
 # -- 4 quality -------------------------------------------------------------------------------------
 
 
@@ -328,6 +368,41 @@ def test_small_weights_are_kept():
     assert mixing.long_enough({"a": 1e-9, "b": 1.0}) == mixing.MOST_SLOTS and mixing.long_enough({}) == mixing.PERIOD
 
 
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    df = spark.createDataFrame([(i, "t", "en", f"s{i % 6}") for i in range(60)], SCHEMA)
+    with pytest.raises(ValueError):
+        mixing.mix(df)
+    with pytest.raises(ValueError):
+        mixing.mix(df, {f"s{i}": 1.0 for i in range(4)})
+    got = Counter(r.source for r in mixing.mix(df, {"s1": 1.0, "s5": 2.0}, block_rows=2).where("slot is not null").collect())
+    assert got == {"s1": 10, "s5": 10}
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 100_000)
+    slots = mixing.quantized({f"s{i}": 1.0 if i < 3 else 1e-9 for i in range(20_000)}, 20_100)
+    assert sum(slots.values()) == 20_100 and min(slots.values()) == 1 and max(slots.values()) - min(slots["s0"], slots["s1"], slots["s2"]) <= 1
+
+
+@pytest.mark.parametrize("rows_a_bucket", [500, 3])
+def test_placement_by_hand(spark, rows_a_bucket, monkeypatch):
+    """Null and repeated ids, equal rows, a null source: every source fills its slots in order, none twice."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", rows_a_bucket)
+    rows = [(None, f"t{i % 7}", "en", "a") for i in range(40)] + [(5, "t", "en", "b")] * 21 + [(i, "t", "en", None) for i in range(9)] + [(i, "u", "en", "c") for i in range(33)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("extra", F.create_map(F.lit("k"), F.lit(1)))
+    weights, block, period = {"a": 0.5, "b": 0.3, "": 0.2}, 4, 10
+    got = mixing.mix(df, weights, block, period).collect()
+    order = mixing.schedule(mixing.quantized(weights, period))
+    want = Counter()
+    for source in weights:
+        n, slot = sum((r[3] or "") == source for r in rows), -1
+        for rank in range(n):
+            if rank % block == 0:
+                slot = next(t for t in range(slot + 1, 10_000) if order[t % period][0] == source)
+            want[source, slot, slot * block + rank % block] += 1
+    assert Counter((r.source or "", r.slot, r.position) for r in got if r.source != "c") == want and max(want.values()) == 1
+    assert all(r.slot is None and r.position is None and not r.in_mix for r in got if r.source == "c")
+    assert len(mixing.mixed(df, weights, block).collect()) == 70
+
+
 # -- 6 Jaccard join --------------------------------------------------------------------------------
 
 
@@ -368,7 +443,45 @@ def test_join(docs, corpus, small, monkeypatch):
     assert any(w[3] >= 5 for w in want)
 
 
-def test_keep_one(docs, corpus, empty):
+def test_runs_cover_every_level():
+    lost = 1 - (1 - np.exp(-1)) * np.prod([1 - np.exp(-c * 0.8) for c in jaccard.DEEP])
+    assert lost ** jaccard.runs_for(0.9995, 0.8) <= 0.0005
+
+
+def test_size_classes(spark):
+    sizes = spark.range(1, 3000).select("id", jaccard._size_class(F.col("id"), 0.8).alias("k"), jaccard._size_class(F.col("id"), 0.5).alias("half")).collect()
+    k, half = ({r.id: r[n] for r in sizes} for n in (1, 2))
+    assert all(abs(k[int(a * 0.8 + 0.999999)] - k[a]) <= 1 and abs(half[-(-a // 2)] - half[a]) <= 1 for a in range(1, 3000))
+
+
+def test_links_of_all_sizes_in_a_large_component(spark, monkeypatch):
+    """A chain from 40 to 300 words: neighbours are linked, the ends are not; blocks of size classes."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rng = random.Random(3)
+    words = [f"c{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(n, " ".join(words[:n]), "en", "s") for n in range(40, 301, 4)]
+    classes, linked, group = links_by_hand(rows)
+    got = {r.doc_id: (r.n_links, r.group_id) for r in jaccard.join(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (len(linked[t]), group[t]) for i, t, *_ in rows} and len(set(group.values())) == 1
+
+
+def test_recall_in_a_hot_bucket(spark):
+    """5,000 texts that share a long passage: more than SMALL in its buckets. Planted pairs are all found."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"u{i}x{k}" for k in range(40)), "en", "s") for i in range(5000)]
+    pairs = rng.sample(range(5000), 300)
+    for n, i in enumerate(pairs):
+        words = rows[i][1].split()
+        words[rng.randrange(62, 99)] = "changed"
+        rows.append((10_000 + n, " ".join(words), "en", "s"))
+    got = {r.doc_id: (r.n_links, r.group_id) for r in jaccard.join(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert len(rows) - 300 > jaccard.SMALL
+    assert sum(got[10_000 + n] == (1, i) and got[i] == (1, i) for n, i in enumerate(pairs)) == 300
+    assert sum(v == (0, k) for k, v in got.items()) == 4700
+
+
+def test_keep_one(spark, docs, corpus, empty):
     _, _, group = links_by_hand(corpus)
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
@@ -376,6 +489,16 @@ def test_keep_one(docs, corpus, empty):
     assert jaccard.keep_one(empty).count() == 0 and jaccard.join(empty).count() == 0
 
 
+def test_keep_one_where_an_id_has_several_texts(spark):
+    rng = random.Random(6)
+    base, other = prose(rng, 80).split(), prose(rng, 80)
+    near = [" ".join([*base[:k], f"y{k}", *base[k + 1 :]]) for k in (20, 50)]
+    rows = [(1, near[0], "b"), (1, near[1], "b"), (2, " ".join(base), "b"), (1, other, "b"), (3, other, "c"), (3, other, "a"), (None, other, "d"), (None, "alone here", "z"), (None, "alone here", "q")]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert sorted((str(r.doc_id), r.source) for r in got) == [("1", "b"), ("1", "b"), ("None", "q")]
+    assert {r.text for r in got} - set(near) == {other, "alone here"}
+
+
 # -- 7 personal data -------------------------------------------------------------------------------
 
 
@@ -403,6 +526,32 @@ def test_pseudonyms(spark, docs, empty):
     assert pii.pseudonymize(docs, b"k").count() == docs.count() and pii.pseudonymize(empty, b"k").count() == 0
 
 
+def test_other_scripts(spark):
+    rows = [(1, "иван.петров@example.com"), (2, "mail 王小明@example.com now"), (3, "γιάννης_7@example.gr"), (4, "иван.петров@example.com"), (5, "a@b.co")]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    for i, text in rows:
+        old = text.split("@")[0].split()[-1]
+        assert got[i].n_email == got[i].n_replaced == 1 and old not in got[i].text and got[i].text.split("@")[1] == text.split("@")[1]
+        assert pii.restored(got[i].text, b"k") == text
+    assert got[1].text == got[4].text and "." in got[1].text
+
+
+def test_no_value_stays_and_all_come_back(spark):
+    """Every count is a replacement, and the key undoes each of them: an exact round trip over the tables."""
+    p = pii.Feistel(b"k")
+    for n in (2, 3, 26, 1000):
+        out = [p.away("x", i, n) for i in range(n)]
+        assert sorted(out) == list(range(n)) and all(a != i for i, a in enumerate(out)) and [p.home("x", a, n) for a in out] == list(range(n))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    changed = 0
+    for r in pii.pseudonymize(docs, b"k").collect():
+        assert (r.text != before[r.doc_id]) == (r.n_replaced > 0)
+        assert r.text is None or pii.restored(r.text, b"k") == before[r.doc_id]
+        changed += r.n_replaced
+    assert changed > 50
+
+
 # -- 8 decontamination -----------------------------------------------------------------------------
 
 
