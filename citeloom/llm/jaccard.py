@@ -305,7 +305,8 @@ def _links(threshold: float):
 
 
 def _sets(batches):
-    """label, n, k, node, set of rows (label, n, k, node, text); rows of one text next to each other count once."""
+    """label, block, others, node, set of rows with a text in place of the set; rows of one text next to each
+    other count once."""
     last = None
     for batch in batches:
         node = batch.column(3).to_pylist()
@@ -316,7 +317,7 @@ def _sets(batches):
         for _, texts in chunked(batch.column(4).to_pylist()):
             shingles, begins = flat_shingles(*flat_words(texts))
             sets += [distinct(shingles[a:b]).tobytes() for a, b in zip(begins, begins[1:], strict=False)]
-        yield pa.record_batch([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["label", "n", "k", "node", "set"])
+        yield pa.record_batch([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["label", "block", "others", "node", "set"])
 
 
 def _size_class(size: Column, threshold: float) -> Column:
@@ -324,25 +325,25 @@ def _size_class(size: Column, threshold: float) -> Column:
     return F.floor(F.log(size.cast("double")) / (1.000001 * log(1 / threshold))).cast("long")
 
 
-def _within(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Deal rows (label, n, k, node, set) for comparison: a small component is one group, in a large one
-    every two blocks of the same or neighbouring size classes are. members: label, n, k of all rows."""
-    small = rows.where(F.col("n") <= BLOCK).select("label", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("block"), "node", "set")
+def _placed(members: DataFrame) -> DataFrame:
+    """members (label, n, k, node and others) with their block and the blocks it is compared with: a small
+    component is one block; a large one has blocks in each size class, compared if their classes are the
+    same or neighbours."""
     counts = members.where(F.col("n") > BLOCK).groupBy("label", "k").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     counts = counts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("k", "blocks"))).alias("blocks"))  # a few dozen classes at most
-    large = rows.where(F.col("n") > BLOCK).join(counts, "label")
     code = lambda k, h: k * (1 << 32) + h
     own = code(F.col("k"), F.pmod(F.xxhash64("node"), F.try_element_at("blocks", F.col("k"))))
     none = F.array().cast("array<bigint>")
 
-    def blocks(step: int) -> Column:
+    def near(step: int) -> Column:
         k = F.col("k") + step
         n = F.try_element_at("blocks", k)
         return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda h: code(k, h))).otherwise(none)
 
-    large = large.withColumn("block", own).withColumn("other", F.explode(F.concat(blocks(-1), blocks(0), blocks(1))))
-    large = large.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "set")
-    return small.unionByName(large).repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
+    whole = F.lit(0).cast("long")
+    others = F.when(F.col("n") > BLOCK, F.concat(near(-1), near(0), near(1))).otherwise(F.array(whole))
+    placed = members.join(counts, "label", "left").withColumns({"block": F.when(F.col("n") > BLOCK, own).otherwise(whole), "others": others})
+    return placed.drop("n", "k", "blocks")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -362,10 +363,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     labels = components(edges)
     dropped(*steps)
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    wanted = labels.join(sizes, "label").join(classes.select("node", "rep", "key", _size_class(F.col("size"), threshold).alias("k")), "node")
+    members = labels.join(sizes, "label").join(classes.select("node", "rep", "key", _size_class(F.col("size"), threshold).alias("k")), "node")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    rows = texts.join(wanted, F.expr("doc_id <=> rep") & (F.unhex(F.md5("text")) == F.col("key"))).select("label", "n", "k", "node", "text")
-    dealt = _within(rows.mapInArrow(_sets, "label long, n long, k long, node long, set binary"), wanted.select("label", "n", "k"))
+    wanted = F.expr("doc_id <=> rep") & (F.unhex(F.md5("text")) == F.col("key"))
+    rows = texts.join(_placed(members), wanted).select("label", "block", "others", "node", "text")
+    sets = rows.mapInArrow(_sets, "label long, block long, others array<long>, node long, set binary").withColumn("other", F.explode("others"))
+    dealt = sets.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "set")
+    dealt = dealt.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
     links = stored(dealt.mapInArrow(_links(threshold), "node long, other long, n long"), "join-links")
 
     degree = links.where("other is null").groupBy("node").agg(F.sum("n").alias("n_links"))
