@@ -55,6 +55,12 @@ def partitions(spark: SparkSession, wanted: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, 50_000))
 
 
+def size_of(df: DataFrame) -> int:
+    """Spark's own estimate of a plan's bytes (for files, what they take), 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 _lock, _inside, _before = threading.Lock(), 0, None
 
 

@@ -30,15 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import partitions, stored, text_of
+from citeloom.llm.common import partitions, size_of, stored, text_of
 
 MAGIC = b"CLOOMSS1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 ENTRY = struct.Struct("<QII I")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Characters and documents that a shard is meant to have: its writer holds the keys of all its documents.
-SHARD_CHARS, SHARD_DOCS = 256 << 20, 2 << 20
+#: Input bytes and documents that a shard is meant to have: its writer holds the keys of all its documents.
+SHARD_BYTES, SHARD_DOCS = 128 << 20, 2 << 20
 
 
 # -- encoding ------------------------------------------------------------------------------------
@@ -294,8 +294,7 @@ def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Encode
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     if shards is None:
-        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-        shards = partitions(docs.sparkSession, max(size[0] // SHARD_CHARS, size[1] // SHARD_DOCS))
+        shards = partitions(docs.sparkSession, max(size_of(docs) // SHARD_BYTES, docs.count() // SHARD_DOCS))
     by = F.col("doc_id").asc_nulls_first()
     dealt = rows.repartitionByRange(shards, by).sortWithinPartitions(by, "text")
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -653,3 +654,63 @@ def test_copies_are_rows_not_ids(spark, block, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = Counter((r.doc_id, bytes(r.kept).decode()) for r in repeats.find_repeats(df).collect())
     assert got == Counter([(1, old), (5, ""), (5, other), (8, "x "), (None, ""), (None, ""), (None, fourth), (9, third)])
+
+
+def kept_by_hand(rows):
+    """Brute force: (doc_id, kept text) of rows (doc_id, text)."""
+    rank = lambda i: 1 << 62 if i is None else i
+    first: dict[bytes, int] = {}
+    for i, t in sorted(rows, key=lambda r: rank(r[0])):
+        data = (t or "").encode()
+        for k in range(len(data) - 49):
+            first.setdefault(data[k : k + 50], rank(i))
+    out: Counter = Counter()
+    for i, t in rows:
+        data = (t or "").encode()
+        gone = np.zeros(len(data), bool)
+        for k in range(len(data) - 49):
+            if first[data[k : k + 50]] < rank(i):
+                gone[k : k + 50] = True
+        out[i, np.frombuffer(data, np.uint8)[~gone].tobytes()] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 22, 700])
+def test_ids_that_fill_many_blocks(spark, block, monkeypatch):
+    """A third of the rows has no id, a third one id; passages go through all of them; one text is long."""
+    monkeypatch.setattr(repeats.blocked, "__defaults__", (block,))
+    monkeypatch.setattr(repeats, "BUCKET_NAMES", 500)
+    rng = random.Random(12)
+    passages = [prose(rng, 20) for _ in range(6)]
+    text = lambda: f"{prose(rng, 12)} {rng.choice(passages)} {prose(rng, rng.randint(0, 12))}"
+    rows = [(i, text()) for i in range(0, 60, 2)] + [(31, text()) for _ in range(30)] + [(None, text()) for _ in range(30)]
+    rows += [(31, rows[0][1]), (None, rows[40][1]), (33, prose(rng, 3000) + passages[2]), (90, "é" * 60), (91, "x" + "é" * 60), (92, "")]
+    got = Counter((r.doc_id, bytes(r.kept)) for r in repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got == kept_by_hand(rows)
+
+
+def test_names_of_different_strings_are_noticed(spark, monkeypatch):
+    """Names with four bits: bytes are compared, so nothing is removed for a name's sake."""
+    rng = random.Random(13)
+    shared = prose(rng, 40)
+    rows = [(i, f"{prose(rng, 30)} {shared} {prose(rng, 30)}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    digests = [sorted(map(tuple, repeats.digest(repeats.find_repeats(df, salt)).collect())) for salt in (0, 5)]
+    assert digests[0] == digests[1] and sum(r[2] > 0 for r in digests[0]) == 5
+    block = repeats.blocked(df).toArrow()
+    left = np.concatenate([np.arange(len(t.encode()), 0, -1) for _, t in rows])
+    side = lambda *rows: pa.Table.from_batches([repeats._side(list(rows))])
+    suspects = (0, repeats.SUSPECT, 0, repeats.pack_bits(left >= 50))
+    own = repeats.Prefixes(repeats.Texts(block, side()), np.flatnonzero(left >= 50), 0, 0)
+    older = (0, repeats.OLDER, 0, repeats.pack_bits(np.arange(len(own.names)) == 3))
+    text = bytes(own_data := repeats.Texts(block, side()).data)[own.lowest[3] : own.lowest[3] + 50]
+    shown = lambda text: (0, repeats.SHOWN, 7, (8).to_bytes(4, "little") + (50).to_bytes(8, "little") + np.array([50], np.int64).tobytes() + pa.compress(text, codec="zstd", asbytes=True))
+    cut = repeats._cut(0, 0)
+    assert own_data is not None and cut(block, side(suspects, older, shown(text))).num_rows == 6
+    for bad in (side(suspects, older, shown(text[:-1] + b"\0")), side(suspects, older)):
+        with pytest.raises(ValueError, match="different strings have one name"):
+            cut(block, bad)
+    named = repeats.named
+    monkeypatch.setattr(repeats, "named", lambda *a: (named(*a)[0] & np.uint64(15), named(*a)[1]))
+    with pytest.raises(ValueError, match="different strings have one name"):
+        cut(block, side(suspects, older, shown(text)))
