@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 from math import ceil, log2
 
 import numpy as np
@@ -50,7 +51,6 @@ BLOCK_BYTES = 4 << 20
 BUCKET_NAMES = 2 << 20
 LAST = (1 << 63) - 1
 
-_IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _CODEC = "zstd"
 _ODD = np.random.default_rng(10).integers(1, 2**62, 8, dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -225,7 +225,6 @@ class Texts:
         self.n = int(self.starts[-1])
         data = pa.decompress(row.column("data")[0].as_py(), decompressed_size=self.n + 8, codec=_CODEC, asbytes=True)
         self.data = np.frombuffer(data, np.uint8)
-        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
         self.side = side
         self.copy = np.zeros(len(self.ids), bool)
         self.copy[side.filter(pc.equal(side.column("kind"), COPIES)).column("number").to_numpy()] = True
@@ -238,20 +237,28 @@ class Texts:
     def bits(self, kind: int) -> np.ndarray:
         return np.concatenate([np.zeros(0, bool), *(unpack_bits(x) for _, x in self.rows(kind))])
 
-    def left(self) -> np.ndarray:
-        """Bytes from each place to its text's end."""
-        return np.repeat(self.starts[1:], self.sizes) - np.arange(self.n)
+    @cached_property
+    def doc(self) -> np.ndarray:
+        """The document that each place is in."""
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
 
     def sampled(self) -> np.ndarray:
-        inside = (np.arange(self.n) - np.repeat(self.starts[:-1], self.sizes)) % PERIOD
-        return np.flatnonzero(_IN_COVER[inside] & (self.left() >= TUPLE) & ~self.copy[self.doc])
+        """Places in the difference cover that have a whole tuple, of texts that are no copies."""
+        long = np.flatnonzero((self.sizes >= TUPLE) & ~self.copy)
+        periods = -(-(self.sizes[long] - TUPLE + 1) // PERIOD)
+        inside = np.arange(periods.sum()) - np.repeat(np.cumsum(periods) - periods, periods)
+        at = (np.repeat(self.starts[long], periods) + PERIOD * inside)[:, None] + np.array(COVER)
+        return at[at + TUPLE <= np.repeat(self.starts[long + 1], periods)[:, None]]
 
     def suspects(self, hit: np.ndarray) -> np.ndarray:
         """Of each place whether its prefix may repeat: a sample at ``hit`` is within a period."""
         seen = np.zeros(self.n + PERIOD + 1, np.int32)
         seen[hit + 1] = 1
         np.cumsum(seen, out=seen)
-        return (seen[PERIOD : self.n + PERIOD] > seen[: self.n]) & (self.left() >= LENGTH) & ~self.copy[self.doc]
+        out = seen[PERIOD : self.n + PERIOD] > seen[: self.n]
+        for start, end, copy in zip(self.starts.tolist(), self.starts[1:].tolist(), self.copy.tolist(), strict=False):
+            out[start if copy else max(start, end - LENGTH + 1) : end] = False
+        return out
 
 
 class Prefixes:
@@ -301,8 +308,8 @@ def _sample(bits: int, shift: int, salt: int):
     return go
 
 
-def _prefixes(bits: int, salt: int, spread: int):
-    """The suspect places of each block (bucket -1, in ``names``) and runs of their prefix names."""
+def _suspects(bits: int, salt: int):
+    """The places of each block whose prefix may repeat."""
 
     def go(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = Texts(left, right)
@@ -311,11 +318,19 @@ def _prefixes(bits: int, salt: int, spread: int):
         order = np.argsort(names)
         shared = texts.bits(SHARED)
         hit = at[order[shared[np.cumsum(_begins(names[order])) - 1]]] if len(at) else at
-        suspect = texts.suspects(hit)
-        own, era = Prefixes(texts, np.flatnonzero(suspect), salt, spread), int(texts.ids[0])
-        rows = [(texts.block, -1, era, pack_bits(suspect), b"")]
-        rows += [(texts.block, int(own.bucket[a]), era, pack(own.names[a:b]), b"") for a, b in _cuts(own.bucket)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RUN_SCHEMA.types, strict=True)], schema=RUN_SCHEMA)
+        return pa.Table.from_batches([_side([(texts.block, SUSPECT, 0, pack_bits(texts.suspects(hit)))])])
+
+    return go
+
+
+def _prefixes(salt: int, spread: int):
+    """Runs of the names of each block's suspect prefixes."""
+
+    def go(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = Texts(left, right)
+        own, era = Prefixes(texts, np.flatnonzero(texts.bits(SUSPECT)), salt, spread), int(texts.ids[0])
+        rows = [(texts.block, int(own.bucket[a]), era, pack(own.names[a:b]), b"") for a, b in _cuts(own.bucket)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, RUN_SCHEMA.types, strict=True)], schema=RUN_SCHEMA)
 
     return go
 
@@ -429,7 +444,9 @@ def _cut(salt: int, spread: int):
 
     def compare(texts: Texts, own: Prefixes, older: np.ndarray) -> None:
         """The bytes of prefixes that share a name: within the block, and with what other blocks show."""
-        if not same_bytes(texts.data, own.at, texts.data, own.lowest[own.group]):
+        lowest = own.lowest[own.group]
+        again = own.at != lowest
+        if not same_bytes(texts.data, own.at[again], texts.data, lowest[again]):
             _collide()
         if older.any():
             data, at = _shown(texts)
@@ -486,11 +503,9 @@ def find_repeats(docs: DataFrame, salt: int = 0) -> DataFrame:
         return stored(dealt.mapInArrow(_merge(answer), SIDE), label)
 
     shared = merged(step(_sample(bits, bits - spread, salt), RUN, copies), _answer_shared, "repeats-shared")
-    runs = stored(step(_prefixes(bits, salt, spread), RUN, copies, shared), "repeats-prefixes")
+    suspects = stored(step(_suspects(bits, salt), SIDE, copies, shared), "repeats-suspects")
     dropped(shared)
-    suspects = stored(runs.where("bucket = -1").select("block", F.lit(SUSPECT).alias("kind"), F.lit(0).cast("long").alias("number"), F.col("names").alias("data")), "repeats-suspects")
-    answers = merged(runs.where("bucket >= 0"), _answer_older, "repeats-older")
-    dropped(runs)
+    answers = merged(step(_prefixes(salt, spread), RUN, copies, suspects), _answer_older, "repeats-older")
     older, wanted = answers.where(F.col("kind") == OLDER), answers.where(F.col("kind") == WANTED)
     shown = stored(step(_show(salt, spread), SIDE, copies, suspects, wanted), "repeats-shown")
     out = "doc_id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary"
