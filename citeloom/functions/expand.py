@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import DASH, book_number, column_endpoint, group, let, line_end, number, section_endpoint
+from citeloom.functions.text import DASH, book_number, group, let, line_end, number
 
 CAPS = {"stephanus": 40, "bekker": 20, "homer": 30, "pindar": 20, "nt": 30}
 SECTIONS = "abcde"
 
 
-def _ends(cell: Column) -> tuple[Column, Column]:
-    parts = F.split(F.trim(cell), r"\s*" + DASH + r"\s*", 2)
-    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+#: A page and a section, then after a dash a section or both; a page, column and line, likewise.
+_SECTIONS = r"^\s*(\d{2,4})\s*([a-eA-E])[^-–—]*?\s*[-–—]\s*(\d{2,4})?\s*([a-eA-E])?.*$"
+_COLUMNS = r"^\s*(\d{3,4})\s*([abAB])\s*(\d+)?[^-–—]*?\s*[-–—]\s*(\d{3,4})?\s*([abAB])?\s*(\d+)?.*$"
+
+
+def _groups(cell: Column, pattern: str, n: int, body) -> Column:
+    """``body`` of the pattern's groups ('' where one is empty), matched once; null where it doesn't match."""
+    parts = F.split(F.regexp_replace(cell, "(?s)" + pattern, ",".join(f"${k + 1}" for k in range(n))), ",")
+    return F.when(cell.rlike("(?s)" + pattern), let(parts, body))
 
 
 def _listed(lo: Column, hi: Column, cap: int, unit) -> Column:
@@ -21,33 +27,41 @@ def _listed(lo: Column, hi: Column, cap: int, unit) -> Column:
     return F.when((hi >= lo) & (hi - lo < cap), F.transform(F.sequence(lo, hi), unit))
 
 
+def _letter(c: Column) -> Column:
+    return F.ascii(F.lower(c)) - 97
+
+
+def _or(c: Column, other: Column) -> Column:
+    """A group as a number, ``other`` where it is empty."""
+    return F.coalesce(c.try_cast("int"), other)
+
+
 def stephanus(cell: Column, cap: int = CAPS["stephanus"]) -> Column:
     """620a-622c to its thirteen sections: a page and section are one number, five to a page."""
-    first, last = _ends(cell)
-    unit = lambda k: F.concat(F.floor(k / 5).cast("string"), F.substr(F.lit(SECTIONS), k % 5 + 1, F.lit(1)))
+    div = lambda k: F.call_function("div", k, F.lit(5)).cast("string")
+    unit = lambda k: F.concat(div(k), F.substr(F.lit(SECTIONS), k % 5 + 1, F.lit(1)))
 
-    def body(x: Column) -> Column:
-        a, b = x["a"], x["b"]
-        start = a["page"] * 5 + F.ascii(a["section"]) - 97
-        end = F.coalesce(b["page"], a["page"]) * 5 + F.ascii(F.coalesce(b["section"], a["section"])) - 97
-        return let(F.struct(start.alias("lo"), end.alias("hi")), lambda k: _listed(k["lo"], k["hi"], cap, unit))
+    def body(g: Column) -> Column:
+        first = g[0].cast("int") * 5 + _letter(g[1])
+        last = _or(g[2], g[0].cast("int")) * 5 + F.when(g[3] != "", _letter(g[3])).otherwise(_letter(g[1]))
+        return let(F.struct(first.alias("lo"), last.alias("hi")), lambda k: _listed(k["lo"], k["hi"], cap, unit))
 
-    ends = F.struct(section_endpoint(first).alias("a"), section_endpoint(last).alias("b"))
-    ok = cell.rlike(r"^\s*\d{2,4}\s*[a-eA-E]")
-    return F.when(~cell.rlike(DASH), F.array(cell)).when(ok, let(ends, body))
+    return F.when(~cell.rlike(DASH), F.array(cell)).otherwise(_groups(cell, _SECTIONS, 4, body))
 
 
 def bekker(cell: Column, cap: int = CAPS["bekker"]) -> Column:
     """A range to its 15-line bands, three to a column; a single cell keeps its line."""
-    first, last = _ends(cell)
     label = lambda p, c, band: F.concat(p.cast("string"), c, F.when(band == 0, "").otherwise((band * 15).cast("string")))
-    unit = lambda k: label(F.floor(k / 6), F.when(k % 6 < 3, "a").otherwise("b"), k % 3)
+    unit = lambda k: label(F.call_function("div", k, F.lit(6)), F.when(k % 6 < 3, "a").otherwise("b"), k % 3)
     place = lambda at: at["page"] * 6 + (F.ascii(at["col"]) - 97) * 3 + F.least(at["band"], F.lit(2))
-    at = lambda page, col, line: F.struct(page.alias("page"), col.alias("col"), F.floor(line / 15).cast("int").alias("band"))
-
-    def body(x: Column) -> Column:
-        a, b = x["a"], x["b"]
-        spot = F.struct(at(a["page"], a["col"], a["line"]).alias("a"), at(F.coalesce(b["page"], a["page"]), F.coalesce(b["col"], a["col"]), b["line"]).alias("b"))
+    at = lambda page, col, line: F.struct(page.alias("page"), col.alias("col"), F.call_function("div", line, F.lit(15)).cast("int").alias("band"))
+
+    def body(g: Column) -> Column:
+        page, col = g[0].cast("int"), F.lower(g[1])
+        spot = F.struct(
+            at(page, col, _or(g[2], F.lit(0))).alias("a"),
+            at(_or(g[3], page), F.when(g[4] != "", F.lower(g[4])).otherwise(col), _or(g[5], F.lit(0))).alias("b"),
+        )
         return let(spot, units)
 
     def units(x: Column) -> Column:
@@ -58,9 +72,7 @@ def bekker(cell: Column, cap: int = CAPS["bekker"]) -> Column:
         listed = let(ends, lambda k: _listed(k["lo"], k["hi"], cap, unit))
         return F.when(a <= b, F.when(a["band"] > 2, let(listed, own)).otherwise(listed))
 
-    ends = F.struct(column_endpoint(first).alias("a"), column_endpoint(last).alias("b"))
-    ok = cell.rlike(r"^\s*\d{3,4}\s*[abAB]")
-    return F.when(~cell.rlike(DASH), F.array(cell)).when(ok, let(ends, body))
+    return F.when(~cell.rlike(DASH), F.array(cell)).otherwise(_groups(cell, _COLUMNS, 6, body))
 
 
 _EPIC = r"(?i)^\s*(Iliad|Odyssey|Il|Od)\.?\s*(\d{1,2}|[ivxlcdm]{1,7})[.,\s]\s*(\d{1,3})(?:\s*[-–—]\s*(\d{1,3}))?"

@@ -1,7 +1,8 @@
 """Citation extraction: find-all with offsets in six shapes, longest wins, context windows, running order.
 
-Offsets come from the gaps between matches: each pattern is matched as (gap)(match), so the start of
-a match is the summed length of all gaps and matches before it. Pages are matched whole.
+Each pattern marks its matches in one pass over a page; the start of a match is the summed length of all
+that the marks cut off before it. Pages are matched whole, at any length. The shapes, their tails and
+their cue words are fixed values: they define what is a citation.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import flatten
-from citeloom.operators.windows import longest_wins
+from citeloom.functions.text import flatten, let
+from citeloom.operators.windows import longest_wins, running
 
 #: The cue words of each cued system.
 CUES = {
@@ -40,27 +41,31 @@ def patterns() -> dict[str, str]:
     }
 
 
+#: Marks around matches; a page's own ones (control characters, no white space) become a third.
+OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
+
+
 def found(page: Column, system: str, pattern: str) -> Column:
-    """All matches of one pattern: (start, end, corpus, match)."""
-    # \G ties each gap to the match before it: without it a page that doesn't match is scanned from every start.
-    flags = "(?s)(?U)(?i)" if "(?i)" in pattern else "(?s)(?U)"
-    whole = rf"\G{flags}(.*?)({pattern.replace('(?i)', '')})"
-    gaps, hits = F.regexp_extract_all(page, F.lit(whole), F.lit(1)), F.regexp_extract_all(page, F.lit(whole), F.lit(2))
-    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), h.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,corpus:string,match:string>>").alias("out"))
+    """All matches of one pattern: (start, end, corpus, match). The pattern runs over the page once: its
+    matches are marked, and what the marks cut off are gap, match, gap and so on."""
+    flags = "(?U)(?i)" if "(?i)" in pattern else "(?U)"
+    marked = F.regexp_replace(page, flags + pattern.replace("(?i)", ""), f"{OPEN}$0{CLOSE}")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,corpus:string,match:string>>")
+
+    def placed(parts: Column, begin: Column) -> Column:
+        row = lambda k: F.struct(F.get(begin, k).alias("start"), F.get(begin, k + 1).alias("end"), F.lit(system).alias("corpus"), F.get(parts, k).alias("match"))
+        return F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), row)
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.char_length(x["match"])
-        row = F.struct(begin.alias("start"), end.alias("end"), F.lit(system).alias("corpus"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(row)).alias("out"))
+    def rows(parts: Column) -> Column:
+        return F.when(F.size(parts) > 1, let(running(F.transform(parts, F.char_length)), lambda begin: placed(parts, begin))).otherwise(none)
 
-    return F.aggregate(pairs, start, step)["out"]
+    return let(F.split(marked, f"[{OPEN}{CLOSE}]"), rows)
 
 
 def matches(page: Column) -> Column:
     """Matches of all six shapes in reading order, overlaps resolved."""
-    return longest_wins(F.concat(*(found(page, k, p) for k, p in patterns().items())))
+    plain = F.translate(page, OPEN + CLOSE, OTHER * 2)
+    return let(plain, lambda text: longest_wins(F.concat(*(found(text, k, p) for k, p in patterns().items()))))
 
 
 def extract(delivery: DataFrame) -> DataFrame:
@@ -74,9 +79,9 @@ def extract(delivery: DataFrame) -> DataFrame:
     rows = hits.select(
         "iid",
         "page_index",
-        F.col("m.start").alias("char_offset"),
+        F.col("m.start").cast("int").alias("char_offset"),
         F.col("m.corpus").alias("corpus"),
         F.col("m.match").alias("match"),
-        flatten(F.substr("page", lo + 1, F.col("m.end") + CONTEXT - lo)).alias("context"),
+        flatten(F.substr("page", (lo + 1).cast("int"), (F.col("m.end") + CONTEXT - lo).cast("int"))).alias("context"),
     )
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("iid").orderBy("page_index", "char_offset")) - 1)

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.expand import expand
-from citeloom.functions.text import column_line, cue_key, normal, page_of, unit_book
+from citeloom.functions.text import column_line, cue_key, let, normal, page_of, unit_book
 from citeloom.operators import ranges
+from citeloom.operators.windows import fold
 
 CUED = ("homer", "pindar", "nt")
 
@@ -30,7 +31,8 @@ class Policy:
 @dataclass
 class Tables:
     """Dimension tables: spans (work, system, start, end, lo, hi), forms (form, work, ambiguous), cues
-    (corpus, cue, work), lengths (work, lengths). All are small; Spark broadcasts them by their size."""
+    (corpus, cue, work), lengths (work, lengths). No join with them is forced: Spark broadcasts a table that
+    it knows to be small and deals out one that is not."""
 
     spans: DataFrame
     forms: DataFrame
@@ -59,7 +61,7 @@ def _pages(spans: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame, tables: Tables) -> DataFrame:
     """Adds page, candidates (sorted), cross (both systems), edge (a boundary page with several works)."""
     place = column_line(F.col("match"))
-    rows = rows.withColumns({"page": page_of(F.col("match")), "__at": place}).join(F.broadcast(_pages(tables.spans)), "page", "left")
+    rows = rows.withColumns({"page": page_of(F.col("match")), "__at": place}).join(_pages(tables.spans), "page", "left")
     none = F.array().cast(rows.schema["bekker"].dataType)
     at = F.struct(F.col("page").alias("page"), F.col("__at.col").alias("col"), F.col("__at.line").alias("line"))
     bekker = F.coalesce("bekker", none)
@@ -96,69 +98,98 @@ def decide(corpus: Column, page: Column, cands: Column, names: Column, cross: Co
 
 
 ANCHORS = ("range_unique+name", "range_unique_name_mentioned", "range_unique", "cross_system_resolved_by_name", "boundary_resolved_by_name", "range+name")
-_OUT = "struct<seq:int,work:string,confidence:double,method:string,queued:boolean>"
+#: Base confidence of an inherited scope, what a page and a full distance take off it; fixed values.
+SCOPE_BASE, SCOPE_PAGE, SCOPE_DISTANCE = 0.88, 0.15, 0.10
+_OUT = "array<struct<work:string,confidence:double,method:string,queued:boolean,scope:string>>"
+
+
+def scope_distance(pages: Column, offset: Column, since: Column) -> Column:
+    """Characters between a row and the scope ``pages`` before it: exact on one page, coarse across pages."""
+    return F.when(pages == 0, offset - since).otherwise(pages * 100000 + offset)
+
+
+def scope_reaches(pages: Column, chars: Column, policy: Policy = Policy()) -> Column:
+    return (pages >= 0) & (chars >= 0) & (chars <= policy.scope_chars * (policy.scope_pages + pages))
+
+
+def scope_confidence(pages: Column, chars: Column, policy: Policy = Policy()) -> Column:
+    decayed = SCOPE_BASE - SCOPE_PAGE * pages - SCOPE_DISTANCE * F.least(chars / float(max(policy.scope_chars, 1)), F.lit(1.0))
+    return F.round(F.greatest(decayed, F.lit(0.0)), 3)
+
+
+def accepted(queued: Column, confidence: Column, policy: Policy = Policy()) -> Column:
+    return ~queued & (confidence >= min(policy.accept, policy.scope_accept))
 
 
 def _fold(rows: Column, policy: Policy) -> Column:
-    """Decide the rows that no rule of their own decides, carrying the last named work along."""
+    """Decide the rows that no rule of their own decides, carrying the last named work along: a decision a
+    row, with the work in force after it."""
 
-    def step(state: Column, r: Column) -> Column:
-        scope = state["scope"]
+    def step(scope: Column, r: Column) -> Column:
         pages = r["page_index"] - scope["page_index"]
-        chars = F.when(pages == 0, r["char_offset"] - scope["char_offset"]).otherwise(pages * 100000 + r["char_offset"])
-        near = scope["work"].isNotNull() & (pages >= 0) & (chars >= 0) & (chars <= policy.scope_chars * (policy.scope_pages + pages))
-        conf = F.round(F.greatest(0.88 - 0.15 * pages - 0.10 * F.least(chars / policy.scope_chars, F.lit(1.0)), F.lit(0.0)), 3)
+        chars = scope_distance(pages, r["char_offset"], scope["char_offset"])
+        near = scope["work"].isNotNull() & scope_reaches(pages, chars, policy)
+        conf = scope_confidence(pages, chars, policy)
         # A scope's span is asked for by page: the row has the works of both systems on its page.
         inside = F.array_contains(r["on_page"], scope["work"])
         titled = F.array_intersect(r["candidates"], r["titles"])
         own = r["own"]
         row = lambda work, conf, method, queued: F.struct(
-            r["seq"].alias("seq"), work.alias("work"), conf.cast("double").alias("confidence"), F.lit(method).alias("method"), queued.alias("queued")
+            work.alias("work"), conf.cast("double").alias("confidence"), F.lit(method).alias("method"), queued.alias("queued")
         )
         yes, no = F.lit(True), F.lit(False)
         left = F.get(r["candidates"], F.lit(0))
         out = (
-            F.when(own.isNotNull(), F.struct(r["seq"].alias("seq"), own["work"].alias("work"), own["confidence"].alias("confidence"), own["method"].alias("method"), own["queued"].alias("queued")))
+            F.when(own.isNotNull(), own)
             .when(near & inside, row(scope["work"], conf, "scope_inherited", conf < policy.scope_accept))
             .when(near, row(scope["work"], F.lit(0.4), "scope_range_mismatch", yes))
             .when(F.size(titled) == 1, row(F.get(titled, F.lit(0)), F.lit(0.85), "title_prior", no))
             .when(r["cross"], row(left, F.lit(0.3), "cross_system_unresolved", yes))
             .otherwise(row(left, F.lit(0.3), "unresolved", yes))
         )
-        anchors = out["method"].isin(*ANCHORS, "title_prior")
-        now = F.struct(out["work"].alias("work"), r["page_index"].alias("page_index"), r["char_offset"].alias("char_offset"))
-        return F.struct(F.when(anchors, now).otherwise(scope).alias("scope"), F.concat(state["out"], F.array(out)).alias("out"))
+
+        def decided(d: Column) -> Column:
+            anchors = d["method"].isin(*ANCHORS, "title_prior")
+            now = F.struct(d["work"].alias("work"), r["page_index"].alias("page_index"), r["char_offset"].alias("char_offset"))
+            after = F.when(anchors, now).otherwise(scope)
+            full = F.struct(*(d[k].alias(k) for k in ("work", "confidence", "method", "queued")), after["work"].alias("scope"))
+            return F.struct(after.alias("state"), F.array(full).alias("out"))
+
+        return let(out, decided)
 
     nowhere = F.struct(F.lit(None).cast("string").alias("work"), F.lit(0).alias("page_index"), F.lit(0).alias("char_offset"))
-    return F.aggregate(rows, F.struct(nowhere.alias("scope"), F.array().cast(f"array<{_OUT}>").alias("out")), step)["out"]
+    return fold(rows, nowhere, step, F.array().cast(_OUT))
 
 
 def resolve(citations: DataFrame, tables: Tables, policy: Policy = Policy()) -> DataFrame:
     """citations (iid, seq, page_index, char_offset, corpus, match, context, title) with candidates, work,
-    confidence, method, and accepted. Excluded rows must have been taken out: they never set a scope."""
+    confidence, method, scope (the work in force after the row) and accepted. Excluded rows must have
+    been taken out: they never set a scope."""
     rows = candidates(citations, tables)
     keys = cue_key(F.col("match"), F.col("corpus"))
     cues = tables.cues.select("corpus", F.col("cue").alias("__cue"), F.col("work").alias("cued"))
-    rows = rows.withColumn("__cue", keys).join(F.broadcast(cues), ["corpus", "__cue"], "left").drop("__cue")
+    rows = rows.withColumn("__cue", keys).join(cues, ["corpus", "__cue"], "left").drop("__cue")
     everywhere = ranges.page_works(tables.spans).withColumnRenamed("works", "on_page")
-    rows = rows.join(F.broadcast(everywhere), "page", "left")
+    rows = rows.join(everywhere, "page", "left")
     rows = rows.join(named(citations, "context", tables.forms, "names"), ["iid", "seq"], "left")
     rows = rows.join(named(citations, "title", tables.forms.where("NOT ambiguous"), "titles"), ["iid", "seq"], "left")
     none = F.array().cast("array<string>")
     rows = rows.withColumns({k: F.coalesce(k, none) for k in ("names", "titles", "on_page")})
-    rows = rows.withColumn("own", decide(*(F.col(k) for k in ("corpus", "page", "candidates", "names", "cross", "edge", "cued"))))
-    fields = ("seq", "page_index", "char_offset", "candidates", "titles", "on_page", "cross", "own")
-    articles = rows.groupBy("iid").agg(F.sort_array(F.collect_list(F.struct(*(F.col(k) for k in fields)))).alias("rows"))
-    decided = articles.select("iid", F.explode(_fold(F.col("rows"), policy)).alias("d")).select("iid", "d.*")
-    both = rows.drop("own", "titles", "on_page", "cued").join(decided, ["iid", "seq"])
-    return both.withColumn("accepted", ~F.col("queued") & (F.col("confidence") >= min(policy.accept, policy.scope_accept)))
+    own = decide(*(F.col(k) for k in ("corpus", "page", "candidates", "names", "cross", "edge", "cued"))).alias("own")
+    kept = [c for c in rows.columns if c not in ("iid", "seq", "own", "cued", "titles", "on_page")]
+    # An article's rows travel whole through the fold, so nothing is built twice and nothing joined back.
+    carried = F.struct("seq", *kept, "titles", "on_page", own)
+    articles = rows.groupBy("iid").agg(F.sort_array(F.collect_list(carried)).alias("rows"))
+    decided = articles.select("iid", F.explode(F.arrays_zip("rows", _fold(F.col("rows"), policy).alias("d"))).alias("z"))
+    out = decided.select("iid", "z.rows.seq", *(F.col(f"z.rows.{c}").alias(c) for c in kept), "z.d.*")
+    return out.withColumn("accepted", accepted(F.col("queued"), F.col("confidence"), policy))
 
 
 def fan_out(resolved: DataFrame, tables: Tables) -> DataFrame:
     """Accepted rows as unit rows (match, span_src, book), the others queued with a reason: one table with
     ``disposition`` resolved or queue. A range that can't be expanded is queued as span_diverted."""
     system = tables.spans.select("work", "system").distinct()
-    rows = resolved.join(F.broadcast(system), "work", "left").join(F.broadcast(tables.lengths), "work", "left")
+    rows = resolved.join(system, "work", "left").join(tables.lengths, "work", "left")
     own = F.when(F.col("corpus") == "ambiguous", F.coalesce("system", F.lit("stephanus"))).otherwise(F.col("corpus"))
     rows = rows.withColumn("units", F.when(F.col("accepted"), expand(F.col("match"), own, F.col("lengths"))))
     reason = F.when(~F.col("accepted"), F.col("method")).when(F.col("units").isNull(), "span_diverted")

@@ -50,7 +50,7 @@ def compare(cube: DataFrame, sets: dict[str, Sequence[str]], metric: str = "cita
 
 def compare_fields(cube: DataFrame, works: Sequence[str], fields: DataFrame, metric: str = "citations") -> DataFrame:
     """One set of works split by journal field (fields: journal, field)."""
-    rows = cube.where(F.col("work").isin(*works)).join(F.broadcast(fields), "journal", "left")
+    rows = cube.where(F.col("work").isin(*works)).join(fields, "journal", "left")
     return rows.groupBy(F.coalesce("field", F.lit("other")).alias("label"), "year").agg(F.sum(metric).alias("n"))
 
 

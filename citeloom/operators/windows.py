@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.functions.text import let
 
 def sequence(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("seq_in_article", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
@@ -56,17 +57,40 @@ def top(rows: DataFrame, n: int, keys: list[str], *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
+FOLD_BLOCK = 128
+
+
+def fold(rows: Column, start: Column, step, none: Column) -> Column:
+    """What ``step(state, row)`` yields over all rows in order: it returns (state, out), out an array of the
+    type of ``none``. Results are gathered in blocks of rows, so that none is copied once for each later row."""
+    blocks = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(rows) - 1, F.lit(FOLD_BLOCK)).cast("int")), lambda b: F.slice(rows, b * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
+
+    def one(at: Column, row: Column) -> Column:
+        return let(step(at["state"], row), lambda r: F.struct(r["state"].alias("state"), F.concat(at["out"], r["out"]).alias("out")))
+
+    def block(at: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(at["state"].alias("state"), none.alias("out")), one)
+        return let(done, lambda r: F.struct(r["state"].alias("state"), F.concat(at["out"], F.array(r["out"])).alias("out")))
+
+    whole = F.aggregate(blocks, F.struct(start.alias("state"), F.slice(F.array(none), 1, 0).alias("out")), block)["out"]
+    return F.when(F.size(rows) > 0, F.flatten(whole)).otherwise(none)
+
+
+def running(sizes: Column) -> Column:
+    """For each element the sum of those before it."""
+    total = F.lit(0).cast("long")
+    return fold(sizes, total, lambda at, n: F.struct((at + n).alias("state"), F.array(at).alias("out")), F.array().cast("array<bigint>"))
+
+
 def longest_wins(matches: Column) -> Column:
     """Greedy sweep over matches (start, end, ...): earliest start, longest of equal starts, no overlaps."""
     ordered = F.array_sort(
         matches,
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]).cast("int"),
     )
-    kept = F.aggregate(
-        ordered,
-        F.struct(F.lit(-1).alias("last"), F.slice(ordered, 1, 0).alias("kept")),
-        lambda at, m: F.when(
-            m["start"] >= at["last"], F.struct(m["end"].alias("last"), F.concat(at["kept"], F.array(m)).alias("kept"))
-        ).otherwise(at),
-    )
-    return kept["kept"]
+
+    def step(last: Column, m: Column) -> Column:
+        free = m["start"] >= last
+        return F.struct(F.when(free, m["end"]).otherwise(last).cast("long").alias("state"), F.filter(F.array(m), lambda _: free).alias("out"))
+
+    return let(ordered, lambda rows: fold(rows, F.lit(-1).cast("long"), step, F.slice(rows, 1, 0)))
