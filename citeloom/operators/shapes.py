@@ -25,13 +25,49 @@ def column_shares(rows: DataFrame) -> DataFrame:
     return parts.withColumn("shares", F.zip_with("slots", "__t", lambda n, t: F.when(t > 0, n / t).otherwise(0.0))).drop("__t")
 
 
-def shape_code(verdict: Column, named: Column, wide: Column, testable: Column) -> Column:
-    """t: too thin to test; s: stable; else 1 (a named passage) or r, then w (whole) or p (part)."""
+def shape_code(verdict: Column, flat_only: Column, understates: Column, powered: Column, solid: Column, survivors: Column) -> Column:
+    """(shape, hedged) of a work's analysis. t: too thin to tell; s: stable; 1: one direction, r: a rise and
+    a fall, each with p for named passages or w for the whole.
+
+    ``solid``: passages that move and are well founded; ``survivors``: passages of the structure over
+    several periods. A null verdict is a work without an analysis."""
+    code = lambda shape, hedged=False: F.struct(F.lit(shape).alias("shape"), F.lit(hedged).alias("hedged"))
+    named, reversing = solid >= 1, survivors >= 1
     return (
-        F.when(~testable, "t").when(verdict == "stable", "s").otherwise(F.concat(F.when(named, "1").otherwise("r"), F.when(wide, "w").otherwise("p")))
+        F.when((verdict == "stable") & flat_only & reversing, code("rp"))
+        .when((verdict == "stable") & flat_only, code("rw"))
+        .when((verdict == "stable") & powered, code("s"))
+        .when((verdict == "REAL") & named, code("1p"))
+        .when(verdict == "REAL", code("1w"))
+        .when((verdict == "marginal") & understates & reversing, code("rp", True))
+        .when((verdict == "marginal") & understates, code("rw", True))
+        .when((verdict == "marginal") & named, code("1p", True))
+        .when(verdict == "marginal", code("1w", True))
+        .otherwise(code("t"))
     )
 
 
+#: Authors whose works are read by book alone.
+BY_BOOK = ("Pindar", "Homer", "Paul")
+
+
+def grains(author: Column, faceted: Column) -> Column:
+    """The grains of a work, the first its default: book alone, book before passage where books are known,
+    else passage."""
+    return F.when(author.isin(*BY_BOOK), F.array(F.lit("book"))).when(faceted, F.array(F.lit("book"), F.lit("passage"))).otherwise(F.array(F.lit("passage")))
+
+
+def default_grain(works: DataFrame, variants: DataFrame, whole: str = "all") -> DataFrame:
+    """work, grains, default_grain, never_testable of works (work, author, faceted), from the shapes of their
+    variants (work, grain, jset, shape): the first grain whose variant over all journals can be tested, or
+    the first one."""
+    testable = variants.where("shape <> 't'")
+    found = testable.groupBy("work").agg(F.collect_set(F.when(F.col("jset") == whole, F.col("grain"))).alias("__can"))
+    rows = works.select("work", grains(F.col("author"), F.col("faceted")).alias("grains")).join(found, "work", "left")
+    can = F.filter("grains", lambda g: F.array_contains(F.coalesce("__can", F.array().cast("array<string>")), g))
+    return rows.select("work", "grains", F.coalesce(F.get(can, F.lit(0)), F.get("grains", F.lit(0))).alias("default_grain"), F.col("__can").isNull().alias("never_testable"))
+
+
 def bar_scale(floor: Column, unplaceable: Column) -> Column:
     """The longest bar of the view: floor and unplaceable together."""
     return F.max(floor + unplaceable).over(Window.partitionBy())
