@@ -1,4 +1,7 @@
-"""Scalar column functions: normalising, parsing loci, numerals, formatting. All built-in expressions."""
+"""Scalar column functions: normalising, parsing loci, numerals, formatting. All built-in expressions.
+
+The patterns of loci, endpoints, cues and DOIs are fixed values: they define what is a citation.
+"""
 
 from __future__ import annotations
 
@@ -187,7 +190,10 @@ def shelf_system(has_bekker: Column, has_stephanus: Column, cued: Column) -> Col
 
 
 def confidence_band(c: Column) -> Column:
-    return F.when(c >= 0.9, "0.90+").when(c >= 0.8, "0.80-0.89").when(c >= 0.6, "0.60-0.79").when(c >= 0.4, "0.40-0.59").otherwise("<0.40")
+    """The band of a confidence, which may be text; ``n/a`` where it is no number."""
+    x = c.try_cast("double")
+    bands = F.when(x >= 0.9, "0.90-1.00").when(x >= 0.7, "0.70-0.89").when(x >= 0.5, "0.50-0.69").when(x >= 0.3, "0.30-0.49").otherwise("0.00-0.29")
+    return F.when(x.isNull(), "n/a").otherwise(bands)
 
 
 def percent(part: Column, whole: Column, places: int = 1) -> Column:
@@ -195,24 +201,59 @@ def percent(part: Column, whole: Column, places: int = 1) -> Column:
 
 
 def doi_bucket(c: Column) -> Column:
+    """What a DOI field holds; blanks around it don't count, blanks alone are malformed."""
+    doi = F.trim(c)
     return (
         F.when(F.coalesce(c, F.lit("")) == "", "missing")
-        .when(c.rlike(r"(?i)community\."), "community")
-        .when(c.rlike(r"^10\.2307/"), "jstor_stable")
-        .when(c.rlike(r"^10\.\d{4,9}/\S+$"), "publisher")
+        .when(doi.rlike(r"(?i)^10\.2307/community\."), "community")
+        .when(doi.rlike(r"(?i)^10\.2307/\d+$"), "jstor_stable")
+        .when(doi.rlike(r"^10\.\d{4,9}/[-._;()/:A-Za-z0-9]"), "publisher")
         .otherwise("malformed")
     )
 
 
+#: Parts of labels that are no article's.
+NO_ARTICLE = ("front", "back", "cover", "matter", "toc", "contents", "editorial-board", "index", "advertisement", "misc", "announcement", "volume-information")
+
+
 def content_class(*labels: Column) -> Column:
+    """article if a label says so, else other for back matter and the like, else unknown."""
     text = F.lower(F.concat_ws(" ", *labels))
-    return F.when(text.rlike("article|research|review|discussion"), "article").when(F.trim(text) == "", "unknown").otherwise("other")
+    return F.when(text.contains("article"), "article").when(text.rlike("|".join(NO_ARTICLE)), "other").otherwise("unknown")
+
+
+def candidate_names(reason: Column) -> Column:
+    """The names in the candidate list of a queue reason, in either kind of quotes; empty without a list."""
+    listed = F.regexp_extract(reason, r"candidates\s*\[([^\]]*)\]", 1)
+    return F.transform(F.regexp_extract_all(listed, F.lit("'[^']+'|\"[^\"]+\""), F.lit(0)), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+
 
+def cue_of(cell: Column) -> Column:
+    """The cue of a cell: its first word, after a book number of the letters 1 or 2; null without one."""
+    pattern = r"^\s*([12]\s?)?([A-Za-z]+)"
+    prefix, word = F.trim(F.regexp_extract(cell, pattern, 1)), group(cell, pattern, 2)
+    return F.when(prefix == "", word).otherwise(F.concat(prefix, F.lit(" "), word))
 
-def nice_step(span: float, ticks: int = 5) -> float:
-    """Axis step: 1, 2 or 5 times a power of ten."""
-    if span <= 0:
-        return 1.0
-    rough = span / ticks
-    power = 10.0 ** len(str(int(rough))) / 10 if rough >= 1 else 10.0 ** -next(i for i in range(1, 300) if rough * 10**i >= 1)
-    return next(m * power for m in (1, 2, 5, 10) if m * power >= rough)
+
+def separator(cell: Column) -> Column:
+    """What stands between the book and the line of an epic cell: dot, comma or space; null in other cells."""
+    mark = F.regexp_extract(cell, r"^\s*[A-Za-z]+\.?[\s\x{a0}]{0,4}(?:\d{1,2}|[IVXivx]+)(\.|,\s?|\s)\d{1,3}", 1)
+    return F.when(mark == ".", "dot").when(mark.startswith(","), "comma").when(mark != "", "space")
+
+
+def tick_step(most: Column, count: int = 5) -> Column:
+    """Axis step: 1, 2 or 5 times a power of ten, the largest that is not above ``most / count``; null without a range."""
+    rough = F.when(most > 0, most / count)
+    power = F.pow(F.lit(10.0), F.floor(F.log10(rough)))
+    return F.when(rough / power >= 5, 5.0).when(rough / power >= 2, 2.0).when(rough.isNotNull(), 1.0) * power
+
+
+def nice_ticks(most: Column, count: int = 5) -> Column:
+    """Ticks from 0 by that step; the last is at ``most`` or above."""
+    return let(
+        F.struct(most.cast("double").alias("most"), tick_step(most, count).alias("step")),
+        lambda x: let(
+            F.floor(x["most"] * 1.0001 / x["step"]).cast("int"),
+            lambda n: F.transform(F.sequence(F.lit(0), n + F.when(n * x["step"] < x["most"], 1).otherwise(0)), lambda k: k * x["step"]),
+        ),
+    )

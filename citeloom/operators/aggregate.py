@@ -66,8 +66,13 @@ def resolution(rows: DataFrame) -> DataFrame:
     return sums.withColumn("rate", F.when(total == 0, 1.0).otherwise(F.round(F.col("floor") / total, 4)))
 
 
-def tier(rate: Column) -> Column:
-    return F.when(rate >= 0.8, "trusted").when(rate >= 0.5, "partial").otherwise("weak")
+def tier(rate: Column, threshold: float = 0.80) -> Column:
+    return F.when(rate >= threshold, "trustworthy").otherwise("uncertain")
+
+
+def small_n(floor: Column, threshold: int = 100) -> Column:
+    """Whether a rate rests on so few resolved rows that it is noise."""
+    return floor < threshold
 
 
 def page_bands(rows: DataFrame, size: int = 10, least_rows: int = 30, least_gap: float = 0.15) -> DataFrame:

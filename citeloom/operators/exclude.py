@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import page_of
@@ -27,6 +27,27 @@ def locus_count(context: Column) -> Column:
     return F.regexp_count(context, F.lit(r"\b\d+[a-eA-E]\d*\b"))
 
 
+#: Where the bands of numeric density begin.
+DENSITY_BANDS = (0.0, 0.3, 0.5, 0.7, 0.9)
+
+
+def density_band(density: Column) -> Column:
+    """The beginning of the band that a density is in."""
+    return F.element_at(F.filter(F.array(*map(F.lit, DENSITY_BANDS)), lambda b: b <= density), -1)
+
+
+def density_profile(rows: DataFrame, by: str = "doctype", thresholds: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
+    """by, band, n, over_50 and so on: contexts by band of their numeric density, and how many reach each threshold."""
+    density = rows.select(by, numeric_density(F.col("context")).alias("d"))
+    over = [F.count_if(F.col("d") >= t).alias(f"over_{round(100 * t)}") for t in thresholds]
+    return density.groupBy(by, density_band(F.col("d")).alias("band")).agg(F.count("*").alias("n"), *over)
+
+
+def index_like(context: Column, cites: int = 5) -> Column:
+    """Whether a window looks like an index or a concordance: many citations, or a number, colon, number."""
+    return (locus_count(context) >= cites) | context.rlike(r"\d+[a-eA-E]?\s*:\s*\d")
+
+
 def neighbours(match: Column, context: Column, offset: Column | None = None) -> tuple[Column, Column]:
     """The 12 characters before and 8 after the match's first occurrence, or after ``offset`` (from 1)."""
     at = F.instr(context, match) if offset is None else offset
@@ -37,7 +58,8 @@ def neighbours(match: Column, context: Column, offset: Column | None = None) ->
 
 def reason(match: Column, context: Column, corpus: Column, doctype: Column) -> Column:
     """book_section_ref, dk_fragment, modern_year, foreign_text, excluded_doctype, or null. Content
-    reasons apply to page-reference systems only; an empty doctype is in scope, ``?`` is not."""
+    reasons apply to page-reference systems only, the scope of doctypes to all; an empty doctype is in
+    scope, ``?`` is not."""
     before, after = neighbours(match, context)
     greek = corpus.isin(*GREEK)
     return (
@@ -45,5 +67,5 @@ def reason(match: Column, context: Column, corpus: Column, doctype: Column) -> C
         .when(greek & after.rlike(r"(?i)^\s*[-–—]?\s*(?:=\s*)?(?:d[\s.\-]?k|diels)"), "dk_fragment")
         .when(greek & (page_of(match) >= FIRST_YEAR), "modern_year")
         .when(greek & before.rlike(rf"(?i)\b(?:{'|'.join(FOREIGN)})\.?\s*$"), "foreign_text")
-        .when(greek & (doctype != "") & ~doctype.isin(*KEPT_TYPES), "excluded_doctype")
+        .when((doctype != "") & ~doctype.isin(*KEPT_TYPES), "excluded_doctype")
     )
