@@ -2,7 +2,7 @@
 
 from citeloom.queries.registry import ORACLES, QUERIES
 
-from citeloom.queries import aggregates, flows, joins, scalars, temporal, windows  # noqa: E402,F401  (register)
+from citeloom.queries import aggregates, files, flows, joins, scalars, temporal, windows  # noqa: E402,F401  (register)
 from citeloom.queries.flows import flagship  # noqa: E402,F401
 
 __all__ = ["ORACLES", "QUERIES"]

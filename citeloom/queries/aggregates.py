@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.text import confidence_band, decade_slot, line_band, percent, span_length
 from citeloom.operators import aggregate as agg
+from citeloom.operators import exclude
 from citeloom.operators import windows as win
 from citeloom.plans.relations import catalogue, citations
 from citeloom.queries.registry import query
@@ -110,9 +111,10 @@ def a10(s, d):
 RATES = "SELECT work, count(*) FILTER (flag <> 'R') AS floor, count(*) FILTER (flag = 'R') AS queued, round(count(*) FILTER (flag <> 'R') / count(*), 4) AS rate FROM cit GROUP BY work"
 
 
-@query("a11_resolution", f"SELECT *, CASE WHEN rate >= 0.8 THEN 'trusted' WHEN rate >= 0.5 THEN 'partial' ELSE 'weak' END AS tier, floor < 1600 AS small_n FROM ({RATES})")
+@query("a11_resolution", f"SELECT *, CASE WHEN rate >= 0.66::DOUBLE THEN 'trustworthy' ELSE 'uncertain' END AS tier, floor < 1600 AS small_n FROM ({RATES})")
 def a11(s, d):
-    return agg.resolution(resolved(s, d)).withColumn("tier", agg.tier(c("rate"))).withColumn("small_n", c("floor") < 1600)
+    """With thresholds near the tables' own rates, so that both sides are met."""
+    return agg.resolution(resolved(s, d)).withColumn("tier", agg.tier(c("rate"), 0.66)).withColumn("small_n", agg.small_n(c("floor"), 1600))
 
 
 @query("a12_rate_histogram", f"SELECT CAST(least(floor(rate * 10) * 10, 90) AS INT) AS bucket, count(*) AS works FROM ({RATES}) GROUP BY 1")
@@ -219,12 +221,20 @@ def a23(s, d):
     return got.select("work", "floor", F.round(est / F.nullif("floor", F.lit(0)), 4).alias("ratio"), (est >= 1.5 * c("floor")).alias("raised"))
 
 
+DENSE = """x AS (SELECT doctype, seq % 8 AS numbers, line % 5 AS words FROM cit),
+dn AS (SELECT doctype, CASE WHEN numbers + words = 0 THEN 0 ELSE numbers / (numbers + words) END AS d FROM x)"""
+
+
 @query(
     "a24_density_bands",
-    """SELECT doctype, count(*) AS n, count(*) FILTER (conf >= 0.5) AS over_50, count(*) FILTER (conf >= 0.7) AS over_70, count(*) FILTER (conf >= 0.9) AS over_90 FROM cit GROUP BY doctype""",
+    f"""WITH {DENSE} SELECT doctype, CASE WHEN d >= 0.9::DOUBLE THEN 0.9::DOUBLE WHEN d >= 0.7::DOUBLE THEN 0.7::DOUBLE WHEN d >= 0.5::DOUBLE THEN 0.5::DOUBLE WHEN d >= 0.3::DOUBLE THEN 0.3::DOUBLE ELSE 0::DOUBLE END AS band, count(*) AS n,
+    count(*) FILTER (d >= 0.5::DOUBLE) AS over_50, count(*) FILTER (d >= 0.6::DOUBLE) AS over_60, count(*) FILTER (d >= 0.7::DOUBLE) AS over_70, count(*) FILTER (d >= 0.8::DOUBLE) AS over_80, count(*) FILTER (d >= 0.9::DOUBLE) AS over_90 FROM dn GROUP BY 1, 2""",
 )
 def a24(s, d):
-    return citations(s, d).groupBy("doctype").agg(F.count("*").alias("n"), *(F.count_if(c("conf") >= t / 100).alias(f"over_{t}") for t in (50, 70, 90)))
+    """Contexts with 0 to 7 numbers among 0 to 4 words."""
+    number = F.concat(c("page").cast("string"), "section", F.lit(", "))
+    context = F.concat(F.repeat(number, c("seq") % 8), F.repeat(F.lit("word "), c("line") % 5))
+    return exclude.density_profile(citations(s, d).select("doctype", context.alias("context")))
 
 
 @query(
@@ -236,16 +246,16 @@ def a25(s, d):
     return citations(s, d).where("doctype = 'PROMO'").groupBy(decade, "journal").agg(F.count("*").alias("n"), F.round(F.count_if(c("line") >= 25) / F.count("*"), 6).alias("index_share"))
 
 
-BAND = "CASE WHEN conf >= 0.9 THEN '0.90+' WHEN conf >= 0.8 THEN '0.80-0.89' WHEN conf >= 0.6 THEN '0.60-0.79' WHEN conf >= 0.4 THEN '0.40-0.59' ELSE '<0.40' END"
+BAND = "CASE WHEN conf >= 0.9 THEN '0.90-1.00' WHEN conf >= 0.7 THEN '0.70-0.89' WHEN conf >= 0.5 THEN '0.50-0.69' WHEN conf >= 0.3 THEN '0.30-0.49' ELSE '0.00-0.29' END"
 
 
 @query(
     "a26_queue_crosstab",
-    f"""SELECT status AS reason, count(*) FILTER (b = '0.90+') AS b90, count(*) FILTER (b = '0.80-0.89') AS b80, count(*) FILTER (b = '0.60-0.79') AS b60, count(*) FILTER (b = '0.40-0.59') AS b40
+    f"""SELECT status AS reason, count(*) FILTER (b = '0.90-1.00') AS b90, count(*) FILTER (b = '0.70-0.89') AS b70, count(*) FILTER (b = '0.50-0.69') AS b50, count(*) FILTER (b = '0.30-0.49') AS b30, count(*) FILTER (b = '0.00-0.29') AS b00
     FROM (SELECT status, {BAND} AS b FROM cit WHERE flag = 'R') GROUP BY status""",
 )
 def a26(s, d):
-    names = {"0.90+": "b90", "0.80-0.89": "b80", "0.60-0.79": "b60", "0.40-0.59": "b40"}
+    names = {"0.90-1.00": "b90", "0.70-0.89": "b70", "0.50-0.69": "b50", "0.30-0.49": "b30", "0.00-0.29": "b00"}
     rows = citations(s, d).where("flag = 'R'").select(c("status").alias("reason"), confidence_band(c("conf")).alias("band"))
     wide = rows.groupBy("reason").pivot("band", list(names)).agg(F.count(F.lit(1)))
     return wide.select("reason", *(F.coalesce(F.col(f"`{k}`"), F.lit(0)).alias(v) for k, v in names.items()))

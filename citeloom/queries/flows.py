@@ -1,4 +1,4 @@
-"""G01-G16, D01-D12, Q01-Q10, S01-S26 and V03-V09, and the flagship query from raw text."""
+"""G01-G16, D01-D12, Q01-Q10, S10-S26 without files, V03-V09, and the flagship query from raw text."""
 
 from __future__ import annotations
 
@@ -45,18 +45,23 @@ def g01(s, d):
     return extract.extract(delivery(s, d)).select("iid", c("page_index").cast("long").alias("page_index"), "char_offset", "match")
 
 
-@query("g02_overlaps", "SELECT iid, count(*) AS n FROM cit GROUP BY iid")
+@query("g02_overlaps", "SELECT iid, count(*) AS n, CAST(sum(length('620a-622c ') + length('see ' || page || section || line || '; so ' || work)) AS BIGINT) AS chars FROM (SELECT * FROM cit UNION ALL SELECT * FROM cit) GROUP BY iid")
 def g02(s, d):
-    twice = delivery(s, d).select("iid", F.transform("full_text", lambda t: F.concat(F.lit("620a-622c "), F.substr(t, F.lit(1), F.lit(0)))).alias("full_text"))
-    return extract.extract(twice).groupBy("iid").agg(F.count("*").alias("n"))
+    """Each page with a range before it, whose end two shapes match: the range alone is left of the two."""
+    longer = delivery(s, d).select("iid", F.transform("full_text", lambda t: F.concat(F.lit("620a-622c "), t)).alias("full_text"))
+    found = extract.extract(longer)
+    whole = longer.select("iid", F.aggregate("full_text", F.lit(0), lambda n, t: n + F.char_length(t)).cast("long").alias("chars"))
+    return found.groupBy("iid").agg(F.count("*").alias("n")).join(whole.withColumn("chars", 2 * c("chars")), "iid")
 
 
-@query("g03_long_pages", "SELECT count(*) AS n FROM cit WHERE iid < 200")
+@query("g03_long_pages", "SELECT work, count(*) AS n, CAST(sum(length(page || 'a1 ') + 100) AS BIGINT) AS chars FROM cit GROUP BY work")
 def g03(s, d):
-    """Pages of any length are matched whole: all rows of a few articles on one long page."""
-    rows = citations(s, d).where("iid < 200")
-    long = rows.agg(F.array(F.array_join(F.collect_list(F.concat(c("page").cast("string"), F.lit("a1 "), F.repeat(F.lit("word "), 20))), " ")).alias("full_text"))
-    return extract.extract(long.withColumn("iid", F.lit("one"))).agg(F.count("*").alias("n"))
+    """Pages of any length are matched whole: all rows of a work on one long page."""
+    text = F.concat(c("page").cast("string"), F.lit("a1 "), F.repeat(F.lit("word "), 20))
+    long = citations(s, d).groupBy(c("work").alias("iid")).agg(F.array(F.array_join(F.collect_list(text), "")).alias("full_text"))
+    found = extract.extract(long).groupBy("iid").agg(F.count("*").alias("n"), F.max("char_offset").alias("last"))
+    size = long.select("iid", F.char_length(F.get("full_text", F.lit(0))).cast("long").alias("chars"))
+    return found.join(size, "iid").where("last < chars").select(c("iid").alias("work"), "n", "chars")
 
 
 @query("g04_pages", "SELECT iid, CAST(row_number() OVER (PARTITION BY iid ORDER BY ord, page || section || line || '; so ' || work) - 1 AS INT) AS page_index, 'see ' || page || section || line || '; so ' || work AS page FROM cit")
@@ -171,7 +176,9 @@ def decided(s, d):
     corpus = F.when(c("doctype") == "PROMO", "homer").otherwise("bekker")
     cued = F.when(c("section") != "a", "Iliad")
     page = F.when(c("page") < 159, c("page"))
-    return citations(s, d).select("ord", resolve.decide(corpus, page, cands, names, c("flag") == "R", c("status") == "F", cued).alias("d"))
+    given = F.struct(corpus.alias("corpus"), page.alias("page"), cands.alias("cands"), names.alias("names"), (c("flag") == "R").alias("cross"), (c("status") == "F").alias("edge"), cued.alias("cued"))
+    rows = citations(s, d).select("ord", F.explode(F.array(given)).alias("x"))  # what is generated is computed once, whatever reads or filters it
+    return rows.select("ord", F.explode(F.array(resolve.decide(*(c(f"x.{k}") for k in ("corpus", "page", "cands", "names", "cross", "edge", "cued"))))).alias("d"))
 
 
 DECIDED = """r AS (SELECT *, CAST(regexp_extract(work, '(\\d+)', 1) AS INT) AS n FROM cit),
@@ -226,8 +233,8 @@ def articles(s, d):
     name = F.when(c("line") % 6 == 0, "so Alpha").when(c("line") % 6 == 1, "so Beta").otherwise("plain")
     from citeloom.operators.windows import sequence
 
-    placed = sequence(rows, "iid", "ord").select(
-        "iid", c("seq_in_article").alias("seq"), F.lit(0).alias("page_index"), (c("seq_in_article") * 300).alias("char_offset"), F.lit("stephanus").alias("corpus"),
+    placed = sequence(rows, "iid", "ord", "line").select(
+        "iid", c("seq_in_article").alias("seq"), F.floor(c("seq_in_article") / 6).cast("int").alias("page_index"), (c("seq_in_article") % 6 * 800).alias("char_offset"), F.lit("stephanus").alias("corpus"),
         F.concat(c("page").cast("string"), F.lit("c")).alias("match"), name.alias("context"), F.when(c("iid") % 3 == 0, "On Beta").otherwise("").alias("title"),
     )
     return placed, resolve.Tables(spans, forms, cues, lengths)
@@ -237,26 +244,58 @@ def _resolved(s, d):
     return resolve.resolve(*articles(s, d))
 
 
-@query("d08_scope")
+SCOPED = """
+r AS (SELECT iid, row_number() OVER (PARTITION BY iid ORDER BY ord, line) - 1 AS seq, page, line FROM cit),
+p AS (SELECT *, seq // 6 AS pi, seq % 6 * 800 AS co, CASE WHEN page < 115 THEN ['Alpha'] WHEN page <= 125 THEN ['Alpha', 'Beta'] WHEN page <= 150 THEN ['Beta'] ELSE [] END AS cand,
+  CASE line % 6 WHEN 0 THEN 'Alpha' WHEN 1 THEN 'Beta' END AS name, iid % 3 = 0 AS titled FROM r),
+q AS (SELECT *, CASE WHEN len(cand) = 1 THEN cand[1] WHEN len(cand) = 2 THEN name END AS own,
+  CASE WHEN len(cand) = 1 THEN CASE WHEN name = cand[1] THEN 'range_unique+name' WHEN name IS NOT NULL THEN 'range_unique_name_mentioned' ELSE 'range_unique' END ELSE 'range+name' END AS how FROM p),
+st AS (
+  SELECT iid, CAST(-1 AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS work, CAST(NULL AS VARCHAR) AS method, CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS sw, CAST(0 AS BIGINT) AS spi, CAST(0 AS BIGINT) AS sco FROM (SELECT DISTINCT iid FROM cit)
+  UNION ALL
+  SELECT iid, seq, CASE m WHEN 'own' THEN own WHEN 'scope_inherited' THEN sw WHEN 'scope_range_mismatch' THEN sw WHEN 'title_prior' THEN 'Beta' ELSE cand[1] END, CASE m WHEN 'own' THEN how ELSE m END,
+    CASE m WHEN 'own' THEN CASE how WHEN 'range_unique+name' THEN 0.97 WHEN 'range_unique' THEN 0.93 ELSE 0.90 END WHEN 'scope_inherited' THEN round(0.88::DOUBLE - 0.10::DOUBLE * least(dist / 4000.0::DOUBLE, 1), 3) WHEN 'scope_range_mismatch' THEN 0.4 WHEN 'title_prior' THEN 0.85 ELSE 0.3 END,
+    CASE m WHEN 'own' THEN own WHEN 'title_prior' THEN 'Beta' ELSE sw END, CASE WHEN m IN ('own', 'title_prior') THEN pi ELSE spi END, CASE WHEN m IN ('own', 'title_prior') THEN co ELSE sco END
+  FROM (SELECT *, CASE WHEN own IS NOT NULL THEN 'own' WHEN near AND (sw = 'Alpha' AND page BETWEEN 100 AND 125 OR sw = 'Beta' AND page BETWEEN 115 AND 150) THEN 'scope_inherited' WHEN near THEN 'scope_range_mismatch'
+      WHEN titled AND list_contains(cand, 'Beta') THEN 'title_prior' ELSE 'unresolved' END AS m
+    FROM (SELECT *, coalesce(dist >= 0 AND dist <= 4000 * (1 + pi - spi), false) AS near
+      FROM (SELECT q.*, st.sw, st.spi, st.sco, CASE WHEN sw IS NULL OR pi < spi THEN NULL WHEN pi = spi THEN co - sco ELSE (pi - spi) * 100000 + co END AS dist FROM st JOIN q ON q.iid = st.iid AND q.seq = st.seq + 1)))
+)"""
+
+
+def _placed_rows(s, d):
+    return _resolved(s, d).withColumn("seq", c("seq").cast("long"))
+
+
+@query("d08_scope", f"WITH RECURSIVE {SCOPED.strip()} SELECT iid, seq, work, confidence, method FROM st WHERE method IN ('scope_inherited', 'scope_range_mismatch')")
 def d08(s, d):
-    return _resolved(s, d).where(c("method").isin("scope_inherited", "scope_range_mismatch")).select("iid", "seq", "work", "confidence", "method")
+    return _placed_rows(s, d).where(c("method").isin("scope_inherited", "scope_range_mismatch")).select("iid", "seq", "work", "confidence", "method")
 
 
-@query("d09_title_prior")
+@query("d09_title_prior", f"WITH RECURSIVE {SCOPED.strip()} SELECT iid, seq, work FROM st WHERE method = 'title_prior'")
 def d09(s, d):
-    return _resolved(s, d).where("method = 'title_prior'").select("iid", "seq", "work")
+    return _placed_rows(s, d).where("method = 'title_prior'").select("iid", "seq", "work")
 
 
-@query("d10_unresolved")
+@query("d10_unresolved", f"WITH RECURSIVE {SCOPED.strip()} SELECT iid, seq, work, method FROM st WHERE method = 'unresolved'")
 def d10(s, d):
-    return _resolved(s, d).where("method LIKE '%unresolved'").select("iid", "seq", "work", "method")
+    return _placed_rows(s, d).where("method LIKE '%unresolved'").select("iid", "seq", "work", "method")
+
 
+@query("j13_as_of", f"WITH RECURSIVE {SCOPED.strip()} SELECT iid, seq, work, confidence, method FROM st WHERE seq >= 0")
+def j13(s, d):
+    """Every row resolved: its own rules, else the latest work named in the article within reach."""
+    return _placed_rows(s, d).select("iid", "seq", "work", "confidence", "method")
 
-@query("d11_acceptance", "SELECT count(*) FILTER (flag <> 'R' AND conf >= 0.83) AS accepted, count(*) FILTER (flag = 'R' OR conf < 0.83) AS queued FROM cit")
+
+@query("w09_scope_state", f"WITH RECURSIVE {SCOPED.strip()} SELECT iid, seq, sw AS scope FROM st WHERE seq >= 0")
+def w09(s, d):
+    return _placed_rows(s, d).select("iid", "seq", "scope")
+
+
+@query("d11_acceptance", f"WITH RECURSIVE {SCOPED.strip()} SELECT method, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS queued FROM (SELECT method, method IN ('range_unique+name', 'range_unique', 'range_unique_name_mentioned', 'range+name', 'title_prior') OR method = 'scope_inherited' AND confidence >= 0.83 AS ok FROM st WHERE seq >= 0) GROUP BY method")
 def d11(s, d):
-    policy = resolve.Policy()
-    ok = (c("flag") != "R") & (c("conf") >= min(policy.accept, policy.scope_accept))
-    return citations(s, d).agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("queued"))
+    return _resolved(s, d).groupBy("method").agg(F.count_if("accepted").alias("accepted"), F.count_if(~c("accepted")).alias("queued"))
 
 
 @query("d12_promotion", "SELECT count(*) AS n FROM cit WHERE seq % 4 = 1 AND doctype = 'PROMO'")
@@ -336,7 +375,7 @@ def q10(s, d):
     return series.journal_contrast(citations(s, d), ["NATION_1", "NATION_2"], ["NATION_3"]).withColumn("diff", F.round("diff", 8))
 
 
-# -- S: sources and sinks that SQL can express ---------------------------------------------------
+# -- S: sources and sinks (those that write are in files.py) and checks ----------------------------
 
 
 @query("s10_id_list", "SELECT DISTINCT trim(' ' || o_orderpriority || ' ') AS iid FROM orders")
@@ -355,22 +394,12 @@ def s13(s, d):
     return citations(s, d).where("work = 'Brand#7'").select("page", "section", "line")
 
 
-@query("s18_report", "SELECT work, count(*) AS n FROM cit GROUP BY work")
-def s18(s, d):
-    return citations(s, d).groupBy("work").agg(F.count("*").alias("n")).orderBy("work")
-
-
 @query("s20_resume", "SELECT DISTINCT iid FROM cit WHERE iid NOT IN (SELECT iid FROM cit WHERE page < 110)")
 def s20(s, d):
     rows = citations(s, d)
     return writers.not_done(rows.select("iid").distinct(), rows.where("page < 110"))
 
 
-@query("s24_export", "SELECT DISTINCT iid, journal, year FROM cit WHERE work = 'Brand#9' AND page = 130")
-def s24(s, d):
-    return citations(s, d).where("work = 'Brand#9' AND page = 130").select("iid", "journal", "year").distinct()
-
-
 @query("s26_peek", "SELECT 'k' AS key, least(100, count(*)) AS n FROM events")
 def s26(s, d):
     return readers.peek(table(s, d, "events").select(c("props").alias("value")), 100)
@@ -418,24 +447,8 @@ def p21(s, d):
     return readers.doi_like(readers.key_walk(rows, "j"))
 
 
-@query("v05_group_coverage", "SELECT n_name AS journal FROM nation WHERE n_regionkey = 2 AND n_name NOT IN (SELECT journal FROM cit WHERE page = 101 AND flag = 'A')")
+@query("v05_group_coverage", "WITH u AS (SELECT DISTINCT journal FROM cit WHERE page < 105 AND flag = 'A'), g AS (SELECT n_name AS journal FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'NATION_77') SELECT coalesce(u.journal, g.journal) AS journal, u.journal IS NULL AS missing_in_rows, g.journal IS NULL AS in_no_group FROM u FULL JOIN g ON u.journal = g.journal WHERE u.journal IS NULL OR g.journal IS NULL")
 def v05(s, d):
-    members = table(s, d, "nation").where("n_regionkey = 2").select(c("n_name").alias("journal"))
-    return members.join(citations(s, d).where("page = 101 AND flag = 'A'"), "journal", "left_anti")
-
-
-@query("s15_routed", "SELECT CASE WHEN flag = 'R' THEN 'queue' WHEN status = 'F' THEN 'excluded' ELSE 'resolved' END AS disposition, count(*) AS n FROM cit GROUP BY 1")
-def s15(s, d):
-    route = F.when(c("flag") == "R", "queue").when(c("status") == "F", "excluded").otherwise("resolved")
-    return citations(s, d).withColumn("disposition", route).groupBy("disposition").agg(F.count("*").alias("n"))
-
-
-@query("s21_audit", "SELECT work, count(*) FILTER (page >= 103) AS faceted, count(*) FILTER (page < 103) AS bare FROM cit GROUP BY work")
-def s21(s, d):
-    return citations(s, d).groupBy("work").agg(F.count_if(c("page") >= 103).alias("faceted"), F.count_if(c("page") < 103).alias("bare"))
-
-
-@query("s22_skip_existing", "SELECT work, journal FROM (SELECT DISTINCT work, journal FROM cit) WHERE (work, journal) NOT IN (SELECT work, journal FROM cit WHERE page = 104)")
-def s22(s, d):
-    rows = citations(s, d)
-    return rows.select("work", "journal").distinct().join(rows.where("page = 104").select("work", "journal").distinct(), ["work", "journal"], "left_anti")
+    """Groups against rows, both ways: a member that no row has, a journal that is in no group."""
+    members = table(s, d, "nation").where("n_regionkey <> 1").select(c("n_name").alias("journal")).union(s.createDataFrame([("NATION_77",)], "journal string"))
+    return checks.group_coverage(citations(s, d).where("page < 105 AND flag = 'A'"), members)

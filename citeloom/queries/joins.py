@@ -56,7 +56,7 @@ def j03(s, d):
 @query("j04_range_candidates", f'WITH {SPANS} SELECT ord, array_to_string(list(s.work ORDER BY s.work), \',\') AS candidates FROM cit JOIN spans s ON page BETWEEN s.start AND s."end" GROUP BY ord')
 def j04(s, d):
     pages = ranges.page_works(spans(s, d))
-    return citations(s, d).select("ord", "page").join(F.broadcast(pages), "page").select("ord", F.array_join("works", ",").alias("candidates"))
+    return citations(s, d).select("ord", "page").join(pages, "page").select("ord", F.array_join("works", ",").alias("candidates"))
 
 
 @query(
@@ -64,7 +64,7 @@ def j04(s, d):
     f"WITH {SPANS} SELECT ord, count(*) AS n FROM cit JOIN spans s ON page BETWEEN s.start AND s.\"end\" AND NOT (section IN ('c', 'd', 'e') AND system = 'bekker') GROUP BY ord",
 )
 def j05(s, d):
-    rows = citations(s, d).select("ord", "page", "section").join(F.broadcast(ranges.pages(spans(s, d))), "page")
+    rows = citations(s, d).select("ord", "page", "section").join(ranges.pages(spans(s, d)), "page")
     return rows.where(~(c("section").isin("c", "d", "e") & (c("system") == "bekker"))).groupBy("ord").agg(F.count("*").alias("n"))
 
 
@@ -80,7 +80,7 @@ def j06(s, d):
     key = lambda p, sec, line: F.struct(p.alias("page"), F.lit(sec).alias("col"), F.lit(line).alias("line"))
     vague = F.regexp_extract("work", r"(\d+)", 1).cast("int") % 3 == 0
     precise = spans(s, d).withColumns({"lo": F.when(~vague, key(c("start"), "b", 10)), "hi": F.when(~vague, key(c("end"), "b", 20))})
-    rows = citations(s, d).where(c("section").isin("a", "b")).join(F.broadcast(ranges.page_spans(precise)), "page")
+    rows = citations(s, d).where(c("section").isin("a", "b")).join(ranges.page_spans(precise), "page")
     at = F.struct(c("page").alias("page"), c("section").alias("col"), c("line").alias("line"))
     return rows.select("ord", F.array_join(F.transform(ranges.refine(c("spans"), at), lambda x: x["work"]), ",").alias("works"))
 
@@ -100,19 +100,19 @@ def j08(s, d):
     forms = s.createDataFrame([("not specified", "W1"), ("5-low", "W2"), ("specified", "W3"), ("1-urgent", "W2")], "form string, work string")
     words = F.split(F.lower("o_orderpriority"), " ")
     grams = table(s, d, "orders").select(c("o_orderkey").alias("k"), F.explode(ranges.ngrams(words, 3)).alias("form"))
-    return grams.join(F.broadcast(forms), "form").select("k", "work").distinct()
+    return grams.join(forms, "form").select("k", "work").distinct()
 
 
 @query("j10_named_candidates", f'WITH {SPANS}, k AS (SELECT ord, list(s.work) AS cand, any_value(cit.work) AS named FROM cit JOIN spans s ON page BETWEEN s.start AND s."end" GROUP BY ord) SELECT ord, len(list_filter(cand, lambda x: x = named)) AS hits FROM k')
 def j10(s, d):
-    rows = citations(s, d).select("ord", "page", "work").join(F.broadcast(ranges.page_works(spans(s, d))), "page")
+    rows = citations(s, d).select("ord", "page", "work").join(ranges.page_works(spans(s, d)), "page")
     return rows.select("ord", F.size(F.array_intersect("works", F.array("work"))).cast("long").alias("hits"))
 
 
 @query("j11_cue_work", "SELECT ord, w AS cued FROM cit JOIN (VALUES ('ECONOMY', 'a', 'Iliad'), ('ECONOMY', 'b', 'Odyssey'), ('PROMO', 'c', 'Romans')) v(corpus, cue, w) ON doctype = corpus AND section = cue")
 def j11(s, d):
     cues = s.createDataFrame([("ECONOMY", "a", "Iliad"), ("ECONOMY", "b", "Odyssey"), ("PROMO", "c", "Romans")], "doctype string, section string, cued string")
-    return citations(s, d).join(F.broadcast(cues), ["doctype", "section"]).select("ord", "cued")
+    return citations(s, d).join(cues, ["doctype", "section"]).select("ord", "cued")
 
 
 @query("j14_reconcile", f"WITH {BUILT}, a AS (SELECT DISTINCT iid FROM built), b AS (SELECT DISTINCT iid FROM cit WHERE doctype = 'PROMO') SELECT coalesce(a.iid, b.iid) AS iid, a.iid IS NOT NULL AS requested, b.iid IS NOT NULL AS delivered FROM a FULL JOIN b ON a.iid = b.iid")
@@ -182,7 +182,7 @@ def j21(s, d):
 @query("j22_journal_field", "SELECT coalesce(r_name, 'other') AS field, count(*) AS n FROM cit LEFT JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0) ON journal = n_name GROUP BY 1")
 def j22(s, d):
     groups = table(s, d, "nation").where("n_nationkey % 4 <> 0").join(table(s, d, "region"), c("n_regionkey") == c("r_regionkey")).select("n_name", "r_name")
-    return citations(s, d).join(F.broadcast(groups), c("journal") == c("n_name"), "left").groupBy(F.coalesce("r_name", F.lit("other")).alias("field")).agg(F.count("*").alias("n"))
+    return citations(s, d).join(groups, c("journal") == c("n_name"), "left").groupBy(F.coalesce("r_name", F.lit("other")).alias("field")).agg(F.count("*").alias("n"))
 
 
 @query("j23_work_author", "SELECT work, CASE WHEN bool_or(doctype = 'PROMO' AND page < 101) THEN 'cued' WHEN CAST(regexp_extract(work, '(\\d+)', 1) AS INT) < 9 THEN 'second' ELSE 'first' END AS author FROM cit GROUP BY work")
@@ -203,23 +203,24 @@ def j24(s, d):
     return rows.groupBy("unit").agg(F.count("*").alias("n")).join(within, "unit", "left")
 
 
-@query("j25_text_heads", f"WITH {CATALOGUE.strip()} SELECT doc_id, substring(text, 1, 120) AS head, title FROM documents JOIN catalogue ON doc_id = item_id WHERE doc_id < 50")
+@query("j25_text_heads", f"WITH {CATALOGUE.strip()}, s AS (SELECT item_id, title FROM catalogue ORDER BY item_id DESC LIMIT 60), x AS (SELECT DISTINCT item_id, title FROM s) SELECT doc_id, substring(text, 1, 120) AS head, title FROM documents JOIN x ON doc_id = item_id % 200")
 def j25(s, d):
-    few = catalogue(s, d).where("item_id < 50")
-    return table(s, d, "documents").join(few, c("doc_id") == c("item_id")).select("doc_id", F.substring("text", 1, 120).alias("head"), "title")
+    """The heads (the first 120 characters are the feature) of the texts of a sample of 60 titles."""
+    sample = catalogue(s, d).select("item_id", "title").orderBy(F.desc("item_id")).limit(60).distinct()
+    return table(s, d, "documents").join(sample, c("doc_id") == c("item_id") % 200).select("doc_id", F.substring("text", 1, 120).alias("head"), "title")
 
 
 @query("j26_work_set", "SELECT work, year, count(*) AS n FROM cit WHERE work IN ('Brand#3', 'Brand#7', 'Brand#11') GROUP BY ALL")
 def j26(s, d):
     members = s.createDataFrame([("Brand#3",), ("Brand#7",), ("Brand#11",)], "work string")
-    return citations(s, d).join(F.broadcast(members), "work", "left_semi").groupBy("work", "year").agg(F.count("*").alias("n"))
+    return citations(s, d).join(members, "work", "left_semi").groupBy("work", "year").agg(F.count("*").alias("n"))
 
 
 @query("j09_title_forms", "SELECT c_custkey AS k, work FROM customer JOIN (VALUES ('building', 'W1', false), ('household', 'W2', true), ('machinery', 'W3', false)) f(form, work, vague) ON lower(c_mktsegment) = form WHERE NOT vague")
 def j09(s, d):
     forms = s.createDataFrame([("building", "W1", False), ("household", "W2", True), ("machinery", "W3", False)], "form string, work string, vague boolean")
     grams = table(s, d, "customer").select(c("c_custkey").alias("k"), F.explode(ranges.ngrams(F.split(F.lower("c_mktsegment"), " "), 3)).alias("form"))
-    return grams.join(F.broadcast(forms.where("NOT vague")), "form").select("k", "work").distinct()
+    return grams.join(forms.where("NOT vague"), "form").select("k", "work").distinct()
 
 
 # -- sets ----------------------------------------------------------------------------------------
@@ -252,7 +253,7 @@ def u03(s, d):
 def u04(s, d):
     sp = spans(s, d)
     of = lambda system: ranges.page_works(sp.where(c("system") == system)).withColumnRenamed("works", system)
-    rows = citations(s, d).select("ord", "page").join(F.broadcast(of("bekker")), "page", "left").join(F.broadcast(of("stephanus")), "page", "left")
+    rows = citations(s, d).select("ord", "page").join(of("bekker"), "page", "left").join(of("stephanus"), "page", "left")
     none = F.array().cast("array<string>")
     both = F.array_union(F.coalesce("bekker", none), F.coalesce("stephanus", none))
     return rows.select("ord", F.size(both).cast("long").alias("n")).where("n > 0")
@@ -276,20 +277,3 @@ def u06(s, d):
 def f17(s, d):
     system = F.when(c("doctype") == "PROMO", "stephanus").otherwise("bekker")
     return citations(s, d).where(c("doctype").isin("PROMO", "ECONOMY")).select("ord", passage_label(c("page"), c("section"), c("line"), system).alias("label"))
-
-
-@query("j13_as_of", """
-WITH e AS (SELECT event_id, user_id, ts, event_type FROM events),
-a AS (SELECT event_id, user_id, ts FROM e WHERE event_type = 'click')
-SELECT e.event_id, max(a.event_id) AS anchor FROM e LEFT JOIN a ON e.user_id = a.user_id AND a.ts <= e.ts AND a.event_id <> e.event_id
-  AND epoch_us(e.ts) - epoch_us(a.ts) <= 3600000000 AND a.ts = (SELECT max(x.ts) FROM a x WHERE x.user_id = e.user_id AND x.ts <= e.ts AND x.event_id <> e.event_id)
-WHERE e.event_type <> 'click' GROUP BY e.event_id
-""")
-def j13(s, d):
-    """The latest click of the same user, at most an hour back: an as-of join as one ordered window."""
-    rows = table(s, d, "events").select("event_id", "user_id", "ts", "event_type")
-    before = Window.partitionBy("user_id").orderBy("ts", F.when(c("event_type") == "click", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    click = F.when(c("event_type") == "click", F.struct("ts", "event_id"))
-    found = rows.withColumn("last", F.last(click, True).over(before)).where("event_type <> 'click'")
-    age = F.unix_micros(c("ts").cast("timestamp")) - F.unix_micros(c("last.ts").cast("timestamp"))
-    return found.select("event_id", F.when(age <= 3_600_000_000, c("last.event_id")).alias("anchor"))

@@ -29,7 +29,8 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = f"WITH {CIT}" + (", " + sql.strip()[5:] if sql.strip().startswith("WITH ") else " " + sql.strip())
+            head, body = ("RECURSIVE ", sql.strip().replace("WITH RECURSIVE ", "WITH ", 1)) if sql.strip().startswith("WITH RECURSIVE ") else ("", sql.strip())
+            ORACLES[name] = f"WITH {head}{CIT}" + (", " + body[5:] if body.startswith("WITH ") else " " + body)
         return f
 
     return keep

@@ -77,9 +77,17 @@ def p08(s, d):
     return citations(s, d).select("ord", exclude.reason(F.when(seq == 4, big).otherwise(p), context, F.lit("bekker"), doctype).alias("reason"))
 
 
-@query("p09_gating", "SELECT ord, CASE WHEN doctype = 'PROMO' AND page >= 150 THEN 'late' END AS reason FROM cit")
+GATED = """g AS (SELECT ord, doctype IN ('PROMO', 'ECONOMY') AS greek, CASE seq % 4 WHEN 0 THEN 'book_section_ref' WHEN 1 THEN 'dk_fragment' WHEN 2 THEN 'foreign_text' END AS content, CASE line % 3 WHEN 0 THEN 'misc' WHEN 1 THEN 'discussion' ELSE '' END AS dt FROM cit)"""
+
+
+@query("p09_gating", f"WITH {GATED} SELECT ord, CASE WHEN greek AND content IS NOT NULL THEN content WHEN dt = 'misc' THEN 'excluded_doctype' END AS reason FROM g")
 def p09(s, d):
-    return citations(s, d).select("ord", F.when((c("doctype") == "PROMO") & (c("page") >= 150), "late").alias("reason"))
+    """Content reasons hold for page references alone, the scope of doctypes for all."""
+    m, k = F.concat(c("page").cast("string"), F.lit("c")), c("seq") % 4
+    context = F.when(k == 0, F.concat(F.lit("in 12."), m)).when(k == 1, F.concat(m, F.lit(" DK 3"))).when(k == 2, F.concat(F.lit("Soph. "), m)).otherwise(F.concat(F.lit("plain "), m))
+    corpus = F.when(c("doctype").isin("PROMO", "ECONOMY"), "stephanus").otherwise("homer")
+    doctype = F.when(c("line") % 3 == 0, "misc").when(c("line") % 3 == 1, "discussion").otherwise("")
+    return citations(s, d).select("ord", exclude.reason(m, context, corpus, doctype).alias("reason"))
 
 
 @query("p10_modern_year", "SELECT count(*) FILTER (page * 10 >= 1463) AS modern, count(*) FILTER (page * 10 < 1463) AS kept FROM cit")
@@ -107,9 +115,12 @@ def p13(s, d):
     return citations(s, d).select("ord", exclude.locus_count(context).alias("n"))
 
 
-@query("p14_index_page", "SELECT page, count(*) >= 900 OR bool_or(line = 50 AND seq = 7 AND section = 'c') AS is_index FROM cit GROUP BY page")
+@query("p14_index_page", "SELECT ord, seq >= 5 OR line % 4 = 0 AS is_index FROM cit")
 def p14(s, d):
-    return citations(s, d).groupBy("page").agg(((F.count("*") >= 900) | F.bool_or((c("line") == 50) & (c("seq") == 7) & (c("section") == "c"))).alias("is_index"))
+    """Windows with one citation for each number of a line, some with a page after a colon."""
+    cites = F.repeat(F.concat(F.lit("at "), c("page").cast("string"), F.lit("c, ")), c("seq"))
+    window = F.concat(cites, F.when(c("line") % 4 == 0, F.concat(F.lit("12 : "), c("line").cast("string"))).otherwise("and so: on"))
+    return citations(s, d).select("ord", exclude.index_like(window).alias("is_index"))
 
 
 @query("p15_review_like", "SELECT doctype, count(*) AS n FROM cit WHERE regexp_matches(lower(doctype), 'promo|econ') GROUP BY doctype")
@@ -117,16 +128,16 @@ def p15(s, d):
     return citations(s, d).where(F.lower("doctype").rlike("promo|econ")).groupBy("doctype").agg(F.count("*").alias("n"))
 
 
-@query("p16_folded_match", "SELECT doc_id FROM documents WHERE lang = 'fr' AND (contains(strip_accents(lower(substring(text, 1, 200))), 'ecole') OR contains(strip_accents(lower(substring(text, 1, 200))), 'ee'))")
+@query("p16_folded_match", "SELECT doc_id FROM documents WHERE regexp_matches(lower(strip_accents(text)), 'ecole|ee|uber|nin')")
 def p16(s, d):
-    head = F.lower(T.strip_accents(F.substring("text", 1, 200)))
-    return table(s, d, "documents").where((c("lang") == "fr") & (head.contains("ecole") | head.contains("ee"))).select("doc_id")
+    folded = F.lower(T.strip_accents(c("text")))
+    return table(s, d, "documents").where(folded.contains("ecole") | folded.contains("ee") | folded.contains("uber") | folded.contains("nin")).select("doc_id")
 
 
 @query("p17_roster", "SELECT journal, tier, count(*) AS n FROM cit JOIN (VALUES ('NATION_1', 'core'), ('NATION_5', 'core'), ('NATION_7', 'wide')) r(j, tier) ON journal = j GROUP BY ALL")
 def p17(s, d):
     roster = s.createDataFrame([("NATION_1", "core"), ("NATION_5", "core"), ("NATION_7", "wide")], "journal string, tier string")
-    return citations(s, d).join(F.broadcast(roster), "journal").groupBy("journal", "tier").agg(F.count("*").alias("n"))
+    return citations(s, d).join(roster, "journal").groupBy("journal", "tier").agg(F.count("*").alias("n"))
 
 
 @query("p18_canonical", "SELECT CASE WHEN regexp_matches(journal, '^NATION_1') THEN 'first' WHEN regexp_matches(journal, '2$') THEN 'second' END AS canonical, count(*) AS n FROM cit GROUP BY 1")
@@ -135,18 +146,32 @@ def p18(s, d):
     return citations(s, d).groupBy(first.alias("canonical")).agg(F.count("*").alias("n"))
 
 
-@query("p19_content_class", f"WITH {CATALOGUE.strip()} SELECT CASE WHEN regexp_matches(lower(concat_ws(' ', content_subtype, is_part_of)), 'article|research|review|discussion') THEN 'article' WHEN trim(lower(concat_ws(' ', content_subtype, is_part_of))) = '' THEN 'unknown' ELSE 'other' END AS class, count(*) AS n FROM catalogue GROUP BY 1")
+LABEL = "CASE item_id % 6 WHEN 0 THEN 'Research-Article' WHEN 1 THEN 'front-matter' WHEN 2 THEN 'book-review' WHEN 3 THEN NULL WHEN 4 THEN 'misc' ELSE content_subtype END"
+
+
+@query(
+    "p19_content_class",
+    f"""WITH {CATALOGUE.strip()}, i AS (SELECT lower(concat_ws(' ', {LABEL}, CASE WHEN item_id % 4 = 0 THEN 'article index' ELSE '' END)) AS l FROM catalogue)
+    SELECT CASE WHEN trim(l) = '' THEN 'unknown' WHEN regexp_matches(l, 'front|back|cover|matter|toc|contents|editorial-board|index|advertisement|misc|announcement|volume-information') AND NOT contains(l, 'article') THEN 'other'
+      WHEN contains(l, 'article') THEN 'article' ELSE 'unknown' END AS class, count(*) AS n FROM i GROUP BY 1""",
+)
 def p19(s, d):
-    return catalogue(s, d).groupBy(T.content_class(c("content_subtype"), c("is_part_of")).alias("class")).agg(F.count("*").alias("n"))
+    k = c("item_id") % 6
+    label = F.when(k == 0, "Research-Article").when(k == 1, "front-matter").when(k == 2, "book-review").when(k == 4, "misc").when(k == 5, c("content_subtype"))
+    return catalogue(s, d).groupBy(T.content_class(label, F.when(c("item_id") % 4 == 0, "article index").otherwise("")).alias("class")).agg(F.count("*").alias("n"))
 
 
-DOI = "CASE item_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '10.2307/' || item_id WHEN 2 THEN '10.1093/x' || item_id WHEN 3 THEN 'https://community.x/' || item_id ELSE 'bad' END"
+DOI = "CASE item_id % 8 WHEN 0 THEN NULL WHEN 1 THEN ' 10.2307/' || item_id || ' ' WHEN 2 THEN '10.1093/x' || item_id WHEN 3 THEN 'https://community.x/' || item_id WHEN 4 THEN '10.2307/Community.' || item_id WHEN 5 THEN '10.2307/x' || item_id WHEN 6 THEN '  ' ELSE '10.12/abc' END"
 
 
-@query("p20_doi_bucket", f"WITH {CATALOGUE.strip()}, i AS (SELECT {DOI} AS doi FROM catalogue) SELECT CASE WHEN coalesce(doi, '') = '' THEN 'missing' WHEN regexp_matches(doi, 'community\\.') THEN 'community' WHEN regexp_matches(doi, '^10\\.2307/') THEN 'jstor_stable' WHEN regexp_matches(doi, '^10\\.\\d{{4,9}}/\\S+$') THEN 'publisher' ELSE 'malformed' END AS bucket, count(*) AS n FROM i GROUP BY 1")
+@query("p20_doi_bucket", f"""WITH {CATALOGUE.strip()}, i AS (SELECT {DOI} AS doi FROM catalogue) SELECT CASE WHEN coalesce(doi, '') = '' THEN 'missing' WHEN regexp_matches(trim(doi), '(?i)^10\\.2307/community\\.') THEN 'community' WHEN regexp_matches(trim(doi), '(?i)^10\\.2307/\\d+$') THEN 'jstor_stable'
+WHEN regexp_matches(trim(doi), '^10\\.\\d{{4,9}}/[-._;()/:A-Za-z0-9]+') THEN 'publisher' ELSE 'malformed' END AS bucket, count(*) AS n FROM i GROUP BY 1""")
 def p20(s, d):
-    k, t = c("item_id") % 5, c("item_id").cast("string")
-    doi = F.when(k == 1, F.concat(F.lit("10.2307/"), t)).when(k == 2, F.concat(F.lit("10.1093/x"), t)).when(k == 3, F.concat(F.lit("https://community.x/"), t)).when(k == 4, "bad")
+    k, t = c("item_id") % 8, c("item_id").cast("string")
+    doi = (
+        F.when(k == 1, F.concat(F.lit(" 10.2307/"), t, F.lit(" "))).when(k == 2, F.concat(F.lit("10.1093/x"), t)).when(k == 3, F.concat(F.lit("https://community.x/"), t))
+        .when(k == 4, F.concat(F.lit("10.2307/Community."), t)).when(k == 5, F.concat(F.lit("10.2307/x"), t)).when(k == 6, "  ").when(k == 7, "10.12/abc")
+    )
     return catalogue(s, d).groupBy(T.doi_bucket(doi).alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -158,7 +183,7 @@ def p22(s, d):
 @query("p23_out_of_canon", "SELECT work, count(*) FILTER (line NOT BETWEEN 1 AND m) AS stray FROM cit JOIN (SELECT p_brand, CAST(20 + max(p_size) % 20 AS INT) AS m FROM part GROUP BY p_brand) ON work = p_brand GROUP BY work")
 def p23(s, d):
     canon = table(s, d, "part").groupBy("p_brand").agg((20 + F.max("p_size") % 20).cast("int").alias("m"))
-    return citations(s, d).join(F.broadcast(canon), c("work") == c("p_brand")).groupBy("work").agg(F.count_if(~c("line").between(1, c("m"))).alias("stray"))
+    return citations(s, d).join(canon, c("work") == c("p_brand")).groupBy("work").agg(F.count_if(~c("line").between(1, c("m"))).alias("stray"))
 
 
 @query("p24_out_of_range", "SELECT ord FROM cit JOIN (SELECT DISTINCT p_brand, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS n FROM part) ON work = p_brand WHERE page NOT BETWEEN 100 + n AND 150")
@@ -186,19 +211,19 @@ def p26(s, d):
 # -- scalar functions ----------------------------------------------------------------------------
 
 
-@query("f01_flatten", "SELECT doc_id, trim(regexp_replace(substring(text, 1, 300), '\\s+', ' ', 'g')) AS flat FROM documents")
+@query("f01_flatten", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents")
 def f01(s, d):
-    return table(s, d, "documents").select("doc_id", T.flatten(F.substring("text", 1, 300)).alias("flat"))
+    return table(s, d, "documents").select("doc_id", T.flatten(c("text")).alias("flat"))
 
 
-@query("f02_strip_accents", "SELECT doc_id, strip_accents(substring(text, 1, 300)) AS plain FROM documents WHERE lang IN ('fr', 'es')")
+@query("f02_strip_accents", "SELECT doc_id, strip_accents(text) AS plain FROM documents")
 def f02(s, d):
-    return table(s, d, "documents").where("lang IN ('fr', 'es')").select("doc_id", T.strip_accents(F.substring("text", 1, 300)).alias("plain"))
+    return table(s, d, "documents").select("doc_id", T.strip_accents(c("text")).alias("plain"))
 
 
-@query("f03_normal", "SELECT doc_id, trim(rtrim(trim(lower(strip_accents(split_part(text, ' ', 3)))), '.')) AS word FROM documents WHERE lang <> 'de'")
+@query("f03_normal", "SELECT doc_id, trim(rtrim(trim(lower(strip_accents(text))), '.')) AS norm FROM documents")
 def f03(s, d):
-    return table(s, d, "documents").where("lang <> 'de'").select("doc_id", T.normal(F.coalesce(F.get(F.split("text", " "), F.lit(2)), F.lit(""))).alias("word"))
+    return table(s, d, "documents").select("doc_id", T.normal(c("text")).alias("norm"))
 
 
 @query("f04_parts", f"SELECT ord, page, section AS letter, CASE WHEN section IN ('a', 'b') THEN section END AS col, CASE WHEN section IN ('a', 'b') THEN line ELSE 0 END AS line FROM cit WHERE {CELL} <> ''")
@@ -294,27 +319,36 @@ def f19(s, d):
     return flags.select("work", T.shelf_system(c("b"), c("s"), F.when(c("h"), "homer")).alias("system"))
 
 
-@query("f20_candidate_list", "SELECT ord, work || ',' || doctype AS works FROM cit")
+@query("f20_candidate_list", "SELECT ord, CASE seq % 4 WHEN 0 THEN work || '|' || doctype || chr(39) || 's' WHEN 1 THEN '' ELSE work || '|' || doctype END AS works FROM cit")
 def f20(s, d):
-    prose = F.concat(F.lit("no name; candidates ['"), "work", F.lit("', '"), "doctype", F.lit("']"))
-    return citations(s, d).select("ord", F.array_join(F.regexp_extract_all(prose, F.lit("'([^']+)'"), F.lit(1)), ",").alias("works"))
+    """Names in both kinds of quotes; what is quoted outside the list is no candidate."""
+    single = F.concat(F.lit("'not this' named; candidates ['"), "work", F.lit("', '"), "doctype", F.lit("'] or 'that'"))
+    double = F.concat(F.lit("no decisive name; candidates ['"), "work", F.lit("', \""), "doctype", F.lit("'s\"]"))
+    prose = F.when(c("seq") % 4 == 0, double).when(c("seq") % 4 == 1, F.concat(F.lit("inherited '"), "work", F.lit("' but not in range"))).otherwise(single)
+    return citations(s, d).select("ord", F.array_join(T.candidate_names(prose), "|").alias("works"))
 
 
-@query("f21_confidence_band", "SELECT CASE WHEN conf >= 0.9 THEN '0.90+' WHEN conf >= 0.8 THEN '0.80-0.89' WHEN conf >= 0.6 THEN '0.60-0.79' WHEN conf >= 0.4 THEN '0.40-0.59' ELSE '<0.40' END AS band, count(*) AS n FROM cit GROUP BY 1")
+@query("f21_confidence_band", "SELECT CASE WHEN seq = 7 THEN 'n/a' WHEN x >= 0.9 THEN '0.90-1.00' WHEN x >= 0.7 THEN '0.70-0.89' WHEN x >= 0.5 THEN '0.50-0.69' WHEN x >= 0.3 THEN '0.30-0.49' ELSE '0.00-0.29' END AS band, count(*) AS n FROM (SELECT seq, line * 2 / 100.0::DOUBLE AS x FROM cit) GROUP BY 1")
 def f21(s, d):
-    return citations(s, d).groupBy(T.confidence_band(c("conf")).alias("band")).agg(F.count("*").alias("n"))
+    conf = F.when(c("seq") == 7, "none").otherwise((c("line") * 2 / 100.0).cast("string"))
+    return citations(s, d).groupBy(T.confidence_band(conf).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("f22_cue_parts", "SELECT ord, 'Il' AS cue, CASE WHEN seq % 2 = 0 THEN 'dot' ELSE 'blank' END AS sep FROM cit")
+@query("f22_cue_parts", "SELECT ord, CASE WHEN seq = 1 THEN '1 Cor' WHEN seq = 2 THEN NULL ELSE 'Il' END AS cue, CASE WHEN seq = 1 THEN NULL WHEN seq = 2 THEN NULL WHEN seq % 3 = 0 THEN 'dot' WHEN seq % 3 = 1 THEN 'comma' ELSE 'space' END AS sep FROM cit")
 def f22(s, d):
-    match = F.concat(F.lit("Il. 3"), F.when(c("seq") % 2 == 0, ".").otherwise(" "), c("line").cast("string"))
-    mark = F.regexp_extract(match, r"\d+([.,\s])", 1)
-    return citations(s, d).select("ord", F.regexp_extract(match, r"^([A-Za-z]+)", 1).alias("cue"), F.when(mark == ".", "dot").when(mark == ",", "comma").otherwise("blank").alias("sep"))
+    book, mark = F.when(c("line") % 2 == 0, "3").otherwise("IV"), F.when(c("seq") % 3 == 0, ".").when(c("seq") % 3 == 1, ", ").otherwise(" ")
+    match = F.when(c("seq") == 1, F.concat(F.lit("1 Cor 3:"), c("line").cast("string"))).when(c("seq") == 2, F.lit("327a")).otherwise(F.concat(F.lit("Il. "), book, mark, c("line").cast("string")))
+    return citations(s, d).select("ord", T.cue_of(match).alias("cue"), T.separator(match).alias("sep"))
 
 
-@query("f23_scope_decay", "SELECT ord, round(greatest(0.88::DOUBLE - 0.10::DOUBLE * least(line * 100 / 4000.0::DOUBLE, 1), 0), 3) AS conf FROM cit")
+@query("f23_scope_decay", "SELECT ord, CASE WHEN pages > 0 THEN pages * 100000 + chars ELSE chars END AS distance, round(greatest(0.88::DOUBLE - 0.15::DOUBLE * pages - 0.10::DOUBLE * least((CASE WHEN pages > 0 THEN pages * 100000 + chars ELSE chars END) / 4000.0::DOUBLE, 1), 0), 3) AS conf FROM (SELECT ord, CAST(seq % 3 AS BIGINT) AS pages, CAST(line * 160 AS BIGINT) AS chars FROM cit)")
 def f23(s, d):
-    return citations(s, d).select("ord", F.round(F.greatest(0.88 - 0.10 * F.least(c("line") * 100 / 4000.0, F.lit(1.0)), F.lit(0.0)), 3).alias("conf"))
+    from citeloom.operators import resolve
+
+    pages = (c("seq") % 3).cast("long")
+    rows = citations(s, d).select("ord", pages.alias("pages"), resolve.scope_distance(pages, (c("line") * 160).cast("long") + 7, F.when(pages == 0, 7).otherwise(0)).alias("far"))
+    distance = c("far") - F.when(c("pages") == 0, 0).otherwise(7)
+    return rows.select("ord", distance.alias("distance"), resolve.scope_confidence(c("pages"), distance).alias("conf"))
 
 
 @query("f24_formats", "SELECT work, format('{:,}', count(*)) AS thousands FROM cit GROUP BY work")
@@ -352,6 +386,19 @@ def f30(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
+@query(
+    "f31_nice_ticks",
+    """WITH n AS (SELECT work, max(line) * count(*) AS most FROM cit WHERE line > 0 GROUP BY work), r AS (SELECT work, most, most / 5.0::DOUBLE AS raw FROM n), m AS (SELECT *, pow(10, floor(log10(raw))) AS mag FROM r),
+    st AS (SELECT work, most, CASE WHEN raw / mag >= 5 THEN 5 WHEN raw / mag >= 2 THEN 2 ELSE 1 END * mag AS step FROM m),
+    k AS (SELECT *, CAST(floor(most * 1.0001::DOUBLE / step) AS BIGINT) AS n FROM st)
+    SELECT work, step, n + 1 + CASE WHEN n * step < most THEN 1 ELSE 0 END AS ticks, (n + CASE WHEN n * step < most THEN 1 ELSE 0 END) * step AS last FROM k""",
+)
+def f31(s, d):
+    n = citations(s, d).where("line > 0").groupBy("work").agg((F.max("line") * F.count("*")).alias("most"))
+    ticks = n.select("work", T.tick_step(c("most")).alias("step"), T.nice_ticks(c("most")).alias("t"))
+    return ticks.select("work", "step", F.size("t").cast("long").alias("ticks"), F.element_at("t", -1).alias("last"))
+
+
 @query("f32_bar_scale", "WITH n AS (SELECT work, count(*) FILTER (flag <> 'R') AS floor, count(*) FILTER (flag = 'R') AS u FROM cit GROUP BY work) SELECT work, round(floor / max(floor + u) OVER (), 8) AS bar FROM n")
 def f32(s, d):
     n = citations(s, d).groupBy("work").agg(F.count_if(c("flag") != "R").alias("floor"), F.count_if(c("flag") == "R").alias("u"))

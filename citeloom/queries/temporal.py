@@ -1,4 +1,4 @@
-"""Shift analysis. Observed parts are checked against SQL; null-dependent ones are rows-only."""
+"""Shift analysis. Observed parts are checked against SQL; null-dependent ones by tests, as statistics."""
 
 from __future__ import annotations
 
@@ -53,11 +53,11 @@ def x05(s, d):
     return temporal.permutation_q(units(s, d)).select("work", "unit", F.round("q", 8).alias("q"))
 
 
-@query("x06_z", "WITH n AS (SELECT work, page, count(*) AS n FROM cit GROUP BY ALL) SELECT work, round((max(n) - avg(n)) / nullif(stddev_pop(n), 0), 6) AS z, round(avg(n), 6) AS mean FROM n GROUP BY work")
+@query("x06_z")
 def x06(s, d):
-    n = citations(s, d).groupBy("work", "page").agg(F.count("*").alias("n"))
-    stats = n.groupBy("work").agg(F.max("n").alias("top"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"))
-    return stats.select("work", F.round(temporal.z_score(c("top"), c("mean"), c("sd")), 6).alias("z"), F.round("mean", 6).alias("mean"))
+    """The observed shape of each work against its null."""
+    out = temporal.shape_null(units(s, d))
+    return out.select("work", *(F.round(k, 6).alias(k) for k in ("spearman", "tvd", "rho_z", "tvd_z", "tvd_percentile")))
 
 
 FIXED_P = """t AS (SELECT work, unit, early, late, share_late - share_early AS delta, (1 + (early * 31 + late * 17) % 199) / 200.0::DOUBLE AS p FROM sh),
@@ -94,11 +94,31 @@ def x09(s, d):
     return temporal.concentration(parts).select("work", F.round("top1", 5).alias("top1"), F.round("top10", 5).alias("top10"), c("units").cast("long").alias("units"))
 
 
-@query("x10_verdict", "WITH n AS (SELECT work, page, count(*) AS n FROM cit GROUP BY ALL), z AS (SELECT work, (max(n) - avg(n)) / nullif(stddev_pop(n), 0) AS z FROM n GROUP BY work) SELECT work, CASE WHEN z >= 3 THEN 'REAL' WHEN z >= 1.5 THEN 'marginal' ELSE 'stable' END AS verdict FROM z")
+@query("x08_dispersion_null")
+def x08_null(s, d):
+    out = temporal.dispersion_null(units(s, d))
+    return out.select("work", "unit", *(F.round(k, 8).alias(k) for k in ("dispersion", "p", "z")))
+
+
+WORKS = "n AS (SELECT work, count(*) AS n, count(DISTINCT iid) AS articles, count(DISTINCT page) AS pages FROM cit GROUP BY work)"
+FIXED_Z = f"{WORKS}, z AS (SELECT work, n % 50 / 10.0::DOUBLE AS tvd_z, articles % 40 / 10.0::DOUBLE AS structure_z, articles % 150 AS n_articles, pages % 7 AS n_tested FROM n)"
+VERDICT = f"""{FIXED_Z}, v AS (SELECT *, CASE WHEN tvd_z >= 3 THEN 'REAL' WHEN tvd_z >= 1.5::DOUBLE THEN 'marginal' ELSE 'stable' END AS verdict FROM z),
+vv AS (SELECT *, verdict = 'stable' AND structure_z >= 3 AS two_bin_flat_only, verdict <> 'REAL' AND structure_z >= 3 AS two_bin_understates,
+  verdict = 'stable' AND n_articles >= 100 AND n_tested >= 3 AS stability_powered, abs(tvd_z - 1.5::DOUBLE) <= 1 OR abs(tvd_z - 3) <= 1 AS near_threshold FROM v)"""
+
+
+def fixed_z(s, d):
+    """Scores that depend on the counts of a work's rows, so that every verdict and flag is met."""
+    n = citations(s, d).groupBy("work").agg(F.count("*").alias("n"), F.countDistinct("iid").alias("articles"), F.countDistinct("page").alias("pages"))
+    return n.select("work", (c("n") % 50 / 10.0).alias("tvd_z"), (c("articles") % 40 / 10.0).alias("structure_z"), (c("articles") % 150).alias("n_articles"), (c("pages") % 7).alias("n_tested"))
+
+
+FLAGS = ("verdict", "two_bin_flat_only", "two_bin_understates", "stability_powered", "near_threshold")
+
+
+@query("x10_verdict", f"WITH {VERDICT} SELECT work, {', '.join(FLAGS)} FROM vv")
 def x10(s, d):
-    n = citations(s, d).groupBy("work", "page").agg(F.count("*").alias("n"))
-    z = n.groupBy("work").agg(temporal.z_score(F.max("n"), F.avg("n"), F.stddev_pop("n")).alias("z"))
-    return z.select("work", temporal.verdict(c("z")).alias("verdict"))
+    return temporal.verdicts(fixed_z(s, d)).select("work", *FLAGS)
 
 
 @query("x11_focus_page", "SELECT work, CAST(year AS INT) AS year, count(DISTINCT iid) AS articles FROM cit WHERE regexp_matches(page || section, '^10([^0-9]|$)') OR regexp_matches(page || section, '^110([^0-9]|$)') GROUP BY ALL")
@@ -122,18 +142,21 @@ def x12(s, d):
 @query("x13_journal_set", "SELECT work, count(*) AS n FROM cit WHERE journal IN ('NATION_1', 'NATION_4', 'NATION_9') GROUP BY work")
 def x13(s, d):
     chosen = s.createDataFrame([("NATION_1",), ("NATION_4",), ("NATION_9",)], "journal string")
-    return citations(s, d).join(F.broadcast(chosen), "journal", "left_semi").groupBy("work").agg(F.count("*").alias("n"))
+    return citations(s, d).join(chosen, "journal", "left_semi").groupBy("work").agg(F.count("*").alias("n"))
 
 
 @query(
     "x14_shape_code",
-    """WITH n AS (SELECT work, count(*) AS n, count(*) FILTER (flag = 'R') / count(*) AS r FROM cit GROUP BY work), v AS (SELECT work, n, CASE WHEN r >= 0.34::DOUBLE THEN 'REAL' WHEN r >= 0.33::DOUBLE THEN 'marginal' ELSE 'stable' END AS verdict, n % 2 = 0 AS named, n % 3 = 0 AS wide FROM n)
-    SELECT work, CASE WHEN n < 2000 THEN 't' WHEN verdict = 'stable' THEN 's' WHEN named AND wide THEN '1w' WHEN named THEN '1p' WHEN wide THEN 'rw' ELSE 'rp' END AS shape, verdict = 'marginal' AS hedged FROM v""",
+    f"""WITH {VERDICT}, k AS (SELECT *, n_articles % 3 AS solid, n_tested % 2 AS survivors FROM vv)
+    SELECT work, CASE verdict WHEN 'stable' THEN CASE WHEN two_bin_flat_only THEN CASE WHEN survivors >= 1 THEN 'rp' ELSE 'rw' END WHEN stability_powered THEN 's' ELSE 't' END
+      WHEN 'REAL' THEN CASE WHEN solid >= 1 THEN '1p' ELSE '1w' END
+      WHEN 'marginal' THEN CASE WHEN two_bin_understates THEN CASE WHEN survivors >= 1 THEN 'rp' ELSE 'rw' END WHEN solid >= 1 THEN '1p' ELSE '1w' END END AS shape,
+      verdict = 'marginal' AS hedged FROM k""",
 )
 def x14(s, d):
-    n = citations(s, d).groupBy("work").agg(F.count("*").alias("n"), (F.count_if(c("flag") == "R") / F.count("*")).alias("r"))
-    v = n.withColumn("verdict", F.when(c("r") >= 0.34, "REAL").when(c("r") >= 0.33, "marginal").otherwise("stable"))
-    return v.select("work", shapes.shape_code(c("verdict"), c("n") % 2 == 0, c("n") % 3 == 0, c("n") >= 2000).alias("shape"), (c("verdict") == "marginal").alias("hedged"))
+    v = temporal.verdicts(fixed_z(s, d)).withColumns({"solid": c("n_articles") % 3, "survivors": c("n_tested") % 2})
+    code = shapes.shape_code(*map(c, ("verdict", "two_bin_flat_only", "two_bin_understates", "stability_powered", "solid", "survivors")))
+    return v.select("work", code.alias("x")).select("work", "x.shape", "x.hedged")
 
 
 @query(
@@ -146,29 +169,59 @@ def x15(s, d):
     return rows.select("work", c("unit").cast("int").alias("page"), "total", F.get("slots", F.lit(10)).alias("s10"), F.get("slots", F.lit(11)).alias("s11"))
 
 
-@query("x16_default_grain", "SELECT work, CASE WHEN count(DISTINCT (page, section)) FILTER (line > 40) >= 150 THEN 'section' ELSE 'page' END AS grain FROM cit GROUP BY work")
+AUTHORED = "au AS (SELECT DISTINCT work, CASE n % 5 WHEN 0 THEN 'Pindar' WHEN 1 THEN 'Homer' WHEN 2 THEN 'Paul' ELSE 'Plato' END AS author, n % 2 = 0 AS faceted FROM (SELECT work, CAST(regexp_extract(work, '(\\d+)', 1) AS INT) AS n FROM cit))"
+GRAINS = "gr AS (SELECT work, CASE WHEN author IN ('Pindar', 'Homer', 'Paul') THEN ['book'] WHEN faceted THEN ['book', 'passage'] ELSE ['passage'] END AS grains FROM au)"
+
+
+def authored(s, d):
+    n = F.regexp_extract("work", r"(\d+)", 1).cast("int")
+    author = F.when(n % 5 == 0, "Pindar").when(n % 5 == 1, "Homer").when(n % 5 == 2, "Paul").otherwise("Plato")
+    return citations(s, d).select("work", author.alias("author"), (n % 2 == 0).alias("faceted")).distinct()
+
+
+@query(
+    "x16_default_grain",
+    f"""WITH {AUTHORED}, {GRAINS}, sets AS (SELECT *, 'all' AS jset FROM cit UNION ALL SELECT *, 'first' FROM cit WHERE journal < 'NATION_2'),
+    va AS (SELECT work, 'book' AS grain, jset, CASE WHEN count(DISTINCT (section, iid)) % 3 = 0 THEN 'rw' ELSE 't' END AS shape FROM sets GROUP BY work, jset
+      UNION ALL SELECT work, 'passage', jset, CASE WHEN count(DISTINCT (page, iid)) % 3 <> 0 THEN '1p' ELSE 't' END FROM sets GROUP BY work, jset),
+    t AS (SELECT * FROM va WHERE shape <> 't'), k AS (SELECT work, list(grain) FILTER (jset = 'all') AS can FROM t GROUP BY work)
+    SELECT gr.work, array_to_string(grains, ',') AS grains, coalesce(list_filter(grains, lambda g: list_contains(coalesce(can, []), g))[1], grains[1]) AS default_grain, k.work IS NULL AS never_testable FROM gr LEFT JOIN k USING (work)""",
+)
 def x16(s, d):
-    n = citations(s, d).groupBy("work").agg(F.countDistinct(F.when(c("line") > 40, F.struct("page", "section"))).alias("n"))
-    return n.select("work", F.when(c("n") >= 150, "section").otherwise("page").alias("grain"))
+    rows = citations(s, d)
+    sets = rows.withColumn("jset", F.lit("all")).unionByName(rows.where("journal < 'NATION_2'").withColumn("jset", F.lit("first")))
+    n = sets.groupBy("work", "jset").agg(F.countDistinct("section", "iid").alias("book"), F.countDistinct("page", "iid").alias("passage"))
+    book = n.select("work", F.lit("book").alias("grain"), "jset", F.when(c("book") % 3 == 0, "rw").otherwise("t").alias("shape"))
+    passage = n.select("work", F.lit("passage").alias("grain"), "jset", F.when(c("passage") % 3 != 0, "1p").otherwise("t").alias("shape"))
+    return shapes.default_grain(authored(s, d), book.unionByName(passage)).withColumn("grains", F.array_join("grains", ","))
 
 
-@query("x17_grain_policy", "SELECT work, grain FROM (SELECT DISTINCT work, CASE WHEN CAST(regexp_extract(work, '(\\d+)', 1) AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS author FROM cit) JOIN (VALUES ('even', 'page'), ('even', 'column'), ('odd', 'section')) g(author, grain) USING (author)")
+@query("x17_grain_policy", f"WITH {AUTHORED}, {GRAINS} SELECT work, unnest(grains) AS grain FROM gr")
 def x17(s, d):
-    policy = s.createDataFrame([("even", "page"), ("even", "column"), ("odd", "section")], "author string, grain string")
-    even = F.regexp_extract("work", r"(\d+)", 1).cast("int") % 2 == 0
-    return citations(s, d).select("work", F.when(even, "even").otherwise("odd").alias("author")).distinct().join(F.broadcast(policy), "author").select("work", "grain")
+    return authored(s, d).select("work", F.explode(shapes.grains(c("author"), c("faceted"))).alias("grain"))
 
 
-@query("x18_structure", "WITH n AS (SELECT work, count(*) FILTER (section = 'a') / count(*) AS a, count(*) FILTER (flag = 'R') / count(*) AS r FROM cit GROUP BY work) SELECT work, CASE WHEN r * 5 < 1.5::DOUBLE THEN 'weak' WHEN a >= 0.3::DOUBLE THEN 'hero' WHEN a * 3 >= 0.5::DOUBLE THEN 'both' ELSE 'diffuse' END AS structure FROM n")
+@query(
+    "x18_structure",
+    f"""WITH {WORKS}, k AS (SELECT work, n % 3 AS n_fdr, articles % 100 / 100.0::DOUBLE AS top5, articles % 20 AS half, pages AS n_tested FROM n)
+    SELECT work, CASE WHEN n_fdr >= 1 AND top5 >= 0.40::DOUBLE THEN 'hero' WHEN n_fdr = 0 AND half >= greatest(8, 0.15::DOUBLE * n_tested) THEN 'diffuse' WHEN n_fdr >= 1 THEN 'both' ELSE 'weak' END AS structure FROM k""",
+)
 def x18(s, d):
-    n = citations(s, d).groupBy("work").agg((F.count_if(c("section") == "a") / F.count("*")).alias("a"), (F.count_if(c("flag") == "R") / F.count("*")).alias("r"))
-    return n.select("work", temporal.structure(c("a"), c("a") * 3, c("r") * 5).alias("structure"))
+    n = citations(s, d).groupBy("work").agg(F.count("*").alias("n"), F.countDistinct("iid").alias("articles"), F.countDistinct("page").alias("pages"))
+    return n.select("work", temporal.structure(c("n") % 3, c("articles") % 100 / 100.0, c("articles") % 20, c("pages")).alias("structure"))
 
 
-@query("x19_collision_pattern", "WITH n AS (SELECT journal, count(*) FILTER (doctype = 'PROMO') / count(*) AS p FROM cit GROUP BY journal) SELECT journal, CASE WHEN p >= 0.18::DOUBLE THEN 'A' WHEN p <= 0.15::DOUBLE THEN 'B' ELSE 'mixed' END AS pattern FROM n")
+@query(
+    "x19_collision_pattern",
+    r"""WITH x AS (SELECT work, journal, count(*) AS n FROM cit WHERE CAST(regexp_extract(journal, '(\d+)', 1) AS INT) % 9 < CAST(regexp_extract(work, '(\d+)', 1) AS INT) % 7 GROUP BY ALL),
+    k AS (SELECT work, count(*) AS nj, max(n) / sum(n) AS top FROM x GROUP BY work)
+    SELECT work, CASE WHEN nj <= 3 THEN 'B' WHEN top < 0.35::DOUBLE AND nj >= 5 THEN 'A' ELSE 'mixed' END AS pattern FROM k""",
+)
 def x19(s, d):
-    n = citations(s, d).groupBy("journal").agg((F.count_if(c("doctype") == "PROMO") / F.count("*")).alias("p"))
-    return n.select("journal", F.when(c("p") >= 0.18, "A").when(c("p") <= 0.15, "B").otherwise("mixed").alias("pattern"))
+    number = lambda k: F.regexp_extract(k, r"(\d+)", 1).cast("int")
+    n = citations(s, d).where(number("journal") % 9 < number("work") % 7).groupBy("work", "journal").agg(F.count("*").alias("n"))
+    spread = n.groupBy("work").agg(F.count("*").alias("nj"), (F.max("n") / F.sum("n")).alias("top"))
+    return spread.select("work", temporal.collision_pattern(c("nj"), c("top")).alias("pattern"))
 
 
 @query("v07_parts_sum", f"{DISPERSION}, ws AS (SELECT work, (0.5::DOUBLE * sum(abs(s0 - s1)) + 0.5::DOUBLE * sum(abs(s0 - s2)) + 0.5::DOUBLE * sum(abs(s1 - s2))) / 3 AS whole FROM ps GROUP BY work) SELECT work, round(whole, 6) AS whole FROM ws")

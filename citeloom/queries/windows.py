@@ -170,12 +170,20 @@ def t11(s, d):
     return citations(s, d).groupBy("work").agg(F.count_if(c("flag") == "R").alias("missing")).orderBy(F.desc("missing"), "work")
 
 
-MATCHES = "list_transform(range(1, 6), lambda i: (line * i * 7 % 60, line * i * 7 % 60 + 3 + (line + i) % 9))"
+SPANS = "list_transform(range(1, 6), lambda i: {'s': CAST(line * i * 7 % 60 AS BIGINT), 'e': CAST(line * i * 7 % 60 + 3 + (line + i) % 9 AS BIGINT)})"
 
 
-@query("w08_longest_wins")
+@query(
+    "w08_longest_wins",
+    f"""WITH RECURSIVE m AS (SELECT ord, unnest({SPANS}) AS m FROM cit),
+    o AS (SELECT ord, m.s AS s, m.e AS e, row_number() OVER (PARTITION BY ord ORDER BY m.s, m.e DESC) AS k FROM m),
+    sweep AS (SELECT ord, k, e AS last, s || '-' || e AS kept FROM o WHERE k = 1
+      UNION ALL SELECT o.ord, o.k, CASE WHEN s >= last THEN e ELSE last END, kept || CASE WHEN s >= last THEN ' ' || s || '-' || e ELSE '' END FROM sweep JOIN o ON o.ord = sweep.ord AND o.k = sweep.k + 1)
+    SELECT ord, kept FROM sweep WHERE k = 5""",
+)
 def w08(s, d):
-    """Five spans for each of the first rows of a work; overlapping ones resolved."""
+    """Five spans for each row; overlapping ones resolved."""
     span = lambda i: F.struct((c("line") * i * 7 % 60).alias("start"), (c("line") * i * 7 % 60 + 3 + (c("line") + i) % 9).alias("end"))
     rows = citations(s, d).select("ord", F.array(*(span(i) for i in range(1, 6))).alias("m"))
-    return rows.select("ord", F.transform(win.longest_wins(c("m")), lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))).alias("kept"))
+    text = F.transform(win.longest_wins(c("m")), lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    return rows.select("ord", F.array_join(text, " ").alias("kept"))

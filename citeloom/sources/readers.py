@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.functions.text import or_unknown, year_token
+from citeloom.sources.files import first_bytes
 
 DELIVERY = T.StructType([T.StructField("iid", T.StringType()), T.StructField("full_text", T.ArrayType(T.StringType())), T.StructField("references", T.ArrayType(T.StringType()))])
 CATALOGUE = T.StructType(
@@ -18,12 +19,6 @@ CORRUPT = "_corrupt_record"
 WIDE = {"maxCharsPerColumn": "-1"}
 
 
-def first_bytes(spark: SparkSession, path: str, n: int = 2) -> bytes:
-    """The first bytes of a file, through Spark, so that any store will do."""
-    files = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("head")).limit(1).collect()
-    return bytes(files[0].head) if files else b""
-
-
 def is_gzip(spark: SparkSession, path: str) -> bool:
     return first_bytes(spark, path) == b"\x1f\x8b"
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import safe_name
 from citeloom.plans.published import check_published
+from citeloom.sources.files import exists
 
 
 def raw_tsv(rows: DataFrame, path: str) -> None:
@@ -20,6 +21,19 @@ def routed(rows: DataFrame, path: str, by: str = "disposition") -> None:
     rows.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def routes(spark: SparkSession, path: str, schema: str, by: str = "disposition") -> DataFrame:
+    """The routed tables as one, with the route as a column."""
+    return spark.read.schema(f"{schema}, {by} string").parquet(path)
+
+
+def passthrough(spark: SparkSession, source: str, target: str) -> bool:
+    """Copy JSON documents as they are, one a line; False where there is no source, which is no error."""
+    if not exists(spark, source):
+        return False
+    spark.read.text(source, wholetext=True).write.mode("overwrite").text(target)
+    return True
+
+
 def documents(rows: DataFrame, key: str, sort: list[str]) -> DataFrame:
     """key, file, json: one nested document for each key, its rows in a fixed order."""
     check_published(rows)

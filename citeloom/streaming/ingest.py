@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from citeloom.operators.extract import extract
+from citeloom.sources.files import exists
 from citeloom.sources.writers import not_done
 
 
 def _written(spark: SparkSession, path: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.parquet(path) if there else None
+    return spark.read.parquet(path) if exists(spark, path) else None
 
 
 def ingest(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str, files_a_batch: int = 100) -> None:
