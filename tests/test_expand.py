@@ -70,4 +70,8 @@ def test_scalars(spark):
     assert value(T.normal(F.lit(" Ménon.. "))) == "menon"
     assert value(T.flatten(F.lit("a  b\n c "))) == "a b c"
     assert value(T.year_token(F.lit("c-1998-05"))) == "1998" and value(T.year_token(F.lit("n.d."))) == "n.d." and value(T.year_token(F.lit(""))) == "?"
-    assert [T.nice_step(x) for x in (10, 37, 400, 0.4)] == [2, 10, 100, 0.1]
+    assert [value(T.tick_step(F.lit(x))) for x in (10.0, 15.0, 37.0, 400.0, 0.4)] == pytest.approx([2, 2, 5, 50, 0.05]) and value(T.tick_step(F.lit(0.0))) is None
+    assert value(T.nice_ticks(F.lit(23.0))) == [0, 2, 4, 6, 8, 10, 12, 14, 16, 18, 20, 22, 24] and value(T.nice_ticks(F.lit(10.0))) == [0, 2, 4, 6, 8, 10]
+    assert [value(T.cue_of(F.lit(x))) for x in ("1 Cor 3:4", "Od. IV 1", " Il 1.2", "327a")] == ["1 Cor", "Od", "Il", None]
+    assert [value(T.separator(F.lit(x))) for x in ("Od. IV 1", "Il. 1.2", "Il 1, 5", "Rom 3:4")] == ["space", "dot", "comma", None]
+    assert value(T.candidate_names(F.lit("named ['x'] not in candidates  ['A b', \"O'C\"] 'y'"))) == ["A b", "O'C"]

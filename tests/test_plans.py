@@ -31,6 +31,28 @@ def test_scans_read_what_is_asked(spark):
     assert "EqualTo(p_brand,Brand#7)" in plan(spark, "s13_work_scan")
 
 
+def optimized(spark, name):
+    return QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decisions_are_made_once(spark):
+    """A filter on a field of a decision copies none of it; a resolved row is built once and never joined back."""
+    assert optimized(spark, "d04_unique").count("regexp_extract") <= 12
+    text = optimized(spark, "d08_scope")
+    assert text.count("Relation [l_") <= 3 and text.count("Join ") <= 20
+
+
+def test_patterns_run_once(spark):
+    text = optimized(spark, "g01_find_all")
+    assert text.count("regexp_extract_all") == 0 and text.count("regexp_replace") <= 8
+
+
+@pytest.mark.parametrize("name", ["x04_permutation_null", "x08_dispersion_null"])
+def test_nulls_are_dealt_by_chunk(spark, name):
+    text = plan(spark, name)
+    assert "work#" in text and "chunk#" in text and "NestedLoop" not in text
+
+
 def test_pre_aggregation(spark):
     text = plan(spark, "a01_count")
     assert "partial_count" in text

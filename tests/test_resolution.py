@@ -41,7 +41,8 @@ EXCLUDED = [
     ("", "327a", "in 327a", "ambiguous", "?", "excluded_doctype"),
     ("", "327a", "in 327a", "ambiguous", "", None),
     ("", "327a", "in 327a", "ambiguous", "discussion", None),
-    ("", "Il. 1.1", "misc Il. 1.1", "homer", "misc", None),
+    ("", "Il. 1.1", "misc Il. 1.1", "homer", "misc", "excluded_doctype"),
+    ("", "Il. 1.1", "in 12.Il. 1.1 DK", "homer", "", None),
 ]
 
 
