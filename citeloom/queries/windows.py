@@ -175,10 +175,10 @@ SPANS = "list_transform(range(1, 6), lambda i: {'s': CAST(line * i * 7 % 60 AS B
 
 @query(
     "w08_longest_wins",
-    f"""WITH RECURSIVE m AS (SELECT ord, unnest({SPANS}) AS m FROM cit),
-    o AS (SELECT ord, m.s AS s, m.e AS e, row_number() OVER (PARTITION BY ord ORDER BY m.s, m.e DESC) AS k FROM m),
-    sweep AS (SELECT ord, k, e AS last, s || '-' || e AS kept FROM o WHERE k = 1
-      UNION ALL SELECT o.ord, o.k, CASE WHEN s >= last THEN e ELSE last END, kept || CASE WHEN s >= last THEN ' ' || s || '-' || e ELSE '' END FROM sweep JOIN o ON o.ord = sweep.ord AND o.k = sweep.k + 1)
+    f"""WITH RECURSIVE m AS (SELECT rid, ord, unnest({SPANS}) AS m FROM (SELECT *, row_number() OVER () AS rid FROM cit)),
+    o AS (SELECT rid, ord, m.s AS s, m.e AS e, row_number() OVER (PARTITION BY rid ORDER BY m.s, m.e DESC) AS k FROM m),
+    sweep AS (SELECT rid, ord, k, e AS last, s || '-' || e AS kept FROM o WHERE k = 1
+      UNION ALL SELECT o.rid, o.ord, o.k, CASE WHEN s >= last THEN e ELSE last END, kept || CASE WHEN s >= last THEN ' ' || s || '-' || e ELSE '' END FROM sweep JOIN o ON o.rid = sweep.rid AND o.k = sweep.k + 1)
     SELECT ord, kept FROM sweep WHERE k = 5""",
 )
 def w08(s, d):
