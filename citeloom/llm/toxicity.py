@@ -2,7 +2,7 @@
 
 Features: densities of a lexicon of words and word beginnings, how near a second person such a word
 stands, capitals, punctuation, obfuscation. The lexicon is learned from the labelled training rows
-alone: nothing in it was chosen by hand. Lexicon and trees are fitted on at most ``SAMPLE_ROWS``
+alone. Lexicon and trees are fitted on at most ``SAMPLE_ROWS``
 labelled documents, picked by a hash of the id, with at most as many lexicon entries; a training row's
 own label is left out of the lexicon that its features use. Every text is then scored whole, without
 shuffle.

@@ -292,7 +292,7 @@ def test_toxicity_of_repeated_rows(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    """Trained and judged on the tables: the held-out fold is read here for the first time."""
+    """Trained on the tables' training rows, judged on their held-out ones; nothing is chosen by the result."""
     sf = "/root/testdata/sf0.1"
     docs, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     held = toxicity.score(docs, toxicity.train(docs, lab)).where("held_out").join(lab, "doc_id").select("predicted", "toxic").collect()
