@@ -70,6 +70,7 @@ class Encoder:
         low = "".join(map(chr, range(0x20, 0x250)))
         shown = "".join(x for x, _ in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(low))
         self.letters = {b: c for b, c in zip(low.encode(), shown, strict=True)}
+        self.space = self.letters[ord(" ")]
         self.tokenize = self.model.model.tokenize
         self.code = "H" if self.kind.itemsize == 2 else "I"
 
@@ -78,7 +79,8 @@ class Encoder:
 
     def _letters(self, word: str) -> bytes:
         """The ids of Latin letters, perhaps after one space: the pre-tokenizer leaves them whole."""
-        return array(self.code, [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        shown = word.replace(" ", self.space) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
 
     def _lines(self, words: list[str]) -> list[bytes]:
         """The ids of each word; no word holds white space but a leading space."""
@@ -104,7 +106,9 @@ class Encoder:
                 core, tail = p[:-1], marks[mark]
             if core[:1] == "\n":
                 core, head = core[1:], self.line
-            if core.isalpha() and max(core) < "\u0250":
+            if tail and not head and (ids := known.get(core)) is not None:
+                known[p] = ids + tail
+            elif core.isalpha() and (core.isascii() or max(core) < "\u0250"):
                 known[p] = head + self._letters(core if head else " " + core) + tail
             elif core.split() == [core]:
                 others.append((p, core if head else " " + core, head, tail))
