@@ -53,7 +53,11 @@ def j03(s, d):
     return citations(s, d).select("iid").distinct().join(built(s, d), "iid", "left_anti")
 
 
-@query("j04_range_candidates", f'WITH {SPANS} SELECT ord, array_to_string(list(s.work ORDER BY s.work), \',\') AS candidates FROM cit JOIN spans s ON page BETWEEN s.start AND s."end" GROUP BY ord')
+#: The rows one by one: two may share an ``ord``.
+ROWS = "(SELECT *, row_number() OVER () AS rn FROM cit) cit"
+
+
+@query("j04_range_candidates", f'WITH {SPANS} SELECT ord, array_to_string(list(s.work ORDER BY s.work), \',\') AS candidates FROM {ROWS} JOIN spans s ON page BETWEEN s.start AND s."end" GROUP BY rn, ord')
 def j04(s, d):
     pages = ranges.page_works(spans(s, d))
     return citations(s, d).select("ord", "page").join(pages, "page").select("ord", F.array_join("works", ",").alias("candidates"))
@@ -103,7 +107,7 @@ def j08(s, d):
     return grams.join(forms, "form").select("k", "work").distinct()
 
 
-@query("j10_named_candidates", f'WITH {SPANS}, k AS (SELECT ord, list(s.work) AS cand, any_value(cit.work) AS named FROM cit JOIN spans s ON page BETWEEN s.start AND s."end" GROUP BY ord) SELECT ord, len(list_filter(cand, lambda x: x = named)) AS hits FROM k')
+@query("j10_named_candidates", f'WITH {SPANS}, k AS (SELECT ord, list(s.work) AS cand, any_value(cit.work) AS named FROM {ROWS} JOIN spans s ON page BETWEEN s.start AND s."end" GROUP BY rn, ord) SELECT ord, len(list_filter(cand, lambda x: x = named)) AS hits FROM k')
 def j10(s, d):
     rows = citations(s, d).select("ord", "page", "work").join(ranges.page_works(spans(s, d)), "page")
     return rows.select("ord", F.size(F.array_intersect("works", F.array("work"))).cast("long").alias("hits"))
@@ -249,7 +253,7 @@ def u03(s, d):
     return pooled.groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("u04_candidate_union", f'WITH {SPANS} SELECT ord, count(DISTINCT s.work) AS n FROM cit JOIN spans s ON page BETWEEN s.start AND s."end" GROUP BY ord')
+@query("u04_candidate_union", f'WITH {SPANS} SELECT ord, count(DISTINCT s.work) AS n FROM {ROWS} JOIN spans s ON page BETWEEN s.start AND s."end" GROUP BY rn, ord')
 def u04(s, d):
     sp = spans(s, d)
     of = lambda system: ranges.page_works(sp.where(c("system") == system)).withColumnRenamed("works", system)
