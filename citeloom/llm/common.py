@@ -5,11 +5,13 @@ Nothing outside ``citeloom.llm`` imports this package.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import threading
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,19 @@ def size_of(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
+def tidy(go):
+    """``go`` for mapInArrow; after a task's last batch its worker gives back the memory that it has no more
+    use for, since workers live on from stage to stage beside those of the next operator."""
+
+    def run(batches):
+        yield from go(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 _lock, _inside, _before = threading.Lock(), 0, None
 
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.common import tidy
 from citeloom.llm.shingles import chunked, flat_shingles, flat_words, mixed
 
 WIDTH = 5
@@ -157,7 +158,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
             index = shared.value
             for batch in batches:
                 ids, rows = batch.column(0), []
-                for start, texts in chunked(batch.column(1).to_pylist()):
+                for start, texts in chunked(x.as_py() for x in batch.column(1)):
                     rows += [(start + d, *x) for d, *x in search(index, texts, threshold)]
                 if rows:
                     at, item, size, n = (np.array(c, np.int64) for c in zip(*rows, strict=True))
@@ -167,7 +168,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
                     )
 
         batch_type = _arrow(items.schema["item_id"])
-        part = columns.mapInArrow(scan, schema)
+        part = columns.mapInArrow(tidy(scan), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -182,12 +183,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
         def scan(batches, shared=shared):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for start, texts in chunked(batch.column(place).to_pylist()):
+                for start, texts in chunked(x.as_py() for x in batch.column(place)):
                     for d, *_ in search(shared.value, texts, threshold):
                         keep[start + d] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(scan, docs.schema)
+        docs = docs.mapInArrow(tidy(scan), docs.schema)
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

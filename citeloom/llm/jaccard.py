@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import dropped, stored, text_of
+from citeloom.llm.common import dropped, stored, text_of, tidy
 from citeloom.llm.components import components, tree_edges
 from citeloom.llm.shingles import chunked, distinct, flat_shingles, flat_words, mixed
 
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
                 names=["doc_id", "key", "node", "size", "sketch", "picks", "deep"],
             )
 
-    return stored(rows.mapInArrow(sign, "doc_id long, key binary, node long, size int, sketch binary, picks binary, deep binary"), "join-signatures")
+    return stored(rows.mapInArrow(tidy(sign), "doc_id long, key binary, node long, size int, sketch binary, picks binary, deep binary"), "join-signatures")
 
 
 ROW = "path long, run int, node long, size int, sketch binary"
@@ -219,7 +219,7 @@ def _block_pairs(rows: DataFrame, count: str, size: int, by: str) -> DataFrame:
 
 def candidates(classes: DataFrame, threshold: float, runs: int) -> tuple[DataFrame, list[DataFrame]]:
     """Edges (a, b) between classes that can be alike: forests of each bucket's pairs. And the steps they are in."""
-    rows = classes.where("size > 0").select("node", "size", "sketch", "picks").mapInArrow(_first_paths, ROW)
+    rows = classes.where("size > 0").select("node", "size", "sketch", "picks").mapInArrow(tidy(_first_paths), ROW)
     found, above = [], None
     for level in range(len(DEEP) + 1):
         counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
@@ -228,16 +228,16 @@ def candidates(classes: DataFrame, threshold: float, runs: int) -> tuple[DataFra
             dropped(above)
         above = rows
         small = rows.where(F.col("n") <= SMALL).repartition("path").sortWithinPartitions("path")
-        found.append(stored(small.select("path", "node", "size", "sketch").mapInArrow(_candidate_edges(threshold, 1), "a long, b long"), "join-edges"))
+        found.append(stored(small.select("path", "node", "size", "sketch").mapInArrow(tidy(_candidate_edges(threshold, 1)), "a long, b long"), "join-edges"))
         large = rows.where(F.col("n") > SMALL)
         if not large.limit(1).count():
             break
         if level < len(DEEP):
             deep = large.join(classes.select("node", "deep"), "node").select("path", "run", "node", "size", "sketch", "deep")
-            rows = deep.mapInArrow(_deeper(level, runs), ROW)
+            rows = deep.mapInArrow(tidy(_deeper(level, runs)), ROW)
         else:
             dealt = _block_pairs(large.drop("run"), "n", SMALL // 2, "path").repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi")
-            found.append(stored(dealt.mapInArrow(_candidate_edges(threshold, 3), "a long, b long"), "join-edges"))
+            found.append(stored(dealt.mapInArrow(tidy(_candidate_edges(threshold, 3)), "a long, b long"), "join-edges"))
     dropped(above)
     out = found[0]
     for x in found[1:]:
@@ -367,10 +367,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     wanted = F.expr("doc_id <=> rep") & (F.unhex(F.md5("text")) == F.col("key"))
     rows = texts.join(_placed(members), wanted).select("label", "block", "others", "node", "text")
-    sets = rows.mapInArrow(_sets, "label long, block long, others array<long>, node long, set binary").withColumn("other", F.explode("others"))
+    sets = rows.mapInArrow(tidy(_sets), "label long, block long, others array<long>, node long, set binary").withColumn("other", F.explode("others"))
     dealt = sets.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "set")
     dealt = dealt.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
-    links = stored(dealt.mapInArrow(_links(threshold), "node long, other long, n long"), "join-links")
+    links = stored(dealt.mapInArrow(tidy(_links(threshold)), "node long, other long, n long"), "join-links")
 
     degree = links.where("other is null").groupBy("node").agg(F.sum("n").alias("n_links"))
     groups = components(links.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
