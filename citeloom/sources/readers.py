@@ -63,6 +63,14 @@ def tsv_padded(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return rows.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns))
 
 
+def long_fields(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """key, chars: the length of each key's whole field, over all lines that continue it; null if it has no text."""
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("n", T.LongType()), T.StructField("text", T.StringType())])
+    rows = spark.read.schema(schema).options(sep="\t", header=False, quote="", nullValue="\\N", **WIDE).csv(path)
+    some = F.when(F.col("n") > 0, F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1)  # with the blank after it
+    return rows.groupBy(key).agg((F.sum(some) - 1).alias("chars"))
+
+
 def id_list(lines: DataFrame) -> DataFrame:
     """iid: trimmed, blanks dropped, distinct. Takes lines in a column ``value``."""
     return lines.select(F.trim("value").alias("iid")).where(F.col("iid") != "").distinct()

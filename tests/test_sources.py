@@ -47,6 +47,15 @@ def test_tsv(spark, files):
     assert sorted(r.value for r in spark.read.text(f"{files}/out").collect()) == ['"q\tx y', "a b\t"]
 
 
+def test_long_field_takes_many_rows(spark, tmp_path):
+    """A key's texts are one field over lines of a few texts each; nulls and empty texts among them."""
+    rows = [("en", f"t\t{i}\n") for i in range(1000)] + [("en", None), ("de", ""), ("de", ""), (None, "abc"), ("fr", None)]
+    writers.long_fields(spark.createDataFrame(rows, "lang string, text string").repartition(3), "lang", "text", f"{tmp_path}/long", 10)
+    got = {r.lang: r.chars for r in readers.long_fields(spark, f"{tmp_path}/long", "lang").collect()}
+    assert got == {"en": len(" ".join(t for k, t in rows[:1000])), "de": 1, None: 3, "fr": None}
+    assert max(len(r.value) for r in spark.read.text(f"{tmp_path}/long").collect()) < 100
+
+
 def test_walk(spark):
     df = spark.createDataFrame([("1", '{"a": {"doi": "10.1/x"}, "b": [1, {"c": "10.1234/y"}]}'), ("2", "bad")], "iid string, j string")
     got = sorted((r.path, r.value) for r in readers.key_walk(df, "j").where("path <> ''").collect())
