@@ -56,11 +56,11 @@ def g02(s, d):
 
 @query("g03_long_pages", "SELECT work, count(*) AS n, CAST(sum(length(page || 'a1 ') + 100) AS BIGINT) AS chars FROM cit GROUP BY work")
 def g03(s, d):
-    """Pages of any length are matched whole: all rows of a work on one long page."""
+    """Pages of any length are matched whole: all rows of a work on one long page, which comes in pieces."""
     text = F.concat(c("page").cast("string"), F.lit("a1 "), F.repeat(F.lit("word "), 20))
-    long = citations(s, d).groupBy(c("work").alias("iid")).agg(F.array(F.array_join(F.collect_list(text), "")).alias("full_text"))
-    found = extract.extract(long).groupBy("iid").agg(F.count("*").alias("n"), F.max("char_offset").alias("last"))
-    size = long.select("iid", F.char_length(F.get("full_text", F.lit(0))).cast("long").alias("chars"))
+    long = citations(s, d).select(c("work").alias("iid"), F.lit(0).alias("page_index"), F.struct("ord", "page").alias("piece"), text.alias("text"))
+    found = extract.extract_pieces(long).groupBy("iid").agg(F.count("*").alias("n"), F.max("char_offset").alias("last"))
+    size = long.groupBy("iid").agg(F.sum(F.char_length("text")).alias("chars"))
     return found.join(size, "iid").where("last < chars").select(c("iid").alias("work"), "n", "chars")
 
 

@@ -21,6 +21,31 @@ PAGES = [
 ]
 
 
+def test_long_pages_in_pieces(spark):
+    """Pieces of a page, cut anywhere, give what the whole page gives; no segment grows with the page."""
+    import random
+
+    rng = random.Random(5)
+    bits = ["327a ", "620a-622c", "1094b12 ", "Iliad 3.", "12-15 ", "Iliad", " XX", " ", "word ", "so ", "2 Cor", " 3:16, ", "Ol. ", "1.5", "II ", "é ", "𝒳 ", "\n", "food ", "\x01", "980a15"]
+    pages, pieces = [], []
+    for i in range(40):
+        text = "".join(rng.choice(bits) for _ in range(600))
+        if i % 4 == 0:
+            text = text[:300] + "327a," * 300 + text[300:]  # no safe cut for many blocks
+        pages.append((f"a{i % 7}", i // 7, text))
+        at = k = 0
+        while at < len(text):
+            n = rng.choice([1, 7, 60, 900])
+            pieces.append((f"a{i % 7}", i // 7, k, text[at : at + n]))
+            at, k = at + n, k + 1
+    rng.shuffle(pieces)
+    whole = [(k, [t for a, _, t in sorted(pages) if a == k]) for k in sorted({p[0] for p in pages})]
+    names = ["iid", "page_index", "char_offset", "seq", "corpus", "match", "context"]
+    want = extract.extract(spark.createDataFrame(whole, "iid string, full_text array<string>")).select(*names).collect()
+    got = extract.extract_pieces(spark.createDataFrame(pieces, "iid string, page_index int, piece int, text string"), 200).select(*names).collect()
+    assert len(want) > 2000 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_extraction(spark):
     rows = [(f"a{i:02d}", [None, text]) for i, (text, _) in enumerate(PAGES)]
     got = extract.extract(spark.createDataFrame(rows, "iid string, full_text array<string>")).orderBy("iid", "seq").collect()
