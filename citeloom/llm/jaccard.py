@@ -155,22 +155,25 @@ def _deeper(level: int, runs: int):
     return go
 
 
-def _groups(batches, keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """Consecutive rows that agree in the first ``keys`` columns."""
-    held, now = [], None
+def _groups(batches, keys: int, least: int = 1) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows that agree in the first ``keys`` columns, ``least`` of them or more."""
+    held, now, n = [], None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1)
-        cuts = [0, *(np.flatnonzero((cols[1:] != cols[:-1]).any(1)) + 1).tolist(), len(cols)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
+        cuts = np.concatenate([[0], np.flatnonzero((cols[1:] != cols[:-1]).any(1)) + 1, [len(cols)]])
+        ends = np.diff(cuts) >= least
+        ends[[0, -1]] = True  # these may go on in the batches before and after
+        for a, b in zip(cuts[:-1][ends].tolist(), cuts[1:][ends].tolist(), strict=True):
             k = tuple(cols[a].tolist())
             if now is not None and k != now:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = k
+                if n >= least:
+                    yield now, pa.Table.from_batches(held)
+                held, n = [], 0
+            now, n = k, n + b - a
             held.append(batch.slice(a, b - a))
-    if now is not None:
+    if now is not None and n >= least:
         yield now, pa.Table.from_batches(held)
 
 
@@ -184,7 +187,7 @@ EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _candidate_edges(threshold: float, keys: int):
     def find(batches):
         a, b = [], []
-        for key, table in _groups(batches, keys):
+        for key, table in _groups(batches, keys, least=2):
             node, size, sk = table.column("node").to_numpy(), table.column("size").to_numpy(), _sketches(table)
             node, first = np.unique(node, return_index=True)
             size, sk, label = size[first], sk[first], np.arange(len(node))
@@ -218,27 +221,32 @@ def _block_pairs(rows: DataFrame, count: str, size: int, by: str) -> DataFrame:
 
 
 def candidates(classes: DataFrame, threshold: float, runs: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Edges (a, b) between classes that can be alike: forests of each bucket's pairs. And the steps they are in."""
+    """Edges (a, b) between classes that can be alike: forests of each bucket's pairs. And the steps they are in.
+
+    Only the paths of large buckets are told apart beforehand, and they are few: all other rows are shuffled once,
+    and rows that share a path with none cost no join.
+    """
     rows = classes.where("size > 0").select("node", "size", "sketch", "picks").mapInArrow(tidy(_first_paths), ROW)
-    found, above = [], None
+    found, steps = [], []
     for level in range(len(DEEP) + 1):
-        counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        rows = stored(rows.join(counts, "path").select("path", "run", "node", "size", "sketch", "n"), "join-buckets")
-        if above is not None:
-            dropped(above)
-        above = rows
-        small = rows.where(F.col("n") <= SMALL).repartition("path").sortWithinPartitions("path")
-        found.append(stored(small.select("path", "node", "size", "sketch").mapInArrow(tidy(_candidate_edges(threshold, 1)), "a long, b long"), "join-edges"))
-        large = rows.where(F.col("n") > SMALL)
-        if not large.limit(1).count():
+        crowded = stored(rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "join-crowded")
+        steps.append(crowded)
+        some = crowded.limit(1).count()
+        small = (rows.join(crowded, "path", "left_anti") if some else rows).select("path", "node", "size", "sketch")
+        small = small.repartition("path").sortWithinPartitions("path")
+        found.append(stored(small.mapInArrow(tidy(_candidate_edges(threshold, 1)), "a long, b long"), "join-edges"))
+        if not some:
             break
+        large = stored(rows.join(crowded, "path").select("path", "run", "node", "size", "sketch", "n"), "join-buckets")
+        steps.append(large)
         if level < len(DEEP):
             deep = large.join(classes.select("node", "deep"), "node").select("path", "run", "node", "size", "sketch", "deep")
-            rows = deep.mapInArrow(tidy(_deeper(level, runs)), ROW)
+            rows = stored(deep.mapInArrow(tidy(_deeper(level, runs)), ROW), "join-deeper")
+            steps.append(rows)
         else:
             dealt = _block_pairs(large.drop("run"), "n", SMALL // 2, "path").repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi")
             found.append(stored(dealt.mapInArrow(tidy(_candidate_edges(threshold, 3)), "a long, b long"), "join-edges"))
-    dropped(above)
+    dropped(*steps)
     out = found[0]
     for x in found[1:]:
         out = out.union(x)

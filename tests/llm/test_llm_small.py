@@ -444,6 +444,29 @@ def test_join(docs, corpus, small, monkeypatch):
     assert any(w[3] >= 5 for w in want)
 
 
+def test_rows_of_small_buckets_are_not_joined(docs, monkeypatch):
+    """Without a crowded bucket a row of a path is shuffled once: no step before the components joins it."""
+    plans, stored = [], jaccard.stored
+
+    def kept(df, label):
+        if label in ("join-crowded", "join-buckets", "join-edges"):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(jaccard, "stored", kept)
+    jaccard.join(docs)
+    assert plans and not any("Join" in p for p in plans)
+
+
+def test_groups_over_batches():
+    rows = [1, 2, 2, 3, 4, 4, 4, 4, 4, 5, 6, 6, 7]
+    for step in (1, 2, 3, 5, 20):
+        batches = [pa.record_batch([pa.array(rows[a : a + step], pa.int64())], names=["path"]) for a in range(0, len(rows), step)]
+        for least in (1, 2):
+            got = [(k, t.num_rows) for (k,), t in jaccard._groups(batches, 1, least)]
+            assert got == [(k, rows.count(k)) for k in sorted(set(rows)) if rows.count(k) >= least]
+
+
 def test_runs_cover_every_level():
     lost = 1 - (1 - np.exp(-1)) * np.prod([1 - np.exp(-c * 0.8) for c in jaccard.DEEP])
     assert lost ** jaccard.runs_for(0.9995, 0.8) <= 0.0005
