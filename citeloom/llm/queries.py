@@ -67,7 +67,7 @@ def byte_encoder() -> sst.Encoder:
 
 def op9_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sst.write_shards(table(spark, sf_dir, "documents"), shared_folder(spark, "sst"), byte_encoder)
-    return sst.read_shards(manifest)
+    return sst.read_shards(manifest).drop("position")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

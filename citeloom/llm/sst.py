@@ -8,6 +8,8 @@ File layout: data blocks (zstd), block index, Bloom filter, footer of fixed size
 entries (shared key bytes, own key bytes, value bytes: three varints; own key; ids). A key is one
 byte, 0 for a null id or 1, then for an id its 8 bytes, big-endian with the sign flipped, so that
 keys sort as ids do. Ids are little-endian, 2 bytes wide if the vocabulary allows, else 4.
+A shard written in a given order (``order``) has the 8 bytes of a place before that in each key, so its
+entries follow the order; its Bloom filter holds the ids alone, and a lookup reads such a shard through.
 
 Defined results: null text is empty (its end id only); a null doc_id sorts before all others; rows
 that share a doc_id are all kept, ordered by text, and a lookup returns each; no rows give shards
@@ -27,13 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import partitions, size_of, stored, text_of
 
 MAGIC = b"CLOOMSS1"
-FOOTER = struct.Struct("<QQQQQQB7x8s")
+FOOTER = struct.Struct("<QQQQQQBB6x8s")  # the second B: bytes of a place before each key, 0 or 8
 ENTRY = struct.Struct("<QII I")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
@@ -182,8 +185,8 @@ def _bloom_places(key: bytes, bits: int) -> list[int]:
 
 
 class ShardWriter:
-    def __init__(self, sink, width: int):
-        self.sink, self.width, self.codec = sink, width, pa.Codec("zstd", 1)
+    def __init__(self, sink, width: int, places: bool = False):
+        self.sink, self.width, self.codec, self.skip = sink, width, pa.Codec("zstd", 1), 8 * places
         self.at = self.docs = self.ids = 0
         self.index: list[tuple[bytes, int, int, int, int]] = []
         self.keys: list[bytes] = []
@@ -195,8 +198,8 @@ class ShardWriter:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
-        if not self.keys or self.keys[-1] != key:
-            self.keys.append(key)
+        if not self.keys or self.keys[-1] != key[self.skip :]:
+            self.keys.append(key[self.skip :])
         self.last, self.docs, self.ids = key, self.docs + 1, self.ids + len(value) // self.width
         if len(self.block) >= BLOCK_BYTES:
             self._close_block()
@@ -223,7 +226,7 @@ class ShardWriter:
         for key in self.keys:
             bloom[_bloom_places(key, bits)] = 1
         self._put(np.packbits(bloom).tobytes())
-        self._put(FOOTER.pack(start, index_size, bloom_at, bits, self.docs, self.ids, self.width, MAGIC))
+        self._put(FOOTER.pack(start, index_size, bloom_at, bits, self.docs, self.ids, self.width, self.skip, MAGIC))
 
 
 class ShardReader:
@@ -233,7 +236,7 @@ class ShardReader:
         system, path = fs.FileSystem.from_uri(uri)
         self.file = system.open_input_file(path)
         size = self.file.size()
-        start, index_size, bloom_at, self.bits, self.docs, self.ids, self.width, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
+        start, index_size, bloom_at, self.bits, self.docs, self.ids, self.width, self.skip, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
         if magic != MAGIC:
             raise ValueError(f"{uri}: not a shard")
         self.kind, self.codec = np.dtype(f"<u{self.width}"), pa.Codec("zstd")
@@ -268,13 +271,15 @@ class ShardReader:
     def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for i in range(len(self.place)):
             for key, ids in self.block(i):
-                yield id_of(key), ids
+                yield id_of(key[self.skip :]), ids
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every row with this doc_id."""
         key = key_of(doc_id)
         if not all(self.bloom[p >> 3] & (0x80 >> (p & 7)) for p in _bloom_places(key, self.bits)):
             return []
+        if self.skip:
+            return [ids for i in range(len(self.place)) for k, ids in self.block(i) if k[self.skip :] == key]
         found, i = [], bisect.bisect_left(self.last, key)
         while i < len(self.place):
             entries = [(k, ids) for k, ids in self.block(i) if k == key]
@@ -290,17 +295,35 @@ class ShardReader:
 MANIFEST = "shard int, path string, first_id long, last_id long, n_docs long, n_ids long"
 
 
-def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Encoder], shards: int | None = None) -> DataFrame:
+def order_of_rows(docs: DataFrame) -> list[Column]:
+    """What sorts rows as they stand: by file name and row for a table read from files (Spark names the files of
+    a write by partition and reads them in another order), else by partition and row."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["file_name"], meta["row_index"])
+    except AnalysisException:
+        return [F.monotonically_increasing_id()]
+    return [meta["file_name"], meta["row_index"]]
+
+
+def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Encoder], shards: int | None = None, order: list[Column] | None = None) -> DataFrame:
     """Write ``docs`` as shards below ``folder`` (a URI all executors share); returns the manifest.
 
     ``shards`` key ranges; by default as many as the size of the documents asks for, Spark's shuffle
-    partitions at least.
+    partitions at least. With ``order`` the documents follow it, through a shard and from shard to shard,
+    in place of their ids; the manifest then has the least and the largest id of a shard.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    by = [F.col("doc_id").asc_nulls_first(), F.col("text")]
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), *[c.alias(f"order_{i}") for i, c in enumerate(order or [])])
     if shards is None:
         shards = partitions(docs.sparkSession, max(size_of(docs) // SHARD_BYTES, docs.count() // SHARD_DOCS))
-    by = F.col("doc_id").asc_nulls_first()
-    dealt = rows.repartitionByRange(shards, by).sortWithinPartitions(by, "text")
+    if order:
+        by = [F.col(c) for c in rows.columns[2:]]
+        dealt = rows.repartitionByRange(shards, *by).sortWithinPartitions(*by).select("doc_id", "text")
+    else:
+        dealt = rows.repartitionByRange(shards, by[0]).sortWithinPartitions(*by)
+
+    ordered = bool(order)
 
     def write(batches):
         coder, n = make_encoder(), TaskContext.get().partitionId()
@@ -312,9 +335,10 @@ def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Encode
                     system, path = fs.FileSystem.from_uri(uri)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     sink = system.open_output_stream(path)
-                    out, first = ShardWriter(sink, coder.kind.itemsize), doc_id
-                out.add(key_of(doc_id), coder.encode(text.as_py()))
-                last = doc_id
+                    out, first, last = ShardWriter(sink, coder.kind.itemsize, ordered), doc_id, doc_id
+                place = struct.pack(">Q", out.docs) if ordered else b""
+                out.add(place + key_of(doc_id), coder.encode(text.as_py()))
+                first, last = min(first, doc_id, key=key_of), max(last, doc_id, key=key_of)
         if out is not None:
             out.close()
             sink.close()
@@ -325,18 +349,20 @@ def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Encode
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, read from the files the manifest names."""
+    """doc_id, start, n_tokens, ids_crc32, position of every document, read from the files the manifest names:
+    ``start`` ids and ``position`` documents are before it in them."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("start"))
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
+    placed = manifest.select("path", earlier("n_ids").alias("start"), earlier("n_docs").alias("position"))
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, position long"
 
     def read(batches):
         for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, start, position in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 shard, rows = ShardReader(path), []
                 for doc_id, ids in shard:
-                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    start += len(ids)
+                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), position))
+                    start, position = start + len(ids), position + 1
                     if len(rows) == 10_000:
                         yield _digests(rows)
                         rows = []
@@ -347,8 +373,21 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return placed.repartition(max(1, manifest.count())).mapInArrow(read, schema)
 
 
+def by_ids(read: DataFrame) -> DataFrame:
+    """What ``read_shards`` returns of shards in another order, with ``start`` counted in the order of ids (equal
+    ids: of the shards) and ``mix_start``, where the document's ids begin in the shards."""
+    rows = read.withColumnRenamed("start", "mix_start")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("position")]
+    rows = stored(rows.repartitionByRange(partitions(read.sparkSession, 1), *order).withColumn("bucket", F.spark_partition_id()), "sst-by-ids")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    ahead = rows.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).cast("long")
+    return rows.join(ahead, "bucket").select("doc_id", start.alias("start"), "n_tokens", "ids_crc32", "position", "mix_start")
+
+
 def _digests(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "position"])
 
 
 def lookup(manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:

@@ -98,6 +98,27 @@ def test_pipeline_by_hand(spark, tmp_path):
     assert got == want
 
 
+def test_mix_orders_the_shards(spark, tmp_path):
+    """The documents stand in the shards in the order of the mix, whether its stage was written or not."""
+    from citeloom.llm import mixing, sst
+    from citeloom.llm.queries import byte_encoder
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("position").collect()]
+    assert want != sorted(want)
+    for mixed in (stored(mixing.mixed(docs), "test-mix"), mixing.mixed(docs)):
+        rows = corpus_pipeline.token_shards(spark, mixed, SF).orderBy("mix_start").collect()
+        assert [r.doc_id for r in rows] == want and [r.position for r in rows] == list(range(len(want)))
+        assert [r.mix_start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+        by_id = sorted(rows, key=lambda r: r.doc_id)
+        assert [r.start for r in by_id] == [sum(x.n_tokens for x in by_id[:k]) for k in range(len(by_id))]
+    manifest = sst.write_shards(docs, f"file://{tmp_path}/s", byte_encoder, 4, [-F.col("doc_id")])
+    assert [r.doc_id for r in sst.read_shards(manifest).orderBy("position").collect()] == sorted(want, reverse=True)
+    text = docs.where("doc_id = 7").first().text
+    assert [x.tolist() for x in sst.lookup(manifest, 7)] == [byte_encoder().model.encode(text or "", add_special_tokens=False).ids + [2]]
+    assert sst.lookup(manifest, 10**9) == []
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
